@@ -49,14 +49,14 @@ udemy_raw AS (
   FROM courses WHERE platform = 'Udemy'
 ),
 udacity_raw AS (
-  SELECT 'https://www.udacity.com' || url_path AS url, course_name AS cname, description AS descr,
+  SELECT id AS doc_id, 'https://www.udacity.com' || url_path AS url, course_name AS cname, description AS descr,
          CASE level_raw WHEN 'Beginner Level' THEN 'Beginner' WHEN 'Intermediate Level' THEN ' intermediate '
                         WHEN 'Expert Level' THEN 'ADVANCED' WHEN 'All Levels' THEN 'Discovery' ELSE level_raw END AS lvl,
          prerequisites AS pre, iso_duration AS dur, lang AS language, skills, rating_raw AS rating
   FROM courses WHERE platform = 'Udacity'
 ),
 edx_raw AS (
-  SELECT 'https://www.edx.org' || url_path AS url, course_name, description AS course_description,
+  SELECT id AS doc_id, 'https://www.edx.org' || url_path AS url, course_name, description AS course_description,
          CASE level_raw WHEN 'Beginner Level' THEN 'beginner' WHEN 'Intermediate Level' THEN 'Intermediate'
                         WHEN 'Expert Level' THEN 'Advanced' WHEN 'All Levels' THEN 'Introductory' ELSE level_raw END AS level,
          CASE WHEN prerequisites = '' THEN 'Not found' WHEN prerequisites = 'No prerequisites required' THEN 'None.'

@@ -71,6 +71,7 @@ def udacity_raw(c: DataFrame) -> DataFrame:
     """Udacity page records with the JSON field names of the crawler."""
     lvl = F.col("level_raw")
     return c.filter(F.col("platform") == "Udacity").select(
+        F.col("id").alias("doc_id"),
         F.concat(F.lit("https://www.udacity.com"), F.col("url_path")).alias("URL"),
         F.col("course_name").alias("Course Name"), F.col("description").alias("Description"),
         F.when(lvl == "Beginner Level", "Beginner").when(lvl == "Intermediate Level", " intermediate ")
@@ -84,6 +85,7 @@ def edx_raw(c: DataFrame) -> DataFrame:
     lvl = F.col("level_raw")
     pre = F.col("prerequisites")
     return c.filter(F.col("platform") == "edX").select(
+        F.col("id").alias("doc_id"),
         F.concat(F.lit("https://www.edx.org"), F.col("url_path")).alias("URL"),
         "course_name", F.col("description").alias("course_description"),
         F.when(lvl == "Beginner Level", "beginner").when(lvl == "Intermediate Level", "Intermediate")
@@ -104,7 +106,7 @@ def job_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _t(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type")
     s = _t(spark, sf_dir, "supplier", "s_suppkey", "s_name")
     # Pre-aggregate (supplier, part) pairs before joining the wide part table.
-    pairs = li.groupBy("l_suppkey", "l_partkey").agg()
+    pairs = li.select("l_suppkey", "l_partkey").distinct()
     j = pairs.join(p, F.col("p_partkey") == F.col("l_partkey")).join(s, F.col("s_suppkey") == F.col("l_suppkey"))
     return (j.groupBy("l_suppkey", "s_name")
             .agg(F.array_sort(F.collect_set("p_brand")).alias("hard"), F.array_sort(F.collect_set("p_type")).alias("soft"))

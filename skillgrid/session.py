@@ -42,6 +42,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         master = f"local[{cpus}]" if cpus else "local[*]"
     builder = (SparkSession.builder.master(master).appName(app_name)
                .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", os.environ.get("SKILLGRID_DRIVER_MEMORY", "16g")))
     for k, v in {**SEMANTIC_CONF, **PLAN_CONF}.items():
         builder = builder.config(k, v)
