@@ -223,3 +223,37 @@ def with_catalog(*extra: str) -> str:
 
 def with_courses(*extra: str) -> str:
     return "WITH " + ",".join([COURSES, *extra])
+
+
+def role_of_sql(key: str) -> str:
+    return (f"CASE {key} % 5 WHEN 0 THEN 'Data Scientist' WHEN 1 THEN 'Systems Engineer' WHEN 2 THEN 'Software Developer' "
+            f"WHEN 3 THEN 'Mechanical Engineer' ELSE 'Nurse' END")
+
+
+USER_ROLES = f"""
+user_roles AS (SELECT c_custkey AS user_id, {role_of_sql('c_custkey')} AS role FROM customer)"""
+
+HELD = """
+held AS (
+  SELECT DISTINCT o_custkey AS user_id, p_type AS skill
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE p_size <= 20
+)"""
+
+REQUIREMENTS = f"""
+req AS (
+  SELECT {role_of_sql('p_partkey')} AS role,
+         CASE p_size % 4 WHEN 0 THEN 'Essential' WHEN 1 THEN 'Preferred skills' WHEN 2 THEN 'Nice to have' ELSE 'Core' END AS skill_category,
+         CASE WHEN p_size % 2 = 0 THEN lower(p_type) ELSE p_brand END AS skill_name, p_partkey AS ord
+  FROM part
+), bucketed AS (
+  SELECT role, skill_name, ord,
+         CASE WHEN contains(lower(coalesce(skill_category, '')), 'essential') OR contains(lower(coalesce(skill_category, '')), 'required')
+                   OR contains(lower(coalesce(skill_category, '')), 'must') THEN 'essential'
+              WHEN contains(lower(coalesce(skill_category, '')), 'preferred') OR contains(lower(coalesce(skill_category, '')), 'nice')
+                   OR contains(lower(coalesce(skill_category, '')), 'optional') THEN 'preferred'
+              ELSE 'essential' END AS bucket
+  FROM req WHERE skill_name IS NOT NULL
+), rr AS (
+  SELECT role, bucket, row_number() OVER (PARTITION BY role, bucket ORDER BY ord) AS pos, skill_name FROM bucketed
+  QUALIFY row_number() OVER (PARTITION BY role, bucket ORDER BY ord) <= 5
+)"""

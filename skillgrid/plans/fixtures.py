@@ -168,3 +168,33 @@ def roles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         [(1, "Data Scientist"), (2, "Systems Engineer"), (3, "Software Developer"),
          (4, "Mechanical Engineer"), (5, "Nurse")], "role_id int, role string")
+
+
+ROLE_NAMES = ("Data Scientist", "Systems Engineer", "Software Developer", "Mechanical Engineer", "Nurse")
+
+
+def role_of(key_col) -> "F.Column":
+    """Role assigned to a key: one of the five fixed roles by key modulo 5."""
+    k = F.col(key_col) % 5
+    expr = F.when(k == 0, ROLE_NAMES[0])
+    for i, r in enumerate(ROLE_NAMES[1:], start=1):
+        expr = expr.when(k == i, r)
+    return expr
+
+
+def user_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer with a target role."""
+    return _t(spark, sf_dir, "customer", "c_custkey").select(
+        F.col("c_custkey").alias("user_id"), role_of("c_custkey").alias("role"))
+
+
+def requirement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(role, skill_category, skill_name, ord) search-result rows, one per part."""
+    p = _t(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type", "p_size")
+    size = F.col("p_size")
+    return p.select(
+        role_of("p_partkey").alias("role"),
+        F.when(size % 4 == 0, "Essential").when(size % 4 == 1, "Preferred skills")
+         .when(size % 4 == 2, "Nice to have").otherwise("Core").alias("skill_category"),
+        F.when(size % 2 == 0, F.lower("p_type")).otherwise(F.col("p_brand")).alias("skill_name"),
+        F.col("p_partkey").alias("ord"))

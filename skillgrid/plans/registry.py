@@ -45,3 +45,4 @@ def _r6(c):
 # Importing the query modules fills QUERIES / ORACLE.
 from . import q_catalog  # noqa: E402,F401
 from . import q_scalar  # noqa: E402,F401
+from . import q_skills  # noqa: E402,F401
