@@ -46,3 +46,4 @@ def _r6(c):
 from . import q_catalog  # noqa: E402,F401
 from . import q_scalar  # noqa: E402,F401
 from . import q_skills  # noqa: E402,F401
+from . import q_relational  # noqa: E402,F401
