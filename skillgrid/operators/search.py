@@ -53,8 +53,9 @@ def search_topn(docs: DataFrame, key: str, text: str, queries: DataFrame, qkey:
     Postings are filtered to the query vocabulary right after the explode
     (broadcast semi join), so only query terms are counted and shuffled.
     """
-    qt = sized_broadcast(query_terms(queries, qkey, qtext))
-    vocab = qt.select("term").distinct()
+    qt_plain = query_terms(queries, qkey, qtext)
+    qt = sized_broadcast(qt_plain)
+    vocab = qt_plain.select("term").distinct()
     t = docs.select(key, tokens(text).alias("_tok")).withColumn("doc_len", F.size("_tok"))
     n_docs = docs.select(F.count(F.lit(1))).scalar()
     post = (t.select(key, "doc_len", F.explode("_tok").alias("term"))

@@ -48,3 +48,4 @@ from . import q_scalar  # noqa: E402,F401
 from . import q_skills  # noqa: E402,F401
 from . import q_relational  # noqa: E402,F401
 from . import q_search  # noqa: E402,F401
+from . import q_recommend  # noqa: E402,F401
