@@ -152,7 +152,7 @@ def plan_table(spark, sf_dir):
 
 
 @register("fallback_courses", with_catalog(USER_ROLES) + """,
-found AS (SELECT DISTINCT o_custkey AS user_id FROM orders)
+found AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view')
 SELECT u.user_id, u.role, s.slot,
   CASE WHEN contains(lower(u.role), 'data') OR contains(lower(u.role), 'scientist') OR contains(lower(u.role), 'analyst')
        THEN CASE s.slot WHEN 1 THEN 'Data Science Fundamentals' ELSE 'Advanced Machine Learning' END
@@ -163,9 +163,9 @@ SELECT u.user_id, u.role, s.slot,
 FROM user_roles u, (SELECT unnest([1, 2]) AS slot) s
 WHERE u.user_id NOT IN (SELECT user_id FROM found)""")
 def fallback_courses(spark, sf_dir):
-    """C5 (+J8): two literal courses per role class for users with no search input (no learning path)."""
+    """C5 (+J8): two literal courses per role class for users with no search input (no skill ratings)."""
     users = X.user_roles(spark, sf_dir)
-    found = X.learning_paths(spark, sf_dir).select("user_id").distinct()
+    found = X.ratings(spark, sf_dir).select("user_id").distinct()
     return R.fallback_courses(users, found).select("user_id", "role", "slot", "course_name")
 
 
