@@ -50,3 +50,4 @@ from . import q_relational  # noqa: E402,F401
 from . import q_search  # noqa: E402,F401
 from . import q_recommend  # noqa: E402,F401
 from . import q_pages  # noqa: E402,F401
+from . import q_io  # noqa: E402,F401
