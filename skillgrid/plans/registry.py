@@ -52,3 +52,4 @@ from . import q_recommend  # noqa: E402,F401
 from . import q_pages  # noqa: E402,F401
 from . import q_io  # noqa: E402,F401
 from . import q_stream  # noqa: E402,F401
+from . import q_more  # noqa: E402,F401
