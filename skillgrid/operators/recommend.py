@@ -94,13 +94,20 @@ def shared_search(docs: DataFrame, key: str, text: str, queries: DataFrame, qkey
                   shared_text: str, n: int) -> DataFrame:
     """Top-n TF-IDF per query where query = ``shared_text`` words + the query's own words.
 
+    Queries with the same set of own words have the same answer, so the search
+    runs once per distinct word set (keyed by the sorted set itself, exact) and
+    the bounded results (sets x n rows) are joined back to the queries.
     Returns (qkey, key, score, rank).  Exact; see the module docstring.
     """
     spark = docs.sparkSession
     shared = sorted({t for t in _py_tokens(shared_text)})
+    shared_arr = F.array(*[F.lit(t) for t in shared]).cast("array<string>")
+    q_sets = queries.select(qkey, F.to_json(F.array_sort(F.array_except(tokens(extra_text), shared_arr))).alias("_set"))
+    q_sets = q_sets.persist()          # reused by the size checks and the final join
+    sets = q_sets.select("_set").distinct()
+    n_sets = sets.count()
     shared_df = spark.createDataFrame([(t,) for t in shared], "term string")
-    qt_plain = (queries.select(qkey, F.explode(F.array_distinct(tokens(extra_text))).alias("term"))
-                .join(F.broadcast(shared_df), "term", "left_anti"))
+    qt_plain = sets.select("_set", F.explode(F.from_json("_set", "array<string>")).alias("term"))
     qt = sized_broadcast(qt_plain)
     vocab = qt_plain.select("term").union(shared_df).distinct()
     t = docs.select(key, tokens(text).alias("_tok")).withColumn("doc_len", F.size("_tok"))
@@ -118,14 +125,17 @@ def shared_search(docs: DataFrame, key: str, text: str, queries: DataFrame, qkey
     all_docs = docs.select(key).join(base, key, "left").fillna(0.0, ["base"])
     top_base = (all_docs.orderBy(F.round("base", 9).desc(), F.col(key).asc()).limit(n)
                 .agg(F.collect_list(F.struct(F.col(key).alias("k"))).alias("top")))
-    extra = wpost.join(qt, "term").groupBy(qkey, key).agg(F.sum("w").alias("extra"))
-    fallback = (queries.select(qkey).withColumn("_top", top_base.select("top").scalar())
-                .select(qkey, F.explode("_top").alias("c")).select(qkey, F.col("c.k").alias(key), F.lit(0.0).alias("extra")))
-    cands = extra.unionByName(fallback).groupBy(qkey, key).agg(F.max("extra").alias("extra"))
+    extra = wpost.join(qt, "term").groupBy("_set", key).agg(F.sum("w").alias("extra"))
+    fallback = (sets.withColumn("_top", top_base.select("top").scalar())
+                .select("_set", F.explode("_top").alias("c")).select("_set", F.col("c.k").alias(key), F.lit(0.0).alias("extra")))
+    cands = extra.unionByName(fallback).groupBy("_set", key).agg(F.max("extra").alias("extra"))
     scored = cands.join(all_docs, key).withColumn("score", F.col("base") + F.col("extra"))
-    w = Window.partitionBy(qkey).orderBy(F.round("score", 9).desc(), F.col(key).asc())
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n) \
-                 .select(qkey, key, "score", "rank")
+    w = Window.partitionBy("_set").orderBy(F.round("score", 9).desc(), F.col(key).asc())
+    per_set = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n) \
+                    .select("_set", key, "score", "rank")
+    # per_set holds at most n_sets * n rows: broadcast it when that bound is small.
+    per_set = F.broadcast(per_set) if n_sets * n <= 2_000_000 else per_set
+    return q_sets.join(per_set, "_set").select(qkey, key, "score", "rank")
 
 
 def _py_tokens(text: str):
@@ -226,8 +236,77 @@ def _spread(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf
 
 
-def transition_courses(users: DataFrame, missing: DataFrame, catalog: DataFrame, n: int = 6) -> DataFrame:
-    """Per user search (limit 6) with up to three sanitised missing skills, N13 buckets, spreading fold."""
+def _contains_any(s: Column, words) -> Column:
+    cond = None
+    for w in words:
+        c = F.instr(s, w) > 0
+        cond = c if cond is None else cond | c
+    return cond
+
+
+def spread_all_levels(courses: DataFrame) -> DataFrame:
+    """C3 fold, JVM-side: per user, ALL_LEVELS courses take a level by name words or by need.
+
+    A user's courses (at most the search limit) are folded in rank order with
+    ``aggregate``; the accumulator carries the assigned levels and the three
+    level counts.  Then each empty level takes the first course of the fullest
+    level when that level holds more than one.  Only users with at least one
+    ALL_LEVELS course are changed.
+    """
+    item = F.struct("rank", "id", "course_name", "level", "platform", "skills", "level_category")
+    per_user = courses.groupBy("user_id", "role").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    items = F.col("items")
+
+    def cnt(lvl):
+        return F.size(F.filter(items, lambda x: x["level_category"] == lvl))
+
+    init = F.struct(F.array().cast("array<string>").alias("cats"), cnt("BEGINNER").alias("b"),
+                    cnt("INTERMEDIATE").alias("i"), cnt("ADVANCED").alias("a"))
+
+    def step(acc, x):
+        b, i, a = acc["b"], acc["i"], acc["a"]
+        name = F.lower(F.coalesce(x["course_name"], F.lit("")))
+        least = F.when((b <= i) & (b <= a), "BEGINNER").when(i <= a, "INTERMEDIATE").otherwise("ADVANCED")
+        target = (F.when(_contains_any(name, BEGINNER_INDICATORS), "BEGINNER")
+                  .when(_contains_any(name, ADVANCED_INDICATORS), "ADVANCED").otherwise(least))
+        is_all = x["level_category"] == "ALL_LEVELS"
+        cat = F.when(is_all, target).otherwise(x["level_category"])
+        inc = lambda lvl: F.when(is_all & (target == lvl), 1).otherwise(0)
+        return F.struct(F.concat(acc["cats"], F.array(cat)).alias("cats"), (b + inc("BEGINNER")).alias("b"),
+                        (i + inc("INTERMEDIATE")).alias("i"), (a + inc("ADVANCED")).alias("a"))
+
+    folded = per_user.withColumn("_acc", F.aggregate(items, init, step))
+    acc = F.col("_acc")
+    for lvl in LEVELS:
+        b, i, a = acc["b"], acc["i"], acc["a"]
+        mx = F.when((b >= i) & (b >= a), "BEGINNER").when(i >= a, "INTERMEDIATE").otherwise("ADVANCED")
+        mx_n = F.greatest(b, i, a)
+        own = {"BEGINNER": b, "INTERMEDIATE": i, "ADVANCED": a}[lvl]
+        cond = (own == 0) & (F.size(acc["cats"]) > 0) & (mx_n > 1)
+        pos = F.array_position(acc["cats"], mx)
+        cats = F.transform(acc["cats"], lambda c, j: F.when(j + 1 == pos, F.lit(lvl)).otherwise(c))
+
+        def bump(name, cur):
+            return cur + F.when(F.lit(name) == F.lit(lvl), 1).otherwise(0) - F.when(mx == F.lit(name), 1).otherwise(0)
+
+        moved = F.struct(cats.alias("cats"), bump("BEGINNER", b).alias("b"), bump("INTERMEDIATE", i).alias("i"),
+                         bump("ADVANCED", a).alias("a"))
+        folded = folded.withColumn("_acc", F.when(cond, moved).otherwise(acc))
+    has_all = F.exists(items, lambda x: x["level_category"] == "ALL_LEVELS")
+    final = F.when(has_all, F.col("_acc")["cats"]).otherwise(F.transform(items, lambda x: x["level_category"]))
+    out = folded.select("user_id", "role", F.posexplode(F.arrays_zip(items.alias("it"), final.alias("cat"))).alias("p", "z"))
+    return out.select("user_id", "role", *[F.col("z.it")[c].alias(c) for c in
+                                           ("id", "course_name", "level", "platform", "skills")],
+                      F.col("z.it")["rank"].alias("rank"), F.col("z.cat").alias("level_category"))
+
+
+def transition_courses(users: DataFrame, missing: DataFrame, catalog: DataFrame, n: int = 6,
+                       fold: str = "jvm") -> DataFrame:
+    """Per user search (limit 6) with up to three sanitised missing skills, N13 buckets, spreading fold.
+
+    ``fold='jvm'`` (default) runs the fold as an ``aggregate`` expression;
+    ``fold='pandas'`` runs the same rules in ``applyInPandas`` (kept as a check).
+    """
     from ..functions.skills import skill_token_sanitize
     q = (users.join(missing, ["user_id", "role"], "left")
          .withColumn("_sk", skill_token_sanitize(F.coalesce("missing_skills", F.array().cast("array<string>")), 3))
@@ -240,7 +319,9 @@ def transition_courses(users: DataFrame, missing: DataFrame, catalog: DataFrame,
              .withColumn("level_category", level_category_transition("level"))
              .select("user_id", "role", "id", "course_name", "level", "platform", "skills",
                      F.col("rank").cast("int").alias("rank"), "level_category"))
-    return found.groupBy("user_id").applyInPandas(_spread, TRANSITION_SCHEMA)
+    if fold == "pandas":
+        return found.groupBy("user_id").applyInPandas(_spread, TRANSITION_SCHEMA)
+    return spread_all_levels(found)
 
 
 def need_order(courses: DataFrame) -> DataFrame:
