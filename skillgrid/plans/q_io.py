@@ -48,17 +48,18 @@ def csv_union(spark, sf_dir):
     edx = c.filter(F.col("platform") == "edX").select(F.col("id").alias("Unnamed: 0"), "id", "course_name",
                                                       _lang_name(F.col("lang")).alias("language"))
     for name, df, enc in (("udemy", udemy, "UTF-8"), ("udacity", udacity, "UTF-8"), ("edx", edx, "ISO-8859-1")):
-        (df.coalesce(1).write.mode("overwrite").option("header", True).option("encoding", enc)
+        (df.write.mode("overwrite").option("header", True).option("encoding", enc)
          .option("quote", '"').option("escape", '"').csv(f"{d}/{name}"))
     # Flatten the three drops into one folder of CSV files, like a provider download.
     flat = _fresh(spark, "csvflat")
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for name in ("udemy", "udacity", "edx"):
-        for f in FS.list_files(spark, f"{d}/{name}", ".csv"):
+        for i, f in enumerate(FS.list_files(spark, f"{d}/{name}", ".csv")):
             src = jvm.org.apache.hadoop.fs.Path(f)
             fs = src.getFileSystem(conf)
-            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, src, fs, jvm.org.apache.hadoop.fs.Path(f"{flat}/{name}.csv"), False, conf)
+            dst = jvm.org.apache.hadoop.fs.Path(f"{flat}/{name}-{i:05d}.csv")
+            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, src, fs, dst, False, conf)
     out = FS.read_csv_folder(spark, flat)
     return out.select(F.col("id").cast("int").alias("id"), "course_name", F.col("rating").cast("string").alias("rating"),
                       "description", "language")

@@ -22,12 +22,13 @@ def csv_encoding_fallback(spark, sf_dir):
     """The encoding chosen per file (UTF-8 when every line decodes, else ISO-8859-1)."""
     c = X.courses(spark, sf_dir)
     d = _fresh(spark, "enc")
-    c.filter(F.col("platform") == "Udemy").select("id", "course_name").coalesce(1).write.option("header", True) \
+    c.filter(F.col("platform") == "Udemy").select("id", "course_name").write.option("header", True) \
         .option("encoding", "UTF-8").csv(f"{d}/udemy")
-    c.filter(F.col("platform") == "edX").select("id", "description").coalesce(1).write.option("header", True) \
+    c.filter(F.col("platform") == "edX").select("id", "description").write.option("header", True) \
         .option("encoding", "ISO-8859-1").csv(f"{d}/edx")
     enc = FS.detect_encodings(spark, f"{d}/*")
-    return enc.select(F.when(F.col("file").contains("/edx/"), "edx.csv").otherwise("udemy.csv").alias("file"), "encoding")
+    return enc.select(F.when(F.col("file").contains("/edx/"), "edx.csv").otherwise("udemy.csv").alias("file"),
+                      "encoding").distinct()
 
 
 @register("csv_infer_load", with_courses() + """

@@ -52,20 +52,37 @@ def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
             .select("file", F.when(F.col("utf8"), F.lit(ENCODINGS[0])).otherwise(F.lit(ENCODINGS[1])).alias("encoding")))
 
 
+def first_line(spark: SparkSession, file: str, encoding: str) -> str:
+    """The header line of one file (a metadata-sized read through the Hadoop filesystem)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(file)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = fs.open(p)
+    try:
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, encoding))
+        line = reader.readLine()
+        return line or ""
+    finally:
+        stream.close()
+
+
 def read_csv_folder(spark: SparkSession, path: str, drop_prefix: str = "Unnamed") -> DataFrame:
-    """S1 + S2 + S4 + U3: every CSV of a folder, header and types inferred per file,
-    ``Unnamed*`` columns dropped, stacked with union-by-name (missing columns -> NULL).
+    """S1 + S2 + S4 + U3: every CSV of a folder, header and types inferred, ``Unnamed*`` columns
+    dropped, stacked with union-by-name (missing columns -> NULL).
 
-    The encoding of each file comes from ``detect_encodings`` (a parallel job);
-    one reader per file is planned because headers differ between files, so the
-    plan grows with the number of files, never with rows.
+    The encoding of each file comes from ``detect_encodings`` (a parallel job).
+    Files are grouped by (encoding, header line) and each group is read by one
+    scan, so the plan grows with the number of distinct layouts, not files.
     """
     enc = {_norm(r.file): r.encoding for r in detect_encodings(spark, path).collect()}
-    frames = []
+    groups: dict[tuple[str, str], list[str]] = {}
     for f in list_files(spark, path, ".csv"):
-        df = (spark.read.option("header", True).option("inferSchema", True)
-              .option("encoding", enc.get(_norm(f), ENCODINGS[0]))
-              .option("quote", '"').option("escape", '"').option("multiLine", True).csv(f))
+        e = enc.get(_norm(f), ENCODINGS[0])
+        groups.setdefault((e, first_line(spark, f, e)), []).append(f)
+    frames = []
+    for (encoding, _), files in groups.items():          # first file's spelling names the columns
+        df = (spark.read.option("header", True).option("inferSchema", True).option("encoding", encoding)
+              .option("quote", '"').option("escape", '"').option("multiLine", True).csv(files))
         keep = [c for c in df.columns if not c.startswith(drop_prefix)]
         frames.append(df.select(*[F.col(f"`{c}`") for c in keep]))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
