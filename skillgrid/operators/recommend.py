@@ -131,7 +131,7 @@ def shared_search(docs: DataFrame, key: str, text: str, queries: DataFrame, qkey
     cands = extra.unionByName(fallback).groupBy("_set", key).agg(F.max("extra").alias("extra"))
     scored = cands.join(all_docs, key).withColumn("score", F.col("base") + F.col("extra"))
     w = Window.partitionBy("_set").orderBy(F.round("score", 9).desc(), F.col(key).asc())
-    per_set = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n) \
+    per_set = scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n) \
                     .select("_set", key, "score", "rank")
     # per_set holds at most n_sets * n rows: broadcast it when that bound is small.
     per_set = F.broadcast(per_set) if n_sets * n <= 2_000_000 else per_set
@@ -166,7 +166,7 @@ def recommend_courses(users: DataFrame, ratings: DataFrame, catalog: DataFrame,
     tagged = found.withColumn("level_category", level_category("level"))
     w = Window.partitionBy("user_id", "level_category").orderBy(F.col("course_name").asc_nulls_last(), F.col("id"))
     recs = (tagged.filter(F.col("level_category").isin(*LEVELS))
-            .withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= per_level))
+            .withColumn("rn", F.row_number().over(w).cast("long")).filter(F.col("rn") <= per_level))
     return recs, tagged
 
 

@@ -67,4 +67,4 @@ def search_topn(docs: DataFrame, key: str, text: str, queries: DataFrame, qkey:
               .groupBy(qkey, key).agg(F.sum(F.col("tf") * F.col("idf")).alias("score")))
     # Rank on the score rounded to 1e-9 so summation-order noise cannot reorder true ties.
     w = Window.partitionBy(qkey).orderBy(F.round("score", 9).desc(), F.col(key).asc())
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n)

@@ -37,7 +37,7 @@ def role_requirements(req: DataFrame, k: int = 5) -> DataFrame:
     rows = (req.filter(F.col("skill_name").isNotNull())
             .withColumn("bucket", bucket))
     w = Window.partitionBy("role", "bucket").orderBy("ord")
-    return rows.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k) \
+    return rows.withColumn("pos", F.row_number().over(w).cast("long")).filter(F.col("pos") <= k) \
                .select("role", "bucket", "pos", "skill_name")
 
 

@@ -17,7 +17,7 @@ LEVEL_ORDER = ("BEGINNER", "INTERMEDIATE", "ADVANCED")
 def top_k_per_group(df: DataFrame, keys, order, k: int, rank_col: str = "rn") -> DataFrame:
     """Keep the first ``k`` rows per ``keys`` under a total ``order``."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
+    return df.withColumn(rank_col, F.row_number().over(w).cast("long")).filter(F.col(rank_col) <= k)
 
 
 def top2_per_level(df: DataFrame, level_col: str = "level_category", name_col: str = "course_name",

@@ -156,7 +156,7 @@ WITH ratings AS (
 
 
 @register("append_nested", RATINGS_LATEST + """
-SELECT user_id, count(*) AS n_skills, sum(rating) AS rating_sum FROM latest GROUP BY user_id""")
+SELECT user_id, count(*) AS n_skills, CAST(sum(rating) AS BIGINT) AS rating_sum FROM latest GROUP BY user_id""")
 def append_nested(spark, sf_dir):
     """Learning-path rows with SKILL_RATINGS as JSON text parsed to map<string,int> and appended."""
     from .q_relational import latest_ratings

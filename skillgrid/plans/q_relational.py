@@ -346,7 +346,7 @@ def not_null_check(spark, sf_dir):
 def min_length_check(spark, sf_dir):
     """Q3: texts shorter than 50 characters are rejected."""
     c = X._t(spark, sf_dir, "conversations", "conv_id", "turn", "text")
-    return Q.min_length_check(c, "text", 50).select("conv_id", "turn", F.length("text").alias("n_chars"))
+    return Q.min_length_check(c, "text", 50).select("conv_id", "turn", F.length("text").cast("long").alias("n_chars"))
 
 
 @register("list_size_check", with_courses() + f"""

@@ -305,7 +305,7 @@ def _pii_sql(x: str) -> str:
 def pii_scrub(spark, sf_dir):
     """E-mail, phone, address, non-whitelisted characters removed; whitespace collapsed."""
     d = X._t(spark, sf_dir, "documents", "doc_id", "text").withColumn("s", T.pii_scrub("text"))
-    return d.select("doc_id", F.md5("s").alias("scrubbed_md5"), F.length("s").alias("scrubbed_len"))
+    return d.select("doc_id", F.md5("s").alias("scrubbed_md5"), F.length("s").cast("long").alias("scrubbed_len"))
 
 
 @register("title_case_source", """

@@ -82,7 +82,7 @@ def score_histogram(spark, sf_dir):
 
 @register("embed_text", """
 SELECT doc_id, 768 AS dims,
-  CASE WHEN len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda t: t <> '')) > 0 THEN 1.0 ELSE 0.0 END AS norm
+  CASE WHEN len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda t: t <> '')) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm
 FROM documents""")
 def embed_text(spark, sf_dir):
     """V1: every document embedded as a 768-float unit vector (hashed term counts)."""

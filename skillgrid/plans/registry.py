@@ -23,11 +23,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _json_text(sql: str) -> str:
+    """DuckDB's ``to_json`` returns the JSON type; cast each call to VARCHAR like Spark's string."""
+    out, i = [], 0
+    while True:
+        j = sql.find("to_json(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len("to_json")
+        while k < len(sql):
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        out.append(sql[i:j] + "CAST(" + _json_text(sql[j:k + 1].replace("to_json(", "\0", 1)).replace("\0", "to_json(", 1)
+                   + " AS VARCHAR)")
+        i = k + 1
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = _json_text(sql)
         return fn
     return deco
 
