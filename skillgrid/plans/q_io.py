@@ -215,10 +215,13 @@ def json_roundtrip(spark, sf_dir):
 def session_preview(spark, sf_dir):
     """Preview of every stored session (conversation lists and state objects)."""
     conv = X._t(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    lists = conv.groupBy("conv_id").agg(F.to_json(F.transform(
+    # A conversation is stored as sessions of five turns each (bounded groups by construction).
+    chunk = F.floor(F.col("turn") / 5)
+    lists = conv.groupBy("conv_id", chunk.alias("chunk")).agg(F.to_json(F.transform(
         F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))),
         lambda s: F.struct(s["role"].alias("role"), s["content"].alias("content")))).alias("chat_history"))
     ev = X.sessions_from_events(spark, sf_dir).select(F.col("event_id").alias("conv_id"), "chat_history")
-    sessions = lists.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session"), "chat_history") \
+    sessions = lists.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("chunk").cast("string"))
+                            .alias("session"), "chat_history") \
         .unionByName(ev.select(F.concat(F.lit("e"), F.col("conv_id").cast("string")).alias("session"), "chat_history"))
     return sessions.select("session", JS.session_preview("chat_history").alias("preview"))
