@@ -379,9 +379,62 @@ def _rebalance(pdf: pd.DataFrame) -> pd.DataFrame:
                                       "platform", "level", "skills"])
 
 
-def plan_rebalance(courses: DataFrame) -> DataFrame:
-    """C4: fill empty levels from neighbours, then first two per level with month windows."""
-    return courses.groupBy("user_id").applyInPandas(_rebalance, PLAN_SCHEMA)
+def plan_rebalance(courses: DataFrame, fold: str = "jvm") -> DataFrame:
+    """C4: fill empty levels from neighbours, then first two per level with month windows.
+
+    ``fold='jvm'`` (default) writes the three moves as array expressions over
+    each user's (search-bounded) course list; ``fold='pandas'`` runs the same
+    rules in ``applyInPandas`` (kept as a check).
+    """
+    if fold == "pandas":
+        return courses.groupBy("user_id").applyInPandas(_rebalance, PLAN_SCHEMA)
+    big = 1 << 20
+    item = F.struct("rank", "id", "course_name", "platform", "level", "skills", "level_category")
+    per = courses.groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    items = F.col("items")
+
+    def lvl(name):
+        return F.filter(items, lambda x: x["level_category"] == name)
+
+    b0, i0, a0 = lvl("BEGINNER"), lvl("INTERMEDIATE"), lvl("ADVANCED")
+    per = per.select("user_id", b0.alias("b"), i0.alias("i"), a0.alias("a"))
+    b, i, a = F.col("b"), F.col("i"), F.col("a")
+    # 1. empty beginner level takes up to two from intermediate (else advanced), beginner-named first
+    c1 = (F.size(b) == 0) & ((F.size(i) > 0) | (F.size(a) > 0))
+    src = F.when(F.size(i) > 0, i).otherwise(a)
+    named = lambda x: _contains_any(F.lower(F.coalesce(x["course_name"], F.lit(""))), REBALANCE_BEGINNER_WORDS)
+    picks = F.slice(F.concat(F.filter(src, named), F.filter(src, lambda x: ~named(x))), 1, 2)
+    rest = F.filter(src, lambda x: ~F.array_contains(F.transform(picks, lambda p: p["id"]), x["id"]))
+    per = per.select("user_id", F.when(c1, picks).otherwise(b).alias("b"),
+                     F.when(c1 & (F.size(i) > 0), rest).otherwise(i).alias("i"),
+                     F.when(c1 & (F.size(i) == 0), rest).otherwise(a).alias("a"))
+    # 2. empty intermediate takes the first two of beginner (if it has more than two) else of advanced
+    useb = F.size(b) > 2
+    src = F.when(useb, b).otherwise(a)
+    c2 = (F.size(i) == 0) & ((F.size(b) > 0) | (F.size(a) > 0)) & (F.size(src) > 0)
+    per = per.select("user_id", F.when(c2 & useb, F.slice(src, 3, big)).otherwise(b).alias("b"),
+                     F.when(c2, F.slice(src, 1, 2)).otherwise(i).alias("i"),
+                     F.when(c2 & ~useb, F.slice(src, 3, big)).otherwise(a).alias("a"))
+    # 3. empty advanced takes the last two of intermediate (if it has more than two) else of beginner
+    usei = F.size(i) > 2
+    src = F.when(usei, i).otherwise(b)
+    c3 = (F.size(a) == 0) & ((F.size(b) > 0) | (F.size(i) > 0)) & (F.size(src) > 0)
+    k = F.least(F.size(src), F.lit(2))
+    moved = F.reverse(F.slice(src, F.size(src) - k + 1, k))
+    rest = F.slice(src, 1, F.size(src) - k)
+    per = per.select("user_id", F.when(c3 & ~usei, rest).otherwise(b).alias("b"),
+                     F.when(c3 & usei, rest).otherwise(i).alias("i"), F.when(c3, moved).otherwise(a).alias("a"))
+    def slot_of(name):
+        def make(x, j):
+            return F.struct(F.lit(name).alias("level_category"), (j + 1).alias("slot"),
+                            F.lit(MONTHS[name]).alias("months"), x.alias("c"))
+        return make
+
+    slots = F.concat(*[F.transform(F.slice(F.col(c), 1, 2), slot_of(name))
+                       for c, name in (("b", "BEGINNER"), ("i", "INTERMEDIATE"), ("a", "ADVANCED"))])
+    out = per.select("user_id", F.explode(slots).alias("s"))
+    return out.select("user_id", "s.level_category", F.col("s.slot").cast("int").alias("slot"), "s.months",
+                      *[F.col(f"s.c.{c}").alias(c) for c in ("id", "course_name", "platform", "level", "skills")])
 
 
 def plan_table(plan: DataFrame) -> DataFrame:

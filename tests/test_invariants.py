@@ -65,3 +65,11 @@ def test_sequential_ids_are_dense_and_ordered(spark):
     seq = sorted(out, key=lambda r: int(r.seq[1:]))
     assert [int(r.seq[1:]) for r in seq] == list(range(1, 5001))
     assert [r.name for r in seq] == sorted(r.name for r in out)
+
+
+def test_rebalance_jvm_matches_sequential_rules(spark):
+    df = R.spread_all_levels(_courses(spark, users=600, seed=5))
+    cols = ["user_id", "level_category", "slot", "months", "id", "course_name", "platform", "level", "skills"]
+    a = R.plan_rebalance(df).select(*cols)
+    b = R.plan_rebalance(df, fold="pandas").select(*cols)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
