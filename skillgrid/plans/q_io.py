@@ -38,7 +38,7 @@ def _lang_name(c):
 SELECT CAST(id AS INTEGER) AS id, course_name, rating_raw AS rating, NULL AS description, NULL AS language FROM courses WHERE platform = 'Udemy'
 UNION ALL SELECT CAST(id AS INTEGER), course_name, NULL, description, NULL FROM courses WHERE platform = 'Udacity'
 UNION ALL SELECT CAST(id AS INTEGER), course_name, NULL, NULL, {LANG_NAME} FROM courses WHERE platform = 'edX'""")
-def csv_union(spark, sf_dir):
+def csv_union(spark, sf_dir, source_col=None):
     """S1 + S2 + S4 + U3: provider CSVs (one latin-1, with ``Unnamed: 0`` index columns) read and unioned by name."""
     c = X.courses(spark, sf_dir)
     d = _fresh(spark, "csv")
@@ -60,9 +60,10 @@ def csv_union(spark, sf_dir):
             fs = src.getFileSystem(conf)
             dst = jvm.org.apache.hadoop.fs.Path(f"{flat}/{name}-{i:05d}.csv")
             jvm.org.apache.hadoop.fs.FileUtil.copy(fs, src, fs, dst, False, conf)
-    out = FS.read_csv_folder(spark, flat)
-    return out.select(F.col("id").cast("int").alias("id"), "course_name", F.col("rating").cast("string").alias("rating"),
-                      "description", "language")
+    out = FS.read_csv_folder(spark, flat, source_col=source_col)
+    cols = [F.col("id").cast("int").alias("id"), "course_name", F.col("rating").cast("string").alias("rating"),
+            "description", "language"]
+    return out.select(*cols, *([source_col] if source_col else []))
 
 
 @register("csv_gzip_sink", with_catalog() + "\nSELECT id, course_name, platform FROM catalog")
@@ -211,7 +212,32 @@ def json_roundtrip(spark, sf_dir):
     return e.select("event_id", F.to_json(m).alias("props_json"), F.element_at(m, F.lit("k")).alias("k"))
 
 
-@register("session_preview")
+@register("session_preview", r"""
+WITH sessions AS (
+  SELECT 'c' || CAST(conv_id AS VARCHAR) || '-' || CAST(floor(turn / 5) AS BIGINT) AS session,
+         CAST(to_json(list({'role': role, 'content': text} ORDER BY turn)) AS VARCHAR) AS chat_history
+  FROM conversations GROUP BY conv_id, floor(turn / 5)
+  UNION ALL SELECT 'e' || CAST(event_id AS VARCHAR), props FROM events
+), j AS (
+  SELECT session, CASE WHEN json_valid(chat_history) THEN json(chat_history) END AS v FROM sessions
+), k AS (
+  SELECT session, v, json_type(v) AS kind,
+         list_filter(json_keys(v), lambda key: json_type(v, '$."' || key || '"') = 'VARCHAR'
+                     AND length(json_extract_string(v, '$."' || key || '"')) > 10) AS str_keys
+  FROM j
+)
+SELECT session, CASE
+  WHEN kind = 'ARRAY' AND json_array_length(v) > 0 THEN
+       coalesce(substr(json_extract_string(v, '$[#-1].content'), 1, 80) || '...', '(preview error: ''content'')')
+  WHEN kind = 'OBJECT' AND json_type(v, '$.ct_messages') = 'ARRAY' AND json_array_length(v, '$.ct_messages') > 0 THEN
+       coalesce(substr(json_extract_string(v, '$.ct_messages[#-1].content'), 1, 80) || '...', '(preview error: ''content'')')
+  WHEN kind = 'OBJECT' AND json_type(v, '$.lp_messages') = 'ARRAY' AND json_array_length(v, '$.lp_messages') > 0 THEN
+       coalesce(substr(json_extract_string(v, '$.lp_messages[#-1].content'), 1, 80) || '...', '(preview error: ''content'')')
+  WHEN kind = 'OBJECT' AND len(str_keys) > 0 THEN substr(json_extract_string(v, '$."' || str_keys[1] || '"'), 1, 80) || '...'
+  WHEN kind = 'OBJECT' THEN 'Session: ' || coalesce(json_extract_string(v, '$.current_page'), 'Unknown') || ' ('
+       || CAST(len(json_keys(v)) AS VARCHAR) || ' values)'
+  ELSE '(empty or invalid chat data)' END AS preview
+FROM k""")
 def session_preview(spark, sf_dir):
     """Preview of every stored session (conversation lists and state objects)."""
     conv = X._t(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")

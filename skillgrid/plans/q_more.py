@@ -42,15 +42,18 @@ def csv_infer_load(spark, sf_dir):
 
 
 @register("union_by_name_missing", with_courses() + """
-SELECT platform, count(*) AS n, count(CASE WHEN platform = 'Udacity' THEN description END) AS with_description,
-       count(CASE WHEN platform = 'Udemy' THEN rating_raw END) AS with_rating
+SELECT lower(platform) AS provider, count(*) AS n,
+       count(CASE WHEN platform = 'Udacity' THEN description END) AS with_description,
+       count(CASE WHEN platform = 'Udemy' THEN rating_raw END) AS with_rating,
+       count(CASE WHEN platform = 'edX' THEN lang END) AS with_language
 FROM courses GROUP BY platform""")
 def union_by_name_missing(spark, sf_dir):
-    """Union by name with missing columns filled with NULL (counted per provider)."""
-    df = csv_union(spark, sf_dir).withColumn("platform", F.when(F.col("rating").isNotNull(), "Udemy")
-                                             .when(F.col("description").isNotNull(), "Udacity").otherwise("edX"))
-    return df.groupBy("platform").agg(F.count(F.lit(1)).alias("n"), F.count("description").alias("with_description"),
-                                      F.count("rating").alias("with_rating"))
+    """Union by name, columns a file lacks filled with NULL; non-NULL counts per source file."""
+    df = csv_union(spark, sf_dir, source_col="source_file")
+    provider = F.regexp_extract("source_file", r"/([a-z]+)-[0-9]+\.csv$", 1)
+    return df.groupBy(provider.alias("provider")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("description").alias("with_description"),
+        F.count("rating").alias("with_rating"), F.count("language").alias("with_language"))
 
 
 @register("not_null_filter", "WITH " + COURSES + "," + RAW_PROVIDERS + """

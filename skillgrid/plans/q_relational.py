@@ -91,10 +91,10 @@ def valid_result_filter(spark, sf_dir):
 
 
 @register("literal_columns", with_catalog() + """
-SELECT id, platform, 'Free' AS price, 'SKILLPATH' AS provider FROM catalog""")
+SELECT id, platform, 'Free' AS price, 'catalog' AS provider FROM catalog""")
 def literal_columns(spark, sf_dir):
     """P10: constant columns added to every row."""
-    return catalog(spark, sf_dir).select("id", "platform", F.lit("Free").alias("price"), F.lit("SKILLPATH").alias("provider"))
+    return catalog(spark, sf_dir).select("id", "platform", F.lit("Free").alias("price"), F.lit("catalog").alias("provider"))
 
 
 @register("schema_evolve", with_catalog() + """

@@ -41,11 +41,33 @@ def skill_section_extract(spark, sf_dir):
     return d.select("doc_id", F.to_json(S.skill_section_extract("text")).alias("skills"))
 
 
-@register("json_list_from_text")
+@register("json_list_from_text", r"""
+WITH t AS (
+  SELECT conv_id, turn,
+         CASE WHEN role = 'assistant' THEN 'Here is the list: ' || CAST(to_json(string_split(text, '. ')) AS VARCHAR) || chr(10) || 'Done.'
+              ELSE text END AS reply
+  FROM conversations
+)
+SELECT conv_id, turn, to_json(CASE
+  WHEN regexp_matches(reply, '(?s)\[.*?\]') THEN
+       CASE WHEN json_valid('[' || regexp_extract(reply, '(?s)\[(.*?)\]', 1) || ']')
+            THEN from_json('[' || regexp_extract(reply, '(?s)\[(.*?)\]', 1) || ']', '["VARCHAR"]') END
+  ELSE list_filter(list_transform(string_split(reply, chr(10)),
+                     lambda l: trim(regexp_replace(l, '^\s+|\s+$', '', 'g'), '"-,')),
+                   lambda l: l <> '' AND NOT starts_with(l, '[') AND NOT starts_with(l, ']'))
+  END) AS items
+FROM t""")
 def json_list_from_text(spark, sf_dir):
-    """Each conversation turn read as a skill list (JSON array if present, else lines)."""
-    c = X._t(spark, sf_dir, "conversations", "conv_id", "turn", "text")
-    return c.select("conv_id", "turn", F.to_json(S.json_list_from_text("text")).alias("items"))
+    """Every conversation reply read as a skill list (first JSON array if present, else one item per line).
+
+    Assistant replies embed their sentences as a JSON list, user turns stay
+    plain text, so both branches run over the whole table.
+    """
+    c = X._t(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    reply = F.when(F.col("role") == "assistant",
+                   F.concat(F.lit("Here is the list: "), F.to_json(F.split("text", r"\. ")), F.lit("\nDone.")))\
+        .otherwise(F.col("text"))
+    return c.select("conv_id", "turn", F.to_json(S.json_list_from_text(reply)).alias("items"))
 
 
 def _rules_sql(role: str, rules, default) -> str:

@@ -66,7 +66,8 @@ def first_line(spark: SparkSession, file: str, encoding: str) -> str:
         stream.close()
 
 
-def read_csv_folder(spark: SparkSession, path: str, drop_prefix: str = "Unnamed") -> DataFrame:
+def read_csv_folder(spark: SparkSession, path: str, drop_prefix: str = "Unnamed",
+                    source_col: str | None = None) -> DataFrame:
     """S1 + S2 + S4 + U3: every CSV of a folder, header and types inferred, ``Unnamed*`` columns
     dropped, stacked with union-by-name (missing columns -> NULL).
 
@@ -83,8 +84,10 @@ def read_csv_folder(spark: SparkSession, path: str, drop_prefix: str = "Unnamed"
     for (encoding, _), files in groups.items():          # first file's spelling names the columns
         df = (spark.read.option("header", True).option("inferSchema", True).option("encoding", encoding)
               .option("quote", '"').option("escape", '"').option("multiLine", True).csv(files))
-        keep = [c for c in df.columns if not c.startswith(drop_prefix)]
-        frames.append(df.select(*[F.col(f"`{c}`") for c in keep]))
+        keep = [F.col(f"`{c}`") for c in df.columns if not c.startswith(drop_prefix)]
+        if source_col:
+            keep.append(F.input_file_name().alias(source_col))
+        frames.append(df.select(*keep))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
