@@ -192,7 +192,7 @@ def advanced_backfill(recs: DataFrame, users: DataFrame, high_rated: DataFrame,
     adv = (hits.join(catalog.select("id", "course_name", "level", "platform", "skills", "url", "description"), "id")
            .filter(F.lower("level").like("%advanced%")))
     w = Window.partitionBy("role").orderBy("rank")
-    adv = adv.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= keep) \
+    adv = adv.withColumn("rn", F.row_number().over(w).cast("long")).filter(F.col("rn") <= keep) \
              .withColumn("level_category", F.lit("ADVANCED"))
     extra = need.join(sized_broadcast(adv), "role")
     cols = ["user_id", "role", "id", "course_name", "level", "platform", "level_category", "rn"]

@@ -12,7 +12,7 @@ from ..sources import files as FS
 from . import fixtures as X
 from .fixture_sql import COURSES, RAW_PROVIDERS, with_courses
 from .q_io import _fresh, csv_union
-from .q_recommend import C1_BASE, _recs
+from .q_recommend import ADV_SQL, C1_BASE, _recs
 from .q_skills import _rules_sql
 from .registry import catalog, register
 
@@ -101,7 +101,7 @@ def order_by_level(spark, sf_dir):
     return W.order_by_level(recs.select("user_id", "level_category", "rn", "course_name"), "level_category", "user_id", "rn")
 
 
-@register("append_backfill")
+@register("append_backfill", ADV_SQL + "\nSELECT user_id, level_category, count(*) AS n FROM combined GROUP BY 1, 2")
 def append_backfill(spark, sf_dir):
     """Recommendation rows with the advanced backfill rows appended (count per user and level)."""
     from .q_recommend import advanced_backfill

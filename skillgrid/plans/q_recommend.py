@@ -16,10 +16,8 @@ TOK = "list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}]+'), lambda t:
 
 def _template_sql(template: str, **parts) -> str:
     """SQL string expression for a query template with column placeholders."""
-    out, rest = [], template
     import re
-    for m in re.finditer(r"\{(\w+)\}", template):
-        pass
+    out = []
     pieces = re.split(r"(\{\w+\})", template)
     for p in pieces:
         if p.startswith("{") and p.endswith("}"):
@@ -29,24 +27,26 @@ def _template_sql(template: str, **parts) -> str:
     return " || ".join(out)
 
 
-def _search_sql(queries_cte: str, n: int) -> str:
-    """Brute-force TF-IDF of every query text against the catalogue (oracle side)."""
+def _search_sql(queries_cte: str, n: int, p: str = "") -> str:
+    """Brute-force TF-IDF of every query text against the catalogue (oracle side).
+
+    ``queries_cte`` defines ``{p}queries(qid, qtext)``; the result is ``{p}hits(qid, id, score, rank)``.
+    """
     return f""",
 {queries_cte},
-qt AS (SELECT DISTINCT qid, unnest({TOK.format(x='qtext')}) AS term FROM queries),
-docs AS (SELECT id, {TOK.format(x="concat_ws(' ', course_name, description, skills)")} AS tok FROM catalog),
-nd AS (SELECT count(*) AS n FROM docs),
-post AS (SELECT id, len(tok) AS doc_len, unnest(tok) AS term FROM docs),
-tf AS (SELECT term, id, count(*) / any_value(doc_len) AS tf FROM post WHERE term IN (SELECT term FROM qt) GROUP BY term, id),
-w AS (SELECT term, ln((SELECT n FROM nd) / count(*)) AS idf FROM tf GROUP BY term),
-wp AS (SELECT term, id, tf * idf AS w FROM tf JOIN w USING (term) WHERE idf > 0),
-base AS (SELECT id, 0.0 AS z FROM docs),
-scored AS (
-  SELECT qid, id, sum(w) AS score FROM wp JOIN qt USING (term) GROUP BY qid, id
-  UNION ALL SELECT qid, id, 0.0 FROM (SELECT DISTINCT qid FROM queries), base
+{p}qt AS (SELECT DISTINCT qid, unnest({TOK.format(x='qtext')}) AS term FROM {p}queries),
+{p}docs AS (SELECT id, {TOK.format(x="concat_ws(' ', course_name, description, skills)")} AS tok FROM catalog),
+{p}nd AS (SELECT count(*) AS n FROM {p}docs),
+{p}post AS (SELECT id, len(tok) AS doc_len, unnest(tok) AS term FROM {p}docs),
+{p}tf AS (SELECT term, id, count(*) / any_value(doc_len) AS tf FROM {p}post WHERE term IN (SELECT term FROM {p}qt) GROUP BY term, id),
+{p}w AS (SELECT term, ln((SELECT n FROM {p}nd) / count(*)) AS idf FROM {p}tf GROUP BY term),
+{p}wp AS (SELECT term, id, tf * idf AS w FROM {p}tf JOIN {p}w USING (term) WHERE idf > 0),
+{p}scored AS (
+  SELECT qid, id, sum(w) AS score FROM {p}wp JOIN {p}qt USING (term) GROUP BY qid, id
+  UNION ALL SELECT qid, id, 0.0 FROM (SELECT DISTINCT qid FROM {p}queries), (SELECT id FROM {p}docs)
 ),
-best AS (SELECT qid, id, max(score) AS score FROM scored GROUP BY qid, id),
-hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM best)
+{p}best AS (SELECT qid, id, max(score) AS score FROM {p}scored GROUP BY qid, id),
+{p}hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM {p}best)
          WHERE rank <= {n})"""
 
 
@@ -59,7 +59,7 @@ queries AS (
 )"""
 
 C1_BASE = with_catalog(USER_ROLES, RATINGS_SQL.strip()) + _search_sql(RECOMMEND_QUERIES, 20) + f""",
-tagged AS (SELECT h.qid AS user_id, h.id, h.rank, c.course_name, c.level, {LEVEL_CAT_SQL.replace('lower(level)', 'lower(c.level)')} AS level_category
+tagged AS (SELECT h.qid AS user_id, h.id, h.rank, c.course_name, c.level, c.platform, {LEVEL_CAT_SQL.replace('lower(level)', 'lower(c.level)')} AS level_category
            FROM hits h JOIN catalog c ON c.id = h.id),
 recs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, level_category ORDER BY course_name, id) AS rn FROM tagged
          WHERE level_category IN ('BEGINNER', 'INTERMEDIATE', 'ADVANCED')) WHERE rn <= 2)"""
@@ -103,7 +103,25 @@ def level_counts_per_user(spark, sf_dir):
     return tagged.groupBy("user_id", "level_category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("advanced_backfill")
+ADV_SQL = C1_BASE + _search_sql(f"""
+adv_queries AS (SELECT DISTINCT role AS qid, {_template_sql(R.ADVANCED_TEMPLATE, role='role')} AS qtext FROM user_roles)""", 4, "adv_") + """,
+high AS (SELECT user_id FROM latest GROUP BY user_id HAVING count(*) FILTER (WHERE rating >= 3) > 0),
+need AS (SELECT u.user_id, u.role FROM user_roles u
+         WHERE NOT EXISTS (SELECT 1 FROM recs r WHERE r.user_id = u.user_id AND r.level_category = 'ADVANCED')
+           AND u.user_id IN (SELECT user_id FROM high)),
+adv AS (SELECT * FROM (
+          SELECT h.qid AS role, c.id, c.course_name, c.level, c.platform,
+                 row_number() OVER (PARTITION BY h.qid ORDER BY h.rank) AS rn
+          FROM adv_hits h JOIN catalog c ON c.id = h.id WHERE lower(c.level) LIKE '%advanced%') WHERE rn <= 2),
+combined AS (
+  SELECT r.user_id, u.role, r.id, r.course_name, r.level, r.platform, r.level_category, r.rn
+  FROM recs r JOIN user_roles u ON u.user_id = r.user_id
+  UNION ALL
+  SELECT n.user_id, n.role, a.id, a.course_name, a.level, a.platform, 'ADVANCED', a.rn FROM need n JOIN adv a ON a.role = n.role
+)"""
+
+
+@register("advanced_backfill", ADV_SQL + "\nSELECT * FROM combined")
 def advanced_backfill(spark, sf_dir):
     """C2 + U2: users lacking ADVANCED with a rating >= 3 get up to two advanced courses appended."""
     recs, _ = _recs(spark, sf_dir)

@@ -73,3 +73,21 @@ def test_rebalance_jvm_matches_sequential_rules(spark):
     a = R.plan_rebalance(df).select(*cols)
     b = R.plan_rebalance(df, fold="pandas").select(*cols)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_advanced_backfill_branch(spark):
+    """A user with no ADVANCED course and a rating >= 3 gets advanced courses appended; others do not."""
+    cat_rows = [(f"b{k:02d}", f"Course {k}", "expert professional courses", "Beginner", "Udemy", None, f"u/{k}")
+                for k in range(24)]
+    cat_rows.append(("adv", "Deep Course", "advanced " + "zzz " * 200, "Advanced", "edX", None, "u/adv"))
+    catalog = spark.createDataFrame(cat_rows, "id string, course_name string, description string, level string, "
+                                              "platform string, skills string, url string")
+    users = spark.createDataFrame([(1, "Nurse"), (2, "Nurse")], "user_id long, role string")
+    ratings = spark.createDataFrame([(1, "skill_1 (4)"), (2, "skill_1 (1)")], "user_id long, ratings string")
+    high = spark.createDataFrame([(1, 1), (2, 0)], "user_id long, high_rated long")
+    recs, _ = R.recommend_courses(users, ratings, catalog)
+    assert recs.filter(F.col("level_category") == "ADVANCED").count() == 0
+    out = R.advanced_backfill(recs.join(users, "user_id"), users, high, catalog)
+    added = {(r.user_id, r.id) for r in out.filter(F.col("level_category") == "ADVANCED").collect()}
+    assert added == {(1, "adv")}
+    assert out.filter(F.col("user_id") == 2).count() == recs.filter(F.col("user_id") == 2).count()
