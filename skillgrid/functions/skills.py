@@ -84,8 +84,12 @@ def _right_boundary_lookahead(skill: str) -> str:
     return r"(?![\p{L}\p{N}_])" if _is_word(skill[-1:]) else r"(?=[\p{L}\p{N}_])"
 
 
-def dictionary_regex() -> str:
-    """All dictionary skills as one case-insensitive alternation with look-around boundaries.
+def _is_plain_word(skill: str) -> bool:
+    return all(_is_word(ch) for ch in skill)
+
+
+def dictionary_regex(skills=None) -> str:
+    """Dictionary skills as one case-insensitive alternation with look-around boundaries.
 
     Every skill starts with a word character, so one look-behind serves all;
     the right boundary sits inside each alternative so ``Java`` failing on
@@ -93,7 +97,8 @@ def dictionary_regex() -> str:
     match overlapping text at word boundaries, so one left-to-right pass finds
     exactly the skills the per-skill searches would.
     """
-    alts = "|".join(f"(?:{s}){_right_boundary_lookahead(s)}" for _, _, s in dictionary_entries())
+    skills = skills if skills is not None else [s for _, _, s in dictionary_entries()]
+    alts = "|".join(f"(?:{s}){_right_boundary_lookahead(s)}" for s in skills)
     return r"(?i)(?<![\p{L}\p{N}_])(?:" + alts + ")"
 
 
@@ -102,18 +107,37 @@ def _canonical_key(skill: str) -> str:
     return skill.replace("\\", "").lower()
 
 
+def _core(skill: str) -> str:
+    """A lower-case literal every match of ``skill`` contains (text before a wildcard dot)."""
+    key = _canonical_key(skill)
+    return key.split(".")[0] if "." in skill and "\\." not in skill else key
+
+
 def extract_dictionary_skills(text, low=None) -> Column:
     """Dictionary skills found in ``text``, in dictionary order, each once.
 
-    One regex pass per row (``regexp_extract_all``), then each match is
-    normalised to its dictionary key and mapped to its position; positions are
-    sorted and mapped back to the skill names.  ``low`` is accepted for API
-    symmetry and unused.
+    * Skills made only of word characters (69 of 87) match exactly when a
+      word token of the text equals them ignoring case: the text is split on
+      non-word characters and intersected with the literal set (a hash lookup).
+    * The other skills (spaces, ``+``, ``#``, ``/``, ``-``, wildcard dots) run
+      as one look-around regex pass, only for rows containing one of their
+      literal cores.
+    Matches are mapped to dictionary positions, sorted, and mapped back to names.
     """
     entries = dictionary_entries()
-    matches = F.regexp_extract_all(_col(text), F.lit(dictionary_regex()), 0)
-    wild = [(_canonical_key(s), _canonical_key(s).replace(".", "_")) for _, _, s in entries
-            if "." in s and "\\." not in s]
+    t = _col(text)
+    low = F.lower(t) if low is None else _col(low)
+    words = [s for _, _, s in entries if _is_plain_word(s)]
+    others = [s for _, _, s in entries if not _is_plain_word(s)]
+    tokens = F.split(low, r"[^\p{L}\p{N}_]+")
+    word_hits = F.array_intersect(tokens, F.array(*[F.lit(w.lower()) for w in words]))
+    maybe = None
+    for s in others:
+        c = F.instr(low, _core(s)) > 0
+        maybe = c if maybe is None else maybe | c
+    other_matches = F.when(maybe, F.regexp_extract_all(t, F.lit(dictionary_regex(others)), 0)) \
+                     .otherwise(F.array().cast("array<string>"))
+    wild = [(_canonical_key(s), _canonical_key(s).replace(".", "_")) for s in others if "." in s and "\\." not in s]
 
     def norm(m):
         lm = F.lower(m)
@@ -124,7 +148,8 @@ def extract_dictionary_skills(text, low=None) -> Column:
 
     pos_map = F.create_map(*[x for pos, _, s in entries for x in (F.lit(_canonical_key(s)), F.lit(pos))])
     names = F.array(*[F.lit(s) for _, _, s in entries])
-    positions = F.filter(F.transform(matches, lambda m: F.element_at(pos_map, norm(m))), lambda p: p.isNotNull())
+    keys = F.concat(word_hits, F.transform(other_matches, norm))
+    positions = F.filter(F.transform(keys, lambda k: F.element_at(pos_map, k)), lambda p: p.isNotNull())
     return F.transform(F.array_sort(F.array_distinct(positions)), lambda p: F.element_at(names, p + 1))
 
 

@@ -106,3 +106,27 @@ def test_half_even_percentages(spark):
     df = spark.createDataFrame([(1, 8), (1, 3), (2, 3)], "m int, n int")
     out = [r.p for r in df.select(F.bround(F.col("m") / F.col("n") * 100.0, 1).alias("p")).collect()]
     assert out == [12.5, 33.3, 66.7]
+
+
+def test_dictionary_matches_python_re_on_random_texts(spark):
+    """Randomised texts dense with skills and tricky separators versus Python's ``re`` with ``\\b``."""
+    import random
+    import re
+
+    rnd = random.Random(42)
+    skills = [s for _, _, s in S.dictionary_entries()]
+    plain = [s.replace("\\", "") for s in skills]
+    seps = [" ", ", ", ".", "+", "#", "-", "/", "é", "_", "1", "\n", "(", ")", "", "  "]
+    texts = []
+    for _ in range(3000):
+        parts = []
+        for _ in range(rnd.randint(1, 8)):
+            w = rnd.choice(plain + ["node-js", "ASPxNET", "gO", "r", "Javas", "C++x", "c#y", "data  analysis"])
+            w = "".join(ch.upper() if rnd.random() < 0.3 else ch for ch in w)
+            parts.append(w + rnd.choice(seps))
+        texts.append("".join(parts))
+    expected = [[s for s in skills if re.search(r"\b" + s + r"\b", t, re.IGNORECASE)] for t in texts]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
+    got = {r.i: r.s for r in df.select("i", S.extract_dictionary_skills("x").alias("s")).collect()}
+    bad = [(texts[i], expected[i], got[i]) for i in range(len(texts)) if expected[i] != got[i]]
+    assert not bad, bad[:5]
