@@ -107,12 +107,6 @@ def _canonical_key(skill: str) -> str:
     return skill.replace("\\", "").lower()
 
 
-def _core(skill: str) -> str:
-    """A lower-case literal every match of ``skill`` contains (text before a wildcard dot)."""
-    key = _canonical_key(skill)
-    return key.split(".")[0] if "." in skill and "\\." not in skill else key
-
-
 def extract_dictionary_skills(text, low=None) -> Column:
     """Dictionary skills found in ``text``, in dictionary order, each once.
 
@@ -120,8 +114,8 @@ def extract_dictionary_skills(text, low=None) -> Column:
       word token of the text equals them ignoring case: the text is split on
       non-word characters and intersected with the literal set (a hash lookup).
     * The other skills (spaces, ``+``, ``#``, ``/``, ``-``, wildcard dots) run
-      as one look-around regex pass, only for rows containing one of their
-      literal cores.
+      as one look-around regex pass (measured cheaper than substring
+      pre-checks for them).
     Matches are mapped to dictionary positions, sorted, and mapped back to names.
     """
     entries = dictionary_entries()
@@ -131,12 +125,7 @@ def extract_dictionary_skills(text, low=None) -> Column:
     others = [s for _, _, s in entries if not _is_plain_word(s)]
     tokens = F.split(low, r"[^\p{L}\p{N}_]+")
     word_hits = F.array_intersect(tokens, F.array(*[F.lit(w.lower()) for w in words]))
-    maybe = None
-    for s in others:
-        c = F.instr(low, _core(s)) > 0
-        maybe = c if maybe is None else maybe | c
-    other_matches = F.when(maybe, F.regexp_extract_all(t, F.lit(dictionary_regex(others)), 0)) \
-                     .otherwise(F.array().cast("array<string>"))
+    other_matches = F.regexp_extract_all(t, F.lit(dictionary_regex(others)), 0)
     wild = [(_canonical_key(s), _canonical_key(s).replace(".", "_")) for s in others if "." in s and "\\." not in s]
 
     def norm(m):
