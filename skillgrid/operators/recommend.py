@@ -90,13 +90,22 @@ def search_text(catalog: DataFrame) -> DataFrame:
     return catalog.withColumn("_search", F.concat_ws(" ", "course_name", "description", "skills"))
 
 
+def catalog_postings(docs: DataFrame, key: str = "id", text: str = "_search") -> DataFrame:
+    """V6 for the catalogue: (term, key, doc_len, cnt) postings of every course (materialise once)."""
+    t = docs.select(key, tokens(text).alias("_tok")).withColumn("doc_len", F.size("_tok"))
+    return (t.select(key, "doc_len", F.explode("_tok").alias("term"))
+            .groupBy("term", key, "doc_len").agg(F.count(F.lit(1)).alias("cnt")))
+
+
 def shared_search(docs: DataFrame, key: str, text: str, queries: DataFrame, qkey: str, extra_text: str,
-                  shared_text: str, n: int) -> DataFrame:
+                  shared_text: str, n: int, postings: DataFrame | None = None) -> DataFrame:
     """Top-n TF-IDF per query where query = ``shared_text`` words + the query's own words.
 
     Queries with the same set of own words have the same answer, so the search
     runs once per distinct word set (keyed by the sorted set itself, exact) and
     the bounded results (sets x n rows) are joined back to the queries.
+    ``postings`` (from ``catalog_postings``, usually a materialised table) saves
+    re-tokenising the documents; without it they are built here.
     Returns (qkey, key, score, rank).  Exact; see the module docstring.
     """
     spark = docs.sparkSession
@@ -110,11 +119,10 @@ def shared_search(docs: DataFrame, key: str, text: str, queries: DataFrame, qkey
     qt_plain = sets.select("_set", F.explode(F.from_json("_set", "array<string>")).alias("term"))
     qt = sized_broadcast(qt_plain)
     vocab = qt_plain.select("term").union(shared_df).distinct()
-    t = docs.select(key, tokens(text).alias("_tok")).withColumn("doc_len", F.size("_tok"))
+    if postings is None:
+        postings = catalog_postings(docs, key, text)
     n_docs = docs.select(F.count(F.lit(1))).scalar()
-    post = (t.select(key, "doc_len", F.explode("_tok").alias("term"))
-            .join(F.broadcast(vocab), "term", "left_semi")
-            .groupBy("term", key, "doc_len").agg(F.count(F.lit(1)).alias("cnt"))
+    post = (postings.join(F.broadcast(vocab), "term", "left_semi")
             .withColumn("tf", F.col("cnt") / F.col("doc_len")))
     weights = (post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
                .select("term", F.log(F.lit(n_docs).cast("double") / F.col("df")).alias("idf"))
@@ -151,7 +159,8 @@ def ratings_text(latest_ratings: DataFrame) -> DataFrame:
                      ", ").alias("ratings"))
 
 
-def recommend_courses(users: DataFrame, ratings: DataFrame, catalog: DataFrame, n: int = 20, per_level: int = 2):
+def recommend_courses(users: DataFrame, ratings: DataFrame, catalog: DataFrame, n: int = 20, per_level: int = 2,
+                      postings: DataFrame | None = None):
     """Search (limit 20) -> level bucket (N12) -> two per bucket by name.
 
     ``users``: (user_id, role); ``ratings``: output of ``ratings_text``.
@@ -161,7 +170,7 @@ def recommend_courses(users: DataFrame, ratings: DataFrame, catalog: DataFrame,
         "qtext", F.concat_ws(" ", F.col("role"), F.coalesce("ratings", F.lit(DEFAULT_RATINGS))))
     shared = RECOMMEND_TEMPLATE.format(role="", ratings="")
     docs = search_text(catalog)
-    hits = shared_search(docs, "id", "_search", q, "user_id", "qtext", shared, n)
+    hits = shared_search(docs, "id", "_search", q, "user_id", "qtext", shared, n, postings)
     found = hits.join(catalog.select("id", "course_name", "level", "platform", "skills", "url", "description"), "id")
     tagged = found.withColumn("level_category", level_category("level"))
     w = Window.partitionBy("user_id", "level_category").orderBy(F.col("course_name").asc_nulls_last(), F.col("id"))
@@ -177,7 +186,7 @@ def missing_levels(recs: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def advanced_backfill(recs: DataFrame, users: DataFrame, high_rated: DataFrame, catalog: DataFrame,
-                      limit: int = 4, keep: int = 2) -> DataFrame:
+                      limit: int = 4, keep: int = 2, postings: DataFrame | None = None) -> DataFrame:
     """C2 + U2: for users lacking ADVANCED with some rating >= 3, append up to two advanced courses.
 
     The backfill search depends only on the role, so it runs once per distinct
@@ -188,7 +197,7 @@ def advanced_backfill(recs: DataFrame, users: DataFrame, high_rated: DataFrame,
             .join(users, "user_id"))
     roles = users.select("role").distinct().withColumn("qtext", F.col("role"))
     shared = ADVANCED_TEMPLATE.format(role="")
-    hits = shared_search(search_text(catalog), "id", "_search", roles, "role", "qtext", shared, limit)
+    hits = shared_search(search_text(catalog), "id", "_search", roles, "role", "qtext", shared, limit, postings)
     adv = (hits.join(catalog.select("id", "course_name", "level", "platform", "skills", "url", "description"), "id")
            .filter(F.lower("level").like("%advanced%")))
     w = Window.partitionBy("role").orderBy("rank")
@@ -301,7 +310,7 @@ def spread_all_levels(courses: DataFrame) -> DataFrame:
 
 
 def transition_courses(users: DataFrame, missing: DataFrame, catalog: DataFrame, n: int = 6,
-                       fold: str = "jvm") -> DataFrame:
+                       fold: str = "jvm", postings: DataFrame | None = None) -> DataFrame:
     """Per user search (limit 6) with up to three sanitised missing skills, N13 buckets, spreading fold.
 
     ``fold='jvm'`` (default) runs the fold as an ``aggregate`` expression;
@@ -312,7 +321,7 @@ def transition_courses(users: DataFrame, missing: DataFrame, catalog: DataFrame,
          .withColumn("_sk", skill_token_sanitize(F.coalesce("missing_skills", F.array().cast("array<string>")), 3))
          .withColumn("qtext", F.concat_ws(" ", F.translate("role", "'\";", ""), F.array_join("_sk", ", "))))
     shared = (TRANSITION_TEMPLATE.format(role="", focus="") + TRANSITION_FOCUS.format(skills=""))
-    hits = shared_search(search_text(catalog), "id", "_search", q, "user_id", "qtext", shared, n)
+    hits = shared_search(search_text(catalog), "id", "_search", q, "user_id", "qtext", shared, n, postings)
     found = (hits.join(catalog.select("id", "course_name", "level", "platform", "skills", "url"), "id")
              .filter(F.col("course_name").isNotNull() & F.col("url").isNotNull())
              .join(users, "user_id")

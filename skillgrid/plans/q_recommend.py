@@ -9,7 +9,7 @@ from ..operators import windows as W
 from . import fixtures as X
 from .fixture_sql import USER_ROLES, q, with_catalog
 from .q_relational import LEVEL_CAT_SQL, RATINGS_SQL, latest_ratings
-from .registry import catalog, register
+from .registry import catalog, catalog_postings, register
 
 TOK = "list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}]+'), lambda t: t <> '')"
 
@@ -68,7 +68,7 @@ recs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, level
 def _recs(spark, sf_dir):
     users = X.user_roles(spark, sf_dir)
     rt = R.ratings_text(latest_ratings(spark, sf_dir))
-    return R.recommend_courses(users, rt, catalog(spark, sf_dir))
+    return R.recommend_courses(users, rt, catalog(spark, sf_dir), postings=catalog_postings(spark, sf_dir))
 
 
 @register("recommend_courses", C1_BASE + "\nSELECT user_id, level_category, rn, id, course_name FROM recs")
@@ -129,7 +129,7 @@ def advanced_backfill(spark, sf_dir):
     lr = latest_ratings(spark, sf_dir)
     high = lr.groupBy("user_id").agg(F.count_if(F.col("rating") >= 3).alias("high_rated"))
     recs = recs.join(users, "user_id")
-    return R.advanced_backfill(recs, users, high, catalog(spark, sf_dir))
+    return R.advanced_backfill(recs, users, high, catalog(spark, sf_dir), postings=catalog_postings(spark, sf_dir))
 
 
 def _transition(spark, sf_dir):
@@ -140,7 +140,7 @@ def _transition(spark, sf_dir):
     req = sized_broadcast(rr.select("role", (F.col("pos") + F.when(F.col("bucket") == "essential", 0).otherwise(100)).alias("pos"),
                                     "skill_name"))
     missing = G.missing_skills(users, req, X.held_skills(spark, sf_dir))
-    return R.transition_courses(users, missing, catalog(spark, sf_dir))
+    return R.transition_courses(users, missing, catalog(spark, sf_dir), postings=catalog_postings(spark, sf_dir))
 
 
 @register("transition_courses")

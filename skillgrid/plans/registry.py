@@ -60,6 +60,12 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(built, f"catalog@{sf_dir}", "table")
 
 
+def catalog_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue's search postings (V6), materialised as a table once per application."""
+    from ..operators import recommend as R
+    return materialize(R.catalog_postings(R.search_text(catalog(spark, sf_dir))), f"catalog_postings@{sf_dir}", "table")
+
+
 def _r6(c):
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
