@@ -92,10 +92,18 @@ PII_PATTERNS = (
 
 
 def pii_scrub(c) -> Column:
-    """Five ordered removals; order matters (the address rule sees phone-free text)."""
+    """Five ordered removals; order matters (the address rule sees phone-free text).
+
+    Two exact speed-ups: the e-mail rule only runs on texts containing ``@``
+    (it cannot match otherwise), and disallowed characters are removed in runs
+    (``[...]+``) instead of one match per character -- same result.
+    """
+    email, phone, address, disallowed = PII_PATTERNS
     out = _col(c)
-    for pattern in PII_PATTERNS:
-        out = F.regexp_replace(out, pattern, "")
+    out = F.when(F.instr(out, "@") > 0, F.regexp_replace(out, email, "")).otherwise(out)
+    out = F.regexp_replace(out, phone, "")
+    out = F.regexp_replace(out, address, "")
+    out = F.regexp_replace(out, disallowed + "+", "")
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
