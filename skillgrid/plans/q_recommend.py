@@ -143,13 +143,13 @@ def _transition(spark, sf_dir):
     return R.transition_courses(users, missing, catalog(spark, sf_dir), postings=catalog_postings(spark, sf_dir))
 
 
-@register("transition_courses")
+@register("transition_courses", None)
 def transition_courses(spark, sf_dir):
     """C3 (+N13, N21): search with missing skills (limit 6), ALL_LEVELS spread per user."""
     return _transition(spark, sf_dir).select("user_id", "rank", "id", "level_category")
 
 
-@register("need_order")
+@register("need_order", None)
 def need_order(spark, sf_dir):
     """Least / most populated level per user after spreading."""
     return R.need_order(_transition(spark, sf_dir))
@@ -234,3 +234,89 @@ def role_to_catalog(spark, sf_dir):
     per_role = roles.withColumn("lc", want).join(cat, "lc")
     recs = W.top_k_per_group(per_role, ["role"], [F.col("course_name").asc(), F.col("id").asc()], 2).select("role", "id", "course_name")
     return R.role_to_catalog(latest, recs).select("user_id", "role", "id", "course_name")
+
+
+# ---- SQL twins of the order-dependent folds (C3, A7) --------------------------------
+def _any_sql(x: str, words) -> str:
+    return "(" + " OR ".join(f"contains({x}, {q(w)})" for w in words) + ")"
+
+
+def _fix_sql(prev: str, lvl: str) -> str:
+    own = {"BEGINNER": "b", "INTERMEDIATE": "i", "ADVANCED": "a"}[lvl]
+    mx = "CASE WHEN s.b >= s.i AND s.b >= s.a THEN 'BEGINNER' WHEN s.i >= s.a THEN 'INTERMEDIATE' ELSE 'ADVANCED' END"
+    cond = f"(s.{own} = 0 AND len(s.cats) > 0 AND greatest(s.b, s.i, s.a) > 1)"
+
+    def cnt(name, col):
+        return (f"s.{col} + CASE WHEN {cond} AND '{name}' = '{lvl}' THEN 1 ELSE 0 END"
+                f" - CASE WHEN {cond} AND ({mx}) = '{name}' THEN 1 ELSE 0 END")
+
+    return (f"SELECT user_id, has_all, items, {{'cats': CASE WHEN {cond} THEN list_transform(s.cats, lambda c, j: "
+            f"CASE WHEN j = list_position(s.cats, {mx}) THEN '{lvl}' ELSE c END) ELSE s.cats END, "
+            f"'b': {cnt('BEGINNER', 'b')}, 'i': {cnt('INTERMEDIATE', 'i')}, 'a': {cnt('ADVANCED', 'a')}}} AS s FROM {prev}")
+
+
+def _transition_sql() -> str:
+    from .fixture_sql import HELD, REQUIREMENTS
+    from .q_scalar import LEVEL_TRANS
+    sanitize = ("list_filter(list_transform(list_filter(m, lambda s: s IS NOT NULL AND length(s) > 0), "
+                "lambda s: regexp_replace(translate(s, '''\";', ''), '^\\s+|\\s+$', '', 'g')), lambda s: length(s) > 2)[1:3]")
+    focus = f"CASE WHEN len({sanitize}) > 0 THEN ' Focus on courses that teach ' || array_to_string({sanitize}, ', ') || '.' ELSE '' END"
+    queries = f"""
+tr_queries AS (
+  SELECT u.user_id AS qid,
+         'Show me the best courses for ' || translate(u.role, '''";', '') || ' including beginner to advanced levels.' || {focus} AS qtext
+  FROM user_roles u LEFT JOIN miss ms ON ms.user_id = u.user_id
+)"""
+    b_words, a_words = R.BEGINNER_INDICATORS, R.ADVANCED_INDICATORS
+    least = ("CASE WHEN acc.b <= acc.i AND acc.b <= acc.a THEN 'BEGINNER' WHEN acc.i <= acc.a THEN 'INTERMEDIATE' "
+             "ELSE 'ADVANCED' END")
+    target = (f"CASE WHEN {_any_sql('lower(coalesce(x.name, ' + q('') + '))', b_words)} THEN 'BEGINNER' "
+              f"WHEN {_any_sql('lower(coalesce(x.name, ' + q('') + '))', a_words)} THEN 'ADVANCED' ELSE {least} END")
+    step = ("lambda acc, x: {'cats': list_append(acc.cats, CASE WHEN x.cat = 'ALL_LEVELS' THEN " + target +
+            " ELSE x.cat END), " + ", ".join(
+                f"'{c}': acc.{c} + CASE WHEN x.cat = 'ALL_LEVELS' AND ({target}) = '{lvl}' THEN 1 ELSE 0 END"
+                for c, lvl in (("b", "BEGINNER"), ("i", "INTERMEDIATE"), ("a", "ADVANCED"))) + "}")
+    cnt = lambda lvl: f"len(list_filter(items, lambda y: y.cat = '{lvl}'))"
+    return with_catalog(USER_ROLES, HELD, REQUIREMENTS) + f""",
+need AS (SELECT u.user_id, u.role, r.pos + CASE WHEN r.bucket = 'essential' THEN 0 ELSE 100 END AS pos, r.skill_name
+         FROM user_roles u JOIN rr r ON r.role = u.role),
+mj AS (SELECT n.*, h.skill IS NULL AS missing FROM need n LEFT JOIN held h ON h.user_id = n.user_id AND h.skill = n.skill_name),
+magg AS (SELECT user_id, role, list(skill_name ORDER BY pos) FILTER (WHERE missing) AS m0 FROM mj GROUP BY user_id, role),
+miss AS (SELECT u.user_id, CASE WHEN len(coalesce(m0, CAST([] AS VARCHAR[]))) > 0 THEN m0
+                                ELSE [u.role || ' Best Practices', 'Advanced Tools', 'Industry Knowledge'] END AS m
+         FROM user_roles u LEFT JOIN magg g ON g.user_id = u.user_id)""" + _search_sql(queries, 6, "tr_") + f""",
+found AS (
+  SELECT h.qid AS user_id, h.rank, c.id, c.course_name AS name, {LEVEL_TRANS.replace('lower(level)', 'lower(c.level)')} AS cat
+  FROM tr_hits h JOIN catalog c ON c.id = h.id WHERE c.course_name IS NOT NULL AND c.url IS NOT NULL
+),
+per AS (SELECT user_id, list({{'rank': rank, 'id': id, 'name': name, 'cat': cat}} ORDER BY rank) AS items FROM found GROUP BY user_id),
+f0 AS (
+  SELECT user_id, items, list_contains(list_transform(items, lambda y: y.cat), 'ALL_LEVELS') AS has_all,
+         list_reduce(items, {step},
+                     {{'cats': CAST([] AS VARCHAR[]), 'b': {cnt('BEGINNER')}, 'i': {cnt('INTERMEDIATE')}, 'a': {cnt('ADVANCED')}}}) AS s
+  FROM per
+),
+f1 AS ({_fix_sql('f0', 'BEGINNER')}),
+f2 AS ({_fix_sql('f1', 'INTERMEDIATE')}),
+f3 AS ({_fix_sql('f2', 'ADVANCED')}),
+spread AS (
+  SELECT user_id, unnest(items) AS it,
+         unnest(CASE WHEN has_all THEN s.cats ELSE list_transform(items, lambda y: y.cat) END) AS level_category
+  FROM f3
+)"""
+
+
+TRANSITION_SQL = _transition_sql()
+
+
+from .registry import ORACLE as _ORACLE, _json_text  # noqa: E402
+
+_ORACLE["transition_courses"] = _json_text(TRANSITION_SQL + "\nSELECT user_id, CAST(it.rank AS INTEGER) AS rank, it.id AS id, level_category FROM spread")
+_ORACLE["need_order"] = _json_text(TRANSITION_SQL + """,
+cnts AS (SELECT user_id, count(*) FILTER (WHERE level_category = 'BEGINNER') AS b,
+                count(*) FILTER (WHERE level_category = 'INTERMEDIATE') AS i,
+                count(*) FILTER (WHERE level_category = 'ADVANCED') AS a FROM spread GROUP BY user_id)
+SELECT user_id,
+  CASE WHEN b <= i AND b <= a THEN 'BEGINNER' WHEN i <= a THEN 'INTERMEDIATE' ELSE 'ADVANCED' END AS least_level,
+  CASE WHEN b >= i AND b >= a THEN 'BEGINNER' WHEN i >= a THEN 'INTERMEDIATE' ELSE 'ADVANCED' END AS most_level
+FROM cnts""")
