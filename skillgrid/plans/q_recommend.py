@@ -320,3 +320,46 @@ SELECT user_id,
   CASE WHEN b <= i AND b <= a THEN 'BEGINNER' WHEN i <= a THEN 'INTERMEDIATE' ELSE 'ADVANCED' END AS least_level,
   CASE WHEN b >= i AND b >= a THEN 'BEGINNER' WHEN i >= a THEN 'INTERMEDIATE' ELSE 'ADVANCED' END AS most_level
 FROM cnts""")
+
+
+def _rebalance_sql() -> str:
+    named = _any_sql("lower(coalesce(x.name, ''))", R.REBALANCE_BEGINNER_WORDS)
+    rest = "list_filter(src, lambda x: NOT list_contains(list_transform(picks, lambda p: p.id), x.id))"
+    return TRANSITION_SQL + f""",
+p0 AS (
+  SELECT user_id, list_filter(items, lambda x: x.cat = 'BEGINNER') AS b, list_filter(items, lambda x: x.cat = 'INTERMEDIATE') AS i,
+         list_filter(items, lambda x: x.cat = 'ADVANCED') AS a
+  FROM (SELECT user_id, list({{'rank': it.rank, 'id': it.id, 'name': it.name, 'cat': level_category}} ORDER BY it.rank) AS items
+        FROM spread GROUP BY user_id)
+),
+p1 AS (SELECT *, len(b) = 0 AND (len(i) > 0 OR len(a) > 0) AS c1, CASE WHEN len(i) > 0 THEN i ELSE a END AS src FROM p0),
+p1b AS (SELECT *, list_concat(list_filter(src, lambda x: {named}), list_filter(src, lambda x: NOT {named}))[1:2] AS picks FROM p1),
+p1c AS (SELECT user_id, CASE WHEN c1 THEN picks ELSE b END AS b, CASE WHEN c1 AND len(i) > 0 THEN {rest} ELSE i END AS i,
+               CASE WHEN c1 AND len(i) = 0 THEN {rest} ELSE a END AS a FROM p1b),
+p2 AS (SELECT *, len(b) > 2 AS useb, CASE WHEN len(b) > 2 THEN b ELSE a END AS src FROM p1c),
+p2b AS (SELECT user_id, CASE WHEN c2 AND useb THEN src[3:] ELSE b END AS b, CASE WHEN c2 THEN src[1:2] ELSE i END AS i,
+               CASE WHEN c2 AND NOT useb THEN src[3:] ELSE a END AS a
+        FROM (SELECT *, len(i) = 0 AND (len(b) > 0 OR len(a) > 0) AND len(src) > 0 AS c2 FROM p2)),
+p3 AS (SELECT *, len(i) > 2 AS usei, CASE WHEN len(i) > 2 THEN i ELSE b END AS src FROM p2b),
+p3b AS (
+  SELECT user_id,
+         CASE WHEN c3 AND NOT usei THEN src[1:len(src) - k] ELSE b END AS b,
+         CASE WHEN c3 AND usei THEN src[1:len(src) - k] ELSE i END AS i,
+         CASE WHEN c3 THEN list_reverse(src[len(src) - k + 1:len(src)]) ELSE a END AS a
+  FROM (SELECT *, len(a) = 0 AND (len(b) > 0 OR len(i) > 0) AND len(src) > 0 AS c3, least(len(src), 2) AS k FROM p3)
+),
+plan AS (
+  SELECT user_id, lvl AS level_category, CAST(u.slot AS INTEGER) AS slot, months, u.c.id AS id FROM (
+    SELECT user_id, 'BEGINNER' AS lvl, '1-2' AS months, unnest(list_transform(b[1:2], lambda x, j: {{'slot': j, 'c': x}})) AS u FROM p3b
+    UNION ALL
+    SELECT user_id, 'INTERMEDIATE', '3-4', unnest(list_transform(i[1:2], lambda x, j: {{'slot': j, 'c': x}})) FROM p3b
+    UNION ALL
+    SELECT user_id, 'ADVANCED', '5-6', unnest(list_transform(a[1:2], lambda x, j: {{'slot': j, 'c': x}})) FROM p3b)
+)"""
+
+
+REBALANCE_SQL = _rebalance_sql()
+_ORACLE["plan_rebalance"] = _json_text(REBALANCE_SQL + "\nSELECT user_id, level_category, slot, months, id FROM plan")
+_ORACLE["plan_table"] = _json_text(REBALANCE_SQL + """
+SELECT p.user_id, p.level_category, p.slot, p.months, c.course_name, c.platform, to_json(string_split(c.skills, ', ')) AS skills
+FROM plan p JOIN catalog c ON c.id = p.id""")
