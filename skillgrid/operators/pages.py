@@ -116,7 +116,9 @@ def jsonld_course_edx(pages: DataFrame) -> DataFrame:
     level = F.when(F.coalesce(lvl, F.lit("")) != "", _capitalize(lvl)).otherwise(nf)
     tr = _vs(v, "$.timeRequired")
     tr_kind = F.schema_of_variant(F.try_variant_get(v, "$.timeRequired", "variant"))
-    tr_ok = tr.isNotNull() & (tr_kind.isin("STRING", "BIGINT", "INT", "SMALLINT", "TINYINT") | tr_kind.startswith("DECIMAL"))
+    # A string or an integer (a JSON boolean counts as one) takes the first branch; a
+    # float or an object falls through to the repeat-count search, as in the reference.
+    tr_ok = tr.isNotNull() & tr_kind.isin("STRING", "BIGINT", "INT", "SMALLINT", "TINYINT", "BOOLEAN")
     repeat = F.filter(F.transform(F.try_variant_get(v, "$.hasCourseInstance", "array<variant>"),
                                   lambda i: _vs(i, "$.courseSchedule.repeatCount")),
                       lambda r: r.rlike("^[0-9]+$"))

@@ -22,8 +22,11 @@ def frame(spark):
     skills = json.dumps({"skills": ["Data Day", "Python"], "timeRequired": "PT13H",
                          "hasCourseInstance": [{"courseSchedule": {"repeatCount": 7}}],
                          "about": [{"skill": "Learn X"}, {"skill": "Spark"}]})
+    floaty = json.dumps({"timeRequired": 5.0, "hasCourseInstance": [{"courseSchedule": {"repeatCount": 9}}]})
+    inty = json.dumps({"timeRequired": 3, "coursePrerequisites": ["Not found"], "inLanguage": "fr"})
     rows = [(1, "u", _page(graph)), (2, "u", _page(obj)), (3, "u", _page("{bad json")),
-            (4, "u", "<html><h1>Only</h1></html>"), (5, "u", _page(skills)), (6, "u", "")]
+            (4, "u", "<html><h1>Only</h1></html>"), (5, "u", _page(skills)), (6, "u", ""),
+            (7, "u", _page(floaty)), (8, "u", _page(inty))]
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
 
@@ -41,16 +44,50 @@ def test_jsonld_course_edx(spark):
     assert (out[2].institution, out[2].level, out[2].duration, out[2].prerequisites) == ("MIT", "Intermediate", "5 weeks", "P")
     assert (out[5].duration, out[5].associated_skills, out[5].grow_these_skills) == ("Not found", "Spark", "Python")
     assert out[1].institution == "Not found" and out[3].level == "Not found"
+    assert out[7].duration == "9 weeks"            # a float is neither str nor int: repeat-count branch
+    assert (out[8].duration, out[8].prerequisites, out[8].language) == ("3 weeks", "Not found", "fr")
 
 
 def test_html_fallbacks_and_quality(spark):
     f = frame(spark)
     out = {r.page_id: r for r in P.html_fallbacks(f).collect()}
     assert out[1].course_name == "Title X" and out[1].description == "Desc" and out[6].course_name == "Not found"
-    assert sorted(r.page_id for r in P.page_text_quality(f).collect()) == [1, 2, 3, 4, 5]
+    assert sorted(r.page_id for r in P.page_text_quality(f).collect()) == [1, 2, 3, 4, 5, 7, 8]
 
 
 def test_links_absolute_and_distinct(spark):
     html = '<a href="/a?x=1">a</a><a href="/a">a</a><a href="https://o.org/b">b</a>'
     df = spark.createDataFrame([(1, "https://h.com/p?q", html)], "page_id long, url string, html string")
     assert sorted(r.link for r in P.extract_links(df).collect()) == ["https://h.com/a", "https://o.org/b"]
+
+
+def test_jsonld_course_sql_twin_on_inline_pages(spark):
+    """The DuckDB twin of H3 gives the same rows as Spark on the inline JSON-LD pages."""
+    import duckdb
+
+    import __spark_entry__ as E
+    f = frame(spark)
+    con = duckdb.connect()
+    pdf = f.toPandas()
+    con.register("pages", pdf)
+    rel = con.execute(E.oracle_sql()["jsonld_course"])
+    cols = [d[0] for d in rel.description]
+    duck = sorted(tuple(str(v) for v in r) for r in rel.fetchall())
+    got = P.jsonld_course(f).select(*cols)
+    sp = sorted(tuple(str(v) for v in r) for r in got.collect())
+    assert duck == sp
+
+
+def test_jsonld_course_edx_sql_twin_on_inline_pages(spark):
+    """The DuckDB twin of H4 gives the same rows as Spark on the inline JSON-LD pages."""
+    import duckdb
+
+    import __spark_entry__ as E
+    f = frame(spark)
+    con = duckdb.connect()
+    con.register("pages", f.toPandas())
+    rel = con.execute(E.oracle_sql()["jsonld_course_edx"])
+    cols = [d[0] for d in rel.description]
+    duck = sorted(tuple(str(v) for v in r) for r in rel.fetchall())
+    sp = sorted(tuple(str(v) for v in r) for r in P.jsonld_course_edx(f).select(*cols).collect())
+    assert duck == sp
