@@ -130,3 +130,32 @@ def test_dictionary_matches_python_re_on_random_texts(spark):
     got = {r.i: r.s for r in df.select("i", S.extract_dictionary_skills("x").alias("s")).collect()}
     bad = [(texts[i], expected[i], got[i]) for i in range(len(texts)) if expected[i] != got[i]]
     assert not bad, bad[:5]
+
+
+def test_section_extract_matches_python_re(spark):
+    """N25 versus Python's ``re`` with the same fixed patterns (sections, tokens, case-sensitive tech names)."""
+    import re
+
+    texts = [
+        "Summary\nSkills: Python, SQL; Docker | Kubernetes\n  more tools here\n• bullet\nWorked with React and Node.js daily.",
+        "TECHNOLOGIES used: Go, Rust , C++ and PyTorch.\nAlso java (lower case) and Java.",
+        "tools:a,bb,ccc\nNothing else. Experience with AWS, Azure and Git.",
+        "No sections at all, just MongoDB and MySQL and PostgreSQL and pandas.",
+        "",
+    ]
+
+    def expected(t):
+        out = []
+        for section in re.findall(S.SECTION_PATTERN, t):
+            out.extend(s.strip() for s in re.findall(S.TOKEN_PATTERN, section) if len(s.strip()) > 2)
+        out.extend(re.findall(S.TECH_PATTERN, t))
+        seen = []
+        for s in out:
+            if s not in seen:
+                seen.append(s)
+        return seen
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
+    got = {r.i: r.s for r in df.select("i", S.skill_section_extract("x").alias("s")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == expected(t), (t, got[i], expected(t))
