@@ -16,13 +16,13 @@ match scores ``base(d)``, so it can only reach a user's top n if it is in the
 global top n by ``base``; that bounded list (n rows) is attached to every
 user by exploding one array literal -- linear in users, no cross join.
 
-Order-dependent folds (C3 spreading, C4 rebalancing) run per user in
-``applyInPandas`` on groups bounded by the search limit (<= 20 rows).
+Order-dependent folds (C3 spreading, C4 rebalancing) run per user as array
+expressions (``aggregate``, ``filter``, ``slice``) over lists bounded by the
+search limit, so no Python runs on the executors.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -213,38 +213,6 @@ TRANSITION_SCHEMA = ("user_id long, role string, id string, course_name string,
                      "skills string, rank int, level_category string")
 
 
-def _spread(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per user: assign ALL_LEVELS courses by name words, else to the least-populated level."""
-    pdf = pdf.sort_values("rank", kind="stable").reset_index(drop=True)
-    cats = list(pdf["level_category"])
-    if "ALL_LEVELS" in cats:
-        counts = {lvl: cats.count(lvl) for lvl in LEVELS}
-        for i, c in enumerate(cats):
-            if c != "ALL_LEVELS":
-                continue
-            name = (pdf.at[i, "course_name"] or "").lower()
-            if any(w in name for w in BEGINNER_INDICATORS):
-                target = "BEGINNER"
-            elif any(w in name for w in ADVANCED_INDICATORS):
-                target = "ADVANCED"
-            else:
-                target = sorted(counts.items(), key=lambda x: x[1])[0][0]
-            cats[i] = target
-            counts[target] += 1
-        for lvl in LEVELS:
-            if counts[lvl] == 0 and len(cats) > 0:
-                max_level = max(counts.items(), key=lambda x: x[1])[0]
-                if counts[max_level] > 1:
-                    for i, c in enumerate(cats):
-                        if c == max_level:
-                            cats[i] = lvl
-                            counts[lvl] += 1
-                            counts[max_level] -= 1
-                            break
-    pdf["level_category"] = cats
-    return pdf
-
-
 def _contains_any(s: Column, words) -> Column:
     cond = None
     for w in words:
@@ -310,12 +278,8 @@ def spread_all_levels(courses: DataFrame) -> DataFrame:
 
 
 def transition_courses(users: DataFrame, missing: DataFrame, catalog: DataFrame, n: int = 6,
-                       fold: str = "jvm", postings: DataFrame | None = None) -> DataFrame:
-    """Per user search (limit 6) with up to three sanitised missing skills, N13 buckets, spreading fold.
-
-    ``fold='jvm'`` (default) runs the fold as an ``aggregate`` expression;
-    ``fold='pandas'`` runs the same rules in ``applyInPandas`` (kept as a check).
-    """
+                       postings: DataFrame | None = None) -> DataFrame:
+    """Per user search (limit 6) with up to three sanitised missing skills, N13 buckets, spreading fold."""
     from ..functions.skills import skill_token_sanitize
     q = (users.join(missing, ["user_id", "role"], "left")
          .withColumn("_sk", skill_token_sanitize(F.coalesce("missing_skills", F.array().cast("array<string>")), 3))
@@ -328,8 +292,6 @@ def transition_courses(users: DataFrame, missing: DataFrame, catalog: DataFrame,
              .withColumn("level_category", level_category_transition("level"))
              .select("user_id", "role", "id", "course_name", "level", "platform", "skills",
                      F.col("rank").cast("int").alias("rank"), "level_category"))
-    if fold == "pandas":
-        return found.groupBy("user_id").applyInPandas(_spread, TRANSITION_SCHEMA)
     return spread_all_levels(found)
 
 
@@ -351,52 +313,12 @@ PLAN_SCHEMA = ("user_id long, level_category string, slot int, months string, id
 MONTHS = {"BEGINNER": "1-2", "INTERMEDIATE": "3-4", "ADVANCED": "5-6"}
 
 
-def _rebalance(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("rank", kind="stable")
-    rows = pdf.to_dict("records")
-    b = [r for r in rows if r["level_category"] == "BEGINNER"]
-    i = [r for r in rows if r["level_category"] == "INTERMEDIATE"]
-    a = [r for r in rows if r["level_category"] == "ADVANCED"]
-    if not b and (i or a):
-        src = i if i else a
-        for _ in range(min(len(src), 2)):
-            idx = -1
-            for k, c in enumerate(src):
-                name = (c.get("course_name") or "").lower()
-                if any(w in name for w in REBALANCE_BEGINNER_WORDS):
-                    idx = k
-                    break
-            if idx == -1 and src:
-                idx = 0
-            if idx != -1:
-                b.append(src.pop(idx))
-    if not i and (b or a):
-        src = b if len(b) > 2 else a
-        for _ in range(min(len(src), 2)):
-            i.append(src.pop(0))
-    if not a and (b or i):
-        src = i if len(i) > 2 else b
-        for _ in range(min(len(src), 2)):
-            a.append(src.pop())
-    out = []
-    for lvl, lst in (("BEGINNER", b), ("INTERMEDIATE", i), ("ADVANCED", a)):
-        for slot, c in enumerate(lst[:2], start=1):
-            out.append({"user_id": c["user_id"], "level_category": lvl, "slot": slot, "months": MONTHS[lvl],
-                        "id": c["id"], "course_name": c["course_name"], "platform": c["platform"],
-                        "level": c["level"], "skills": c["skills"]})
-    return pd.DataFrame(out, columns=["user_id", "level_category", "slot", "months", "id", "course_name",
-                                      "platform", "level", "skills"])
-
-
-def plan_rebalance(courses: DataFrame, fold: str = "jvm") -> DataFrame:
+def plan_rebalance(courses: DataFrame) -> DataFrame:
     """C4: fill empty levels from neighbours, then first two per level with month windows.
 
-    ``fold='jvm'`` (default) writes the three moves as array expressions over
-    each user's (search-bounded) course list; ``fold='pandas'`` runs the same
-    rules in ``applyInPandas`` (kept as a check).
+    The three moves are array expressions over each user's (search-bounded)
+    course list, so the whole plan stays in the JVM.
     """
-    if fold == "pandas":
-        return courses.groupBy("user_id").applyInPandas(_rebalance, PLAN_SCHEMA)
     big = 1 << 20
     item = F.struct("rank", "id", "course_name", "platform", "level", "skills", "level_category")
     per = courses.groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
