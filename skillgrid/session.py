@@ -51,7 +51,6 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     spark = builder.getOrCreate()
     apply_semantics(spark)
     ensure_checkpoint_dir(spark)
-    ship_package(spark)
     return spark
 
 
@@ -80,22 +79,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
 
-
-_SHIPPED: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Make ``skillgrid`` importable in Python workers (needed by grouped pandas operators).
-
-    The package is zipped once per driver process and registered with
-    ``addPyFile``, which distributes it to every executor of the application.
-    """
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    import shutil
-    pkg = os.path.dirname(os.path.abspath(__file__))
-    staging = tempfile.mkdtemp(prefix="skillgrid-pkg-")
-    archive = shutil.make_archive(os.path.join(staging, "skillgrid"), "zip", os.path.dirname(pkg), "skillgrid")
-    spark.sparkContext.addPyFile(archive)
-    _SHIPPED.add(app)
