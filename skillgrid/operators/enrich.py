@@ -95,7 +95,11 @@ def tokenize_letters(text) -> Column:
 
 
 def language_hits(tokens) -> list[tuple[str, Column]]:
-    """Per language, how many of ``tokens`` are its stop words (map-side)."""
+    """Per language, how many of ``tokens`` are its stop words (map-side).
+
+    Ten-word literal lists scanned with ``array_contains`` measured faster than
+    a literal map lookup per token.
+    """
     tokens = _col(tokens)
     out = []
     for lang, words in LANGUAGE_STOPWORDS:

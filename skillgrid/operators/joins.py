@@ -15,9 +15,18 @@ BROADCAST_MAX_ROWS = 2_000_000
 
 
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking its row count (one cheap job on a small side)."""
+    """Broadcast ``df`` only after checking its row count.
+
+    The side is persisted before counting so the join reuses the counted rows
+    instead of recomputing them; when it is too large to broadcast the cache is
+    released and a shuffle join is planned instead.
+    """
+    df = df.persist()
     n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    if n <= max_rows:
+        return F.broadcast(df)
+    df.unpersist()
+    return df
 
 
 def merge_update(target: DataFrame, source: DataFrame, key: str, set_col: str, value_col: str) -> DataFrame:

@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import state as M
 from ..session import scratch_path
 from ..streaming import jobs as ST
 from . import fixtures as X
@@ -74,4 +73,4 @@ def incremental_model(spark, sf_dir):
     # Every row is delivered twice (two drops) to show that re-delivered keys are not appended again.
     _drop(c.unionByName(c), src, 4)
     ST.incremental_model(spark, src, "id long, course_name string", sink, ckpt, "id")
-    return M.read_latest(spark, sink).select("id", "course_name")
+    return ST.read_model(spark, sink).select("id", "course_name")

@@ -18,12 +18,12 @@ def test_incremental_model_restart(spark):
     first = spark.range(0, 100).select(F.col("id"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("course_name"))
     first.repartition(2).write.mode("append").parquet(src)
     ST.incremental_model(spark, src, "id long, course_name string", sink, ckpt, "id")
-    assert M.read_latest(spark, sink).count() == 100
+    assert ST.read_model(spark, sink).count() == 100
     # second run: overlapping and new keys; the first drop is not read again
     second = spark.range(50, 150).select(F.col("id"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("course_name"))
     second.repartition(2).write.mode("append").parquet(src)
     ST.incremental_model(spark, src, "id long, course_name string", sink, ckpt, "id")
-    out = M.read_latest(spark, sink)
+    out = ST.read_model(spark, sink)
     assert out.count() == 150 and out.select("id").distinct().count() == 150
 
 
