@@ -27,6 +27,11 @@ PLAN_CONF = {
     # Broadcast only what the planner can prove small; the operators add
     # explicit hints only for sides whose size is bounded by construction.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # AQE sizes post-shuffle partitions from map output statistics.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+    # Keyed streaming state (crawl dedup) lives in RocksDB on local disk + checkpoint, not on the heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
