@@ -53,16 +53,20 @@ def skip_processed(links: DataFrame, processed: DataFrame, key: str = "url") ->
     return incremental_new_only(links, processed, key)
 
 
-def insert_if_absent(existing: DataFrame, new_rows: DataFrame, key: str):
-    """(accepted, rejected) new rows; a key already present (or repeated in the batch) is rejected.
+def insert_if_absent(existing: DataFrame, new_rows: DataFrame, key: str, order=None):
+    """(accepted, rejected) new rows; a key already present, or repeated in the batch, is rejected.
 
-    Within one batch the first row per key (by ``key`` order of arrival,
-    here the smallest remaining columns) is accepted, later ones rejected.
+    Within one batch the first row per key under ``order`` (default: the row's
+    other columns) is accepted and later repeats are rejected.
     """
-    present = existing.select(key).filter(F.col(key).isNotNull()).distinct()
-    fresh = new_rows.join(present, key, "left_anti")
-    dup = new_rows.join(present, key, "left_semi")
-    return fresh, dup
+    present = existing.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("_present", F.lit(True))
+    order = order or [F.col(c) for c in new_rows.columns if c != key]
+    w = Window.partitionBy(key).orderBy(*order)
+    ranked = new_rows.withColumn("_n", F.row_number().over(w)).join(present, key, "left")
+    ok = F.col("_present").isNull() & (F.col("_n") == 1)
+    accepted = ranked.filter(ok).drop("_n", "_present")
+    rejected = ranked.filter(~ok).drop("_n", "_present")
+    return accepted, rejected
 
 
 def role_to_catalog(latest_roles: DataFrame, recs: DataFrame, role_col: str = "target_role") -> DataFrame:

@@ -175,8 +175,11 @@ def materialize_model(spark, sf_dir):
     """The catalogue as a view, a table (parquet in the shared folder) and a checkpoint."""
     cat = catalog(spark, sf_dir)
     view = materialize(cat.select("platform"), "catalog_platforms", "view")
-    table = materialize(view, f"catalog_platforms@{sf_dir}", "table")
-    return table.groupBy("platform").agg(F.count(F.lit(1)).alias("n"))
+    table = materialize(spark.table("catalog_platforms"), f"catalog_platforms@{sf_dir}", "table")
+    counted = materialize(table.groupBy("platform").agg(F.count(F.lit(1)).alias("n")), "catalog_platform_counts",
+                          "checkpoint")
+    del view
+    return counted
 
 
 @register("lateral_flatten", """

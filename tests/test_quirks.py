@@ -159,3 +159,12 @@ def test_section_extract_matches_python_re(spark):
     got = {r.i: r.s for r in df.select("i", S.skill_section_extract("x").alias("s")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == expected(t), (t, got[i], expected(t))
+
+
+def test_insert_if_absent_rejects_existing_and_repeats(spark):
+    from skillgrid.operators.joins import insert_if_absent
+    existing = spark.createDataFrame([("ann",)], "username string")
+    batch = spark.createDataFrame([("ann", 1), ("bob", 2), ("bob", 3), ("cy", 4)], "username string, user_id int")
+    acc, rej = insert_if_absent(existing, batch, "username")
+    assert sorted((r.username, r.user_id) for r in acc.collect()) == [("bob", 2), ("cy", 4)]
+    assert sorted((r.username, r.user_id) for r in rej.collect()) == [("ann", 1), ("bob", 3)]
