@@ -57,15 +57,18 @@ def insert_if_absent(existing: DataFrame, new_rows: DataFrame, key: str, order=N
     """(accepted, rejected) new rows; a key already present, or repeated in the batch, is rejected.
 
     Within one batch the first row per key under ``order`` (default: the row's
-    other columns) is accepted and later repeats are rejected.
+    other columns) is accepted and later repeats are rejected.  The first row
+    is a ``min`` over a struct (partial aggregation, so a hot key is combined
+    map-side); the rejected rows are the batch minus the accepted ones
+    (``exceptAll``, NULL-safe and duplicate-aware).
     """
-    present = existing.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("_present", F.lit(True))
-    order = order or [F.col(c) for c in new_rows.columns if c != key]
-    w = Window.partitionBy(key).orderBy(*order)
-    ranked = new_rows.withColumn("_n", F.row_number().over(w)).join(present, key, "left")
-    ok = F.col("_present").isNull() & (F.col("_n") == 1)
-    accepted = ranked.filter(ok).drop("_n", "_present")
-    rejected = ranked.filter(~ok).drop("_n", "_present")
+    present = existing.select(key).filter(F.col(key).isNotNull()).distinct()
+    others = [c for c in new_rows.columns if c != key]
+    order = order or others
+    packed = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(c) for c in others])
+    reps = new_rows.groupBy(key).agg(F.min(packed).alias("_r")).join(present, key, "left_anti")
+    accepted = reps.select(key, *[F.col("_r")[c].alias(c) for c in others]).select(*new_rows.columns)
+    rejected = new_rows.exceptAll(accepted)
     return accepted, rejected
 
 
