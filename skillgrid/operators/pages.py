@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.skills import skill_stoplist
-from ..functions.text import url_prefix, url_strip_query
+from ..functions.text import url_strip_query
 
 HREF = r'href="([^"]*)"'
 OG_URL = r'<meta[^>]*property="og:url"[^>]*content="([^"]*)"'

@@ -27,7 +27,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.courses import level_category, level_category_transition
-from ..functions.skills import rule_lookup
 from .joins import sized_broadcast
 from .search import tokens
 
@@ -418,5 +417,3 @@ def role_to_catalog(latest_roles: DataFrame, role_recs: DataFrame) -> DataFrame:
     """users' latest roles joined to per-role recommendations (bounded by roles x k)."""
     return latest_roles.join(sized_broadcast(role_recs), "role")
 
-
-__all__ = ["rule_lookup"]

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import courses as C
 from ..functions import skills as S
-from ..functions import text as T
 from ..operators import joins as J
 from ..operators import quality as Q
 from ..operators import state as M

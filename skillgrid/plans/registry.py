@@ -10,13 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..functions import courses as C
 from . import fixtures as X
 from .fixtures import INGESTION_TIME
 from ..operators import catalog as CAT
-from ..operators import windows as W
 from ..sources.materialize import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,10 +63,6 @@ def catalog_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(R.catalog_postings(R.search_text(catalog(spark, sf_dir))), f"catalog_postings@{sf_dir}", "table")
 
 
-def _r6(c):
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
-
-
 # Importing the query modules fills QUERIES / ORACLE.
 from . import q_catalog  # noqa: E402,F401
 from . import q_scalar  # noqa: E402,F401

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import search as SR
-from ..operators import state as M
 
 
 def _run(query, timeout_s: int = 600) -> None:
