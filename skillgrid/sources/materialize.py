@@ -10,12 +10,14 @@ application and name.
 from __future__ import annotations
 
 import hashlib
+import threading
 
 from pyspark.sql import DataFrame
 
 from ..session import scratch_path
 
 _WRITTEN: dict[tuple[str, str], str] = {}
+_LOCK = threading.Lock()          # queries may be submitted from several driver threads
 
 
 def table_location(df: DataFrame, name: str) -> str:
@@ -41,9 +43,10 @@ def materialize(df: DataFrame, name: str, kind: str = "table") -> DataFrame:
     if kind != "table":
         raise ValueError(kind)
     key = (spark.sparkContext.applicationId, name)
-    path = _WRITTEN.get(key)
-    if path is None:
-        path = table_location(df, name)
-        df.write.mode("overwrite").parquet(path)
-        _WRITTEN[key] = path
+    with _LOCK:
+        path = _WRITTEN.get(key)
+        if path is None:
+            path = table_location(df, name)
+            df.write.mode("overwrite").parquet(path)
+            _WRITTEN[key] = path
     return spark.read.parquet(path)
