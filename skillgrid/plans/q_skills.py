@@ -34,7 +34,23 @@ def skill_dictionary_extract(spark, sf_dir):
                         F.element_at(cat_of, F.col("skill")).alias("category"))
 
 
-@register("skill_section_extract")
+def _section_sql() -> str:
+    plain = [t for t in S.TECH_NAMES if "\\" not in t]
+    plain_list = "[" + ", ".join(q(t) for t in plain) + "]"
+    tech = (f"list_filter(list_transform(runs, lambda r, j: CASE "
+            f"WHEN list_contains({plain_list}, r) THEN r "
+            f"WHEN r = 'Node' AND runs[j + 1] = '.' AND runs[j + 2] = 'js' THEN 'Node.js' "
+            f"WHEN r = 'C' AND runs[j + 1] = '++' AND regexp_matches(coalesce(runs[j + 2], ''), '^[\\p{{L}}\\p{{N}}_]') THEN 'C++' END), "
+            f"lambda x: x IS NOT NULL)")
+    tokens = (f"list_filter(list_transform(flatten(list_transform(regexp_extract_all(text, {q(S.SECTION_PATTERN)}, 1), "
+              f"lambda sec: regexp_extract_all(sec, {q(S.TOKEN_PATTERN)}, 1))), lambda t: trim(t)), lambda t: length(t) > 2)")
+    return f"""
+WITH r AS (SELECT doc_id, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS runs FROM documents),
+a AS (SELECT doc_id, list_concat({tokens}, {tech}) AS l FROM r)
+SELECT doc_id, to_json(list_filter(l, lambda x, i: list_position(l, x) = i)) AS skills FROM a"""
+
+
+@register("skill_section_extract", _section_sql())
 def skill_section_extract(spark, sf_dir):
     """``skills:``-section tokens plus technology names per document (ordered, unique)."""
     d = X._t(spark, sf_dir, "documents", "doc_id", "text")

@@ -168,3 +168,25 @@ def test_insert_if_absent_rejects_existing_and_repeats(spark):
     acc, rej = insert_if_absent(existing, batch, "username")
     assert sorted((r.username, r.user_id) for r in acc.collect()) == [("bob", 2), ("cy", 4)]
     assert sorted((r.username, r.user_id) for r in rej.collect()) == [("ann", 1), ("bob", 3)]
+
+
+def test_section_extract_sql_twin_matches_spark(spark):
+    """The DuckDB twin of N25 (word/non-word runs instead of \\b) equals Spark on section-rich texts."""
+    import json
+
+    import duckdb
+    import pandas as pd
+
+    import __spark_entry__ as E
+    texts = [
+        "Skills: Python, SQL; Docker | Kubernetes\n  more tools\n• bullet\nReact and Node.js, C++x and C++ daily.",
+        "TECHNOLOGIES used: Go, Rust , C++ and PyTorch.\nAlso java and Java, JavaScript, Python,Java.",
+        "tools:a,bb,ccc\nAWS, Azure and Git. éGo Goé Go!",
+        "",
+    ]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": list(range(len(texts))), "text": texts}))
+    duck = {r[0]: json.loads(r[1]) for r in con.execute(E.oracle_sql()["skill_section_extract"]).fetchall()}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.s for r in df.select("doc_id", S.skill_section_extract("text").alias("s")).collect()}
+    assert duck == got
