@@ -39,13 +39,18 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
                   app_name: str = "skillgrid") -> SparkSession:
     """Create (or reuse) a session with the pinned semantics.
 
-    ``master`` defaults to ``local[$BENCH_CPUS]`` / ``local[*]`` for local runs;
-    on a cluster the launcher's master wins because ``getOrCreate`` reuses it.
+    ``master`` defaults to the launcher's (``spark-submit --master ...``); only
+    when none is configured does it fall back to ``local[$BENCH_CPUS]`` / ``local[*]``.
     """
-    if master is None:
+    from pyspark import SparkConf
+    if master is None and not SparkConf().contains("spark.master"):
+        # No launcher-provided master (spark-submit sets one on a cluster): run locally.
         cpus = os.environ.get("BENCH_CPUS")
         master = f"local[{cpus}]" if cpus else "local[*]"
-    builder = (SparkSession.builder.master(master).appName(app_name)
+    builder = SparkSession.builder
+    if master is not None:
+        builder = builder.master(master)
+    builder = (builder.appName(app_name)
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", os.environ.get("SKILLGRID_DRIVER_MEMORY", "16g")))
