@@ -43,3 +43,9 @@ def test_no_python_in_plans(spark):
         p = plan(fn(spark, SF))
         for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"):
             assert node not in p, (name, node)
+
+
+@pytest.mark.parametrize("name", ["text_search_topn", "recommend_courses"])
+def test_search_filters_postings_to_query_vocabulary(spark, name):
+    p = plan(E.queries()[name](spark, SF))
+    assert "BroadcastHashJoin LeftSemi" in p or "LeftSemi" in p
