@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import read_table
 from . import quality as QL
+from . import simhash as SH
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -59,3 +60,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = QL.apply_policy(QL.ledger(read_table(spark, sf_dir, "documents")), QL.STANDARD)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        (F.col("fail_bits").bitwiseAND(F.lit(QL.BASE.mask)) != 0).alias("base_failed"), "kept", "fail_bits")
+
+
+@register("op4_simhash_near_dedup")
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash (3-word shingles) and its group under links of 2 or fewer bits."""
+    return SH.report(read_table(spark, sf_dir, "documents"), k=3, max_bits=2, seed=42)
