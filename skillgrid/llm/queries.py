@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import read_table
+from . import hosts as HO
 from . import quality as QL
+from . import sharding as SD
 from . import simhash as SH
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +68,57 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's SimHash (3-word shingles) and its group under links of 2 or fewer bits."""
     return SH.report(read_table(spark, sf_dir, "documents"), k=3, max_bits=2, seed=42)
+
+
+@register("op7_sharding")
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of equal row counts, equal texts drawn together by balanced label propagation."""
+    return SD.shard(read_table(spark, sf_dir, "documents"), 16)
+
+
+OP8_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def _op8_sql() -> str:
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v)
+            for v, h, p in sorted(OP8_RULES, key=lambda r: -len(r[1] + r[2]))]
+    rule = "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for c, n, _ in fits) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for c, _, v in fits) + " END"
+    longer = ", ".join(f"'{s}'" for s in HO.LONG_SUFFIXES)
+
+    def level(name: str, source: str) -> str:
+        return f"""{name}_s AS (SELECT 1 / least(0.5, greatest(0.0005, CASE WHEN sum(n * (n - 1) * m * (1 - m)) > 0 THEN
+              (sum((bad - n * m) * (bad - n * m)) - sum(n * m * (1 - m))) / sum(n * (n - 1) * m * (1 - m)) ELSE 0 END)) - 1 AS s FROM {source}),
+{name} AS (SELECT {source}.*, (bad + s * m) / (n + s) AS mean, n + s AS weight FROM {source}, {name}_s)"""
+    return rf"""
+WITH seen AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{HO.UPPER}', '{HO.LOWER}') AS host,
+                     coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+marks AS (SELECT doc_id AS page_id, count(*) AS n, sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad
+          FROM labels GROUP BY 1),
+counts AS (SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad
+           FROM seen LEFT JOIN marks USING (page_id) GROUP BY host),
+bare AS (SELECT *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS l FROM counts),
+known AS (SELECT *, CASE WHEN array_to_string(l[-2:], '.') IN ({longer}) THEN 2 ELSE 1 END AS k FROM bare),
+cut AS (SELECT host, n, bad, array_to_string(l[-k:], '.') AS suffix, array_to_string(l[-(k + 1):], '.') AS domain FROM known),
+suffix0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM cut) AS m FROM cut GROUP BY suffix),
+{level("suffixes", "suffix0")},
+domain0 AS (SELECT c.*, s.mean AS m FROM (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM cut GROUP BY 1, 2) c JOIN suffixes s USING (suffix)),
+{level("domains", "domain0")},
+host0 AS (SELECT cut.host, cut.n, cut.bad, d.mean AS m FROM cut JOIN domains d USING (domain)),
+{level("hosts", "host0")}
+SELECT page_id, host, path, {rule} AS rule,
+       coalesce({verdict}, CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (weight + 1)) > 0.2 THEN 'block' ELSE 'allow' END) AS verdict,
+       CAST(n AS BIGINT) AS host_labelled, CAST(bad AS BIGINT) AS host_bad
+FROM seen LEFT JOIN hosts USING (host)"""
+
+
+@register("op8_url_filter", _op8_sql())
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict: the fixed rules', else its host's reputation.
+
+    Stand-in for labelled page outcomes: the labels of equal ids, bad if quality is 0 or toxic is 1.
+    """
+    labels = read_table(spark, sf_dir, "labels")
+    outcomes = labels.select(F.col("doc_id").alias("id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
+    return HO.judge(read_table(spark, sf_dir, "pages"), outcomes, OP8_RULES)
