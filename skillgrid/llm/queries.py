@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import read_table
+from . import decontaminate as DC
 from . import hosts as HO
 from . import quality as QL
 from . import sharding as SD
@@ -122,3 +123,9 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels")
     outcomes = labels.select(F.col("doc_id").alias("id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
     return HO.judge(read_table(spark, sf_dir, "pages"), outcomes, OP8_RULES)
+
+
+@register("op6_decontamination")
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document streamed through the suffix automaton of all benchmark items, windows of 10 words."""
+    return DC.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), 10)
