@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..sources.tables import read_table
 from . import decontaminate as DC
 from . import hosts as HO
+from . import phrases as PH
 from . import quality as QL
 from . import sharding as SD
 from . import simhash as SH
@@ -129,3 +130,9 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document streamed through the suffix automaton of all benchmark items, windows of 10 words."""
     return DC.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), 10)
+
+
+@register("op2_substring_dedup")
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 50-word windows that also start in a document with a smaller id."""
+    return PH.report(read_table(spark, sf_dir, "documents"), 50)

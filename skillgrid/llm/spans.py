@@ -149,3 +149,39 @@ def anchored_runs(h: np.ndarray, row: np.ndarray, width: int, gram: int) -> dict
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w, dtype=np.uint64)])
     digest = mix(total[end] - total[start] + (end - start).astype(np.uint64))
     return dict(anchor=g[where[start]], digest=digest, row=row[start], start=start, n=end - start, off=where[start] - start)
+
+
+def anchor_table(h: np.ndarray, row: np.ndarray, width: int, gram: int, step: int = 1_000_000) -> dict[str, np.ndarray]:
+    """``anchored_runs`` over any length, ``step`` windows at a time; repeats of a run right behind itself fold into ``reps``.
+
+    A run cut at a step's edge counts as two shorter runs of the same anchor.
+    """
+    parts = []
+    for at in range(0, max(1, len(h) - width + 1), step):
+        part = anchored_runs(h[at:at + step + width - 1], row[at:at + step + width - 1], width, gram)
+        part["start"] = part["start"] + at
+        parts.append(part)
+    t = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+    if len(t["n"]):
+        again = np.zeros(len(t["n"]), bool)
+        again[1:] = np.logical_and.reduce([t[k][1:] == t[k][:-1] for k in ("anchor", "digest", "row", "n", "off")])
+        again[1:] &= t["start"][1:] - t["start"][:-1] == t["n"][:-1]
+        first = np.flatnonzero(~again)
+        t = {k: v[first] for k, v in t.items()} | {"reps": np.diff(np.append(first, len(again)))}
+    else:
+        t["reps"] = t["n"]
+    return t
+
+
+def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of ``n`` elements lie inside any of the spans."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, ends, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every run of True."""
+    step = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
