@@ -13,6 +13,7 @@ from . import phrases as PH
 from . import quality as QL
 from . import sharding as SD
 from . import simhash as SH
+from . import suffixes as SX
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -136,3 +137,9 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of 50-word windows that also start in a document with a smaller id."""
     return PH.report(read_table(spark, sf_dir, "documents"), 50)
+
+
+@register("op9_suffix_array_dedup")
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the bytes of 200-byte strings that start anywhere else too."""
+    return SX.report(read_table(spark, sf_dir, "documents"), 200)
