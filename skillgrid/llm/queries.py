@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import scratch_path
 from ..sources.tables import read_table
 from . import decontaminate as DC
 from . import hosts as HO
+from . import packing as PK
 from . import phrases as PH
 from . import quality as QL
+from . import rollups as RL
 from . import sharding as SD
 from . import simhash as SH
 from . import suffixes as SX
+from .common import staged
+from .tokens import Tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -143,3 +149,35 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text without the bytes of 200-byte strings that start anywhere else too."""
     return SX.report(read_table(spark, sf_dir, "documents"), 200)
+
+
+TOKENIZERS = [Tokenizer("byte_bpe_50k@1"), Tokenizer("byte_bpe_50k@2", collapse_space=True)]
+
+
+@register("op5_token_rollups")
+def op5_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals by source, language and tokenizer version after four committed batches.
+
+    All documents of both versions are inserted; toxic ones are deleted; those
+    of quality 0 get their version-2 count as revised version-1 count; and the
+    first batch is committed once more, which changes nothing.  Labels stand in
+    for a feed of changes.
+    """
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    counts = staged(RL.token_counts(docs, TOKENIZERS), "rollup-counts")
+    rollup = RL.TokenRollup(spark, scratch_path(spark, f"llm/rollup-{uuid.uuid4().hex}"))
+    inserts = counts.select("doc_id", "source", "lang", "tokenizer", F.lit("insert").alias("op"), "n_tokens", F.lit(1).cast("long").alias("seq"))
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    low = labels.where("quality = 0 AND toxic = 0").select("doc_id").distinct()
+    revised = counts.where(F.col("tokenizer") == TOKENIZERS[1].version).join(low, "doc_id", "left_semi").withColumn("tokenizer", F.lit(TOKENIZERS[0].version))
+    rollup.commit("insert", inserts)
+    rollup.commit("toxic", inserts.join(toxic, "doc_id", "left_semi").withColumn("op", F.lit("delete")))
+    rollup.commit("recount", revised.select("doc_id", "source", "lang", "tokenizer", F.lit("revise").alias("op"), "n_tokens", F.lit(1).cast("long").alias("seq")))
+    rollup.commit("insert", inserts)
+    return rollup.totals()
+
+
+@register("op10_best_fit_packing")
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token pieces in bins of 512, 1024, 2048 or 4096 tokens."""
+    return PK.packed_documents(read_table(spark, sf_dir, "documents"))
