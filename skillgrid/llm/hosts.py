@@ -73,7 +73,7 @@ def reputation(hosts: DataFrame, z: float = 1.645) -> DataFrame:
     """
     table = hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad")
     n, bad = (float(x or 0) for x in table.agg(F.sum("n"), F.sum("bad")).first())
-    top = (bad + 1) / (n + 2)
+    top = (bad + 1) / (n + 20)  # one bad page in twenty, until labels say otherwise
     suffixes = table.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("m", F.lit(top))
     suffixes = staged(_shrunk(suffixes, _strength(suffixes)), "hosts-suffix").select("suffix", F.col("mean").alias("m"))
     domains = table.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).join(suffixes, "suffix")

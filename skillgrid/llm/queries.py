@@ -110,7 +110,7 @@ counts AS (SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(bad), 0):
 bare AS (SELECT *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS l FROM counts),
 known AS (SELECT *, CASE WHEN array_to_string(l[-2:], '.') IN ({longer}) THEN 2 ELSE 1 END AS k FROM bare),
 cut AS (SELECT host, n, bad, array_to_string(l[-k:], '.') AS suffix, array_to_string(l[-(k + 1):], '.') AS domain FROM known),
-suffix0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM cut) AS m FROM cut GROUP BY suffix),
+suffix0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 1) / (sum(n) + 20) FROM cut) AS m FROM cut GROUP BY suffix),
 {level("suffixes", "suffix0")},
 domain0 AS (SELECT c.*, s.mean AS m FROM (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM cut GROUP BY 1, 2) c JOIN suffixes s USING (suffix)),
 {level("domains", "domain0")},

@@ -67,7 +67,7 @@ def propagate(linked: DataFrame, quotas: list[int], rounds: int = 6) -> DataFram
             return state
         let_in = [min(10 ** 6, r * 10 ** 6 // a) if a else 0 for r, a in zip(room, asked)]
         accepted = F.pmod(F.xxhash64("ord", "fold", F.lit(turn)), F.lit(10 ** 6)) < _lookup(let_in, F.col("to"))
-        state = staged(wish.withColumn("label", F.when(accepted, F.col("to")).otherwise(F.col("label")).cast("int")).drop("to"),
+        state = staged(wish.withColumn("label", F.when(F.col("to").isNotNull() & accepted, F.col("to")).otherwise(F.col("label")).cast("int")).drop("to"),
                        f"shards-{turn}")
     return state
 
