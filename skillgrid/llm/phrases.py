@@ -33,7 +33,7 @@ from .common import by_bytes, keyed, small_batches, staged
 from .spans import anchor_table, byte_view, covered, hash_spans, runs_of, word_bounds
 
 RUNS = "a long, g long, ord long, fold int, start int, n int, off int"
-PIECE = 2_000_000
+PIECE = 500_000  # bytes of text that share one automaton
 
 
 def _runs(width: int, gram: int):
