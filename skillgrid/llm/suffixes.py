@@ -6,11 +6,13 @@ gram of ``gram`` bytes, so equal windows have equal anchors.
 1. One pass lists every text's runs of windows with a common anchor.  An anchor
    that stands only once holds no repeated window and is done.
 2. Equal runs are counted by an aggregate: a run seen twice repeats whole.
-3. The other runs of recurring anchors are dealt to shards by anchor (a very
-   frequent anchor: by run), one copy each.  A shard sorts its suffixes by
+3. The other runs of recurring anchors are dealt to shards by anchor, one copy
+   each; runs of a very frequent anchor are first cut into parts of a few
+   windows, which only meet if the bytes that all their windows share agree.  A shard sorts its suffixes by
    Larsson-Sadakane refinement, takes common prefixes after Kasai, and marks
    neighbouring windows that share ``width`` bytes.
-4. Windows of anchors that span shards are merged across shards: each shard
+4. Where even parts that agree are too many for a shard, they are dealt over
+   all of them, and their windows are merged across shards: each shard
    sends one key per different window, keys are dealt by range, and binary
    search in the sorted keys finds those that other shards have too.
 5. Every text gets the spans of its repeated windows and loses their bytes.
@@ -29,25 +31,29 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import by_bytes, keyed, small_batches, staged
-from .spans import anchor_table, byte_hashes, byte_view, covered, runs_of
+from .spans import anchor_table, byte_hashes, byte_view, covered, mix, runs_of
 
-RUNS = "a long, g long, ord long, fold int, start int, n int, reps int"
+RUNS = "a long, g long, ord long, fold int, start int, n int, off int, reps int"
 PIECE = 2_000_000
 SHARD_BYTES = 2_000_000
-HOT = 256
+HOT = 256  # runs of one anchor that are left together
+SPLIT = 16  # windows of a frequent anchor that are told apart by what they share
 
 
-def _runs(width: int, gram: int):
+def _runs(width: int, gram: int, scoped: bool):
     def run(batches):
         for part in by_bytes(batches, "text", PIECE):
             raw, offsets = byte_view(part.column("text"))
             row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
             t = anchor_table(byte_hashes(raw), row, width, gram)
+            if scoped:  # anchors of different scopes never meet
+                t["anchor"] = mix(t["anchor"] + part.column("scope").to_numpy().view(np.uint64)[t["row"]])
             at = pa.array(t["row"])
             yield pa.record_batch([
                 pa.array(t["anchor"].view(np.int64)), pa.array(t["digest"].view(np.int64)), part.column("ord").take(at), part.column("fold").take(at),
-                pa.array(t["start"] - offsets[t["row"]], pa.int32()), pa.array(t["n"], pa.int32()), pa.array(t["reps"], pa.int32())],
-                names=["a", "g", "ord", "fold", "start", "n", "reps"])
+                pa.array(t["start"] - offsets[t["row"]], pa.int32()), pa.array(t["n"], pa.int32()),
+                pa.array(t["off"], pa.int32()), pa.array(t["reps"], pa.int32())],
+                names=["a", "g", "ord", "fold", "start", "n", "off", "reps"])
     return run
 
 
@@ -61,7 +67,7 @@ def suffix_order(raw: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(raw)
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
     key = np.ndarray((n,), dtype=">u8", buffer=padded, strides=(1,)).astype(np.uint64)
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     new = np.concatenate([[True], key[sa[1:]] != key[sa[:-1]]]) if n else np.zeros(0, bool)
     heads = np.flatnonzero(new)
     tails = np.append(heads[1:], n) - 1
@@ -76,7 +82,7 @@ def suffix_order(raw: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         group = rank[suffix]
         after = suffix + step
         second = np.where(after < n, rank[np.minimum(after, n - 1)], -1)
-        order = np.lexsort((second, group))
+        order = np.argsort(group * (n + 1) + second)  # below n * n + 2 n, so far from the limit for a shard's n
         suffix, group, second = suffix[order], group[order], second[order]
         sa[place] = suffix
         cut = np.concatenate([[True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])])
@@ -123,10 +129,15 @@ def common_prefixes(raw: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
     return got[sa]
 
 
-def repeated_windows(pieces: list[bytes], windows: list[int], width: int) -> list[np.ndarray]:
-    """Per piece, a class number for each of its first windows: equal numbers, equal bytes; -1: found only once."""
+def repeated_windows(pieces: list[bytes], windows: list[int], low: list[int], high: list[int], width: int) -> list[np.ndarray]:
+    """Per piece, a class number for each of its first windows: equal numbers, equal bytes; -1: not repeated.
+
+    ``low`` and ``high`` are the least and greatest place a piece stands at; a
+    class is repeated if its pieces' places are not all the same.
+    """
     raw = np.frombuffer(b"".join(pieces), np.uint8)
-    begin = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
+    sizes = np.array([len(p) for p in pieces])
+    begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     sa, _ = suffix_order(raw, width)
     is_window = np.zeros(len(raw), bool)
     for b, n in zip(begin, windows):
@@ -135,28 +146,53 @@ def repeated_windows(pieces: list[bytes], windows: list[int], width: int) -> lis
     number = np.cumsum(common_prefixes(raw, sa, width) < width)
     chosen = is_window[sa]
     sa, number = sa[chosen], number[chosen]
-    size = np.bincount(number, minlength=1)
+    heads = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+    piece = np.searchsorted(begin, sa, side="right") - 1
+    apart = np.minimum.reduceat(np.array(low)[piece], heads) != np.maximum.reduceat(np.array(high)[piece], heads)
     label = np.full(len(raw), -1, np.int64)
-    label[sa] = np.where(size[number] > 1, number, -1)
+    label[sa] = np.where(np.repeat(apart, np.diff(np.append(heads, len(sa)))), number, -1)
     return [label[b:b + n] for b, n in zip(begin, windows)]
 
 
+BODIES = "a long, g long, meet long, base int, n int, whole boolean, hot boolean, low long, high long, body binary"
+
+
+def _parts(w: dict, body: bytes, width: int):
+    """(meet, base, n, body) of a run; equal windows have an equal ``meet``.
+
+    Runs of a frequent anchor are cut by the place of the anchor in their
+    windows, ``SPLIT`` places at a time, and meet only where all the bytes
+    agree that such windows have in common.
+    """
+    if not w["hot"]:
+        yield w["a"], 0, w["n"], body
+        return
+    off, n = w["off"], w["n"]
+    for j in range((off - n + 1) // SPLIT, off // SPLIT + 1):
+        common = body[off - j * SPLIT: off - (j + 1) * SPLIT + 1 + width]
+        key = xxhash.xxh3_64_intdigest(common, seed=w["a"] % 2 ** 64)
+        first, last = off - min(off, j * SPLIT + SPLIT - 1), off - max(off - n + 1, j * SPLIT)
+        yield key - (1 << 64) if key >> 63 else key, first, last - first + 1, body[first:last + width]
+
+
 def _read(width: int):
-    """The bytes of each wanted run."""
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
+    """The bytes of each wanted run, or of its parts."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["a", "g", "meet", "base", "n", "whole", "hot", "low", "high", "body"]
 
     def run(batches):
         for part in by_bytes(batches, "text", PIECE):
             out = []
             for text, wanted in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist()):
                 raw = text.encode()
-                out += [(w["a"], w["g"], w["n"], w["whole"], w["hot"], raw[w["start"]: w["start"] + w["n"] + width - 1]) for w in wanted]
-            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [()] * 6, kinds)],
-                                  names=["a", "g", "n", "whole", "hot", "body"])
+                for w in wanted:
+                    for meet, base, n, body in _parts(w, raw[w["start"]: w["start"] + w["n"] + width - 1], width):
+                        out.append((w["a"], w["g"], meet, base, n, w["whole"], w["hot"], w["low"], w["high"], body))
+            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [()] * len(kinds), kinds)], names=names)
     return run
 
 
-VERDICTS = "a long, g long, kind int, at array<int>, k1 long, k2 long"
+VERDICTS = "a long, g long, kind int, at array<int>, k1 long, k2 long, low long, high long"
 
 
 def _verdicts(width: int):
@@ -164,13 +200,13 @@ def _verdicts(width: int):
     Kind 2: a key that this shard has; nothing is to be found out for it."""
 
     def solve(rows):
-        labels = repeated_windows([r["body"] for r in rows], [r["n"] for r in rows], width)
+        labels = repeated_windows([r["body"] for r in rows], [r["n"] for r in rows], [r["low"] for r in rows], [r["high"] for r in rows], width)
         out, sent = [], set()
         for r, label in zip(rows, labels):
             many = label >= 0
             if not r["whole"] and many.any():
                 s, e = runs_of(many)
-                out.append((r["a"], r["g"], 0, np.stack([s, e], axis=1).ravel().tolist(), 0, 0))
+                out.append((r["a"], r["g"], 0, (np.stack([s, e], axis=1) + r["base"]).ravel().tolist(), 0, 0, 0, 0))
             if r["hot"]:
                 for o, c in enumerate(label.tolist()):
                     if c >= 0 and c in sent:
@@ -179,9 +215,10 @@ def _verdicts(width: int):
                     d = xxhash.xxh3_128_intdigest(r["body"][o:o + width])
                     k1, k2 = (x - (1 << 64) if x >> 63 else x for x in (d >> 64, d & 0xFFFFFFFFFFFFFFFF))
                     # a window that its shard has several times, or whose run repeats whole, is settled but counts for others
-                    out.append((r["a"], r["g"], 2 if c >= 0 or r["whole"] else 1, [o], k1, k2))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64()]
-        return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [()] * 6, kinds)], names=["a", "g", "kind", "at", "k1", "k2"])
+                    out.append((r["a"], r["g"], 2 if c >= 0 or r["whole"] else 1, [o + r["base"]], k1, k2, r["low"], r["high"]))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), *[pa.int64()] * 4]
+        return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [()] * 8, kinds)],
+                               names=["a", "g", "kind", "at", "k1", "k2", "low", "high"])
 
     def run(batches):
         held, shard = [], None
@@ -199,46 +236,60 @@ def _verdicts(width: int):
 
 
 def _merge(batches):
-    """Keys of one range, sorted: a window is repeated if binary search finds its key more than once."""
+    """Keys of one range, sorted: a window is repeated if binary search finds its key at another place too."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     t = pa.Table.from_batches(held)
     ask = np.flatnonzero(t.column("kind").to_numpy() == 1)
-    k1, k2 = (t.column(c).to_numpy() for c in ("k1", "k2"))
+    k1, k2, low, high = (t.column(c).to_numpy() for c in ("k1", "k2", "low", "high"))
     lo, hi = np.searchsorted(k1, k1[ask], "left"), np.searchsorted(k1, k1[ask], "right")
     near = hi - lo > 1
-    twice = [i for i, l, h in zip(ask[near], lo[near], hi[near]) if np.count_nonzero(k2[l:h] == k2[i]) > 1]
+    twice = []
+    for i, l, h in zip(ask[near], lo[near], hi[near]):
+        same = k2[l:h] == k2[i]
+        if low[l:h][same].min() != high[l:h][same].max():
+            twice.append(i)
     found = t.take(pa.array(twice, pa.int64())).to_pylist()
     yield pa.record_batch([pa.array([r["a"] for r in found], pa.int64()), pa.array([r["g"] for r in found], pa.int64()),
                            pa.array([[r["at"][0], r["at"][0] + 1] for r in found], pa.list_(pa.int32()))], names=["a", "g", "at"])
 
 
-def repeated_spans(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """ord, fold, spans: per text the (start, end) byte ranges covered by repeated windows; may overlap."""
-    spark = docs.sparkSession
-    runs = staged(docs.select("ord", "fold", "text").mapInArrow(_runs(width, gram), RUNS), "suffixes-runs")
-    again = runs.groupBy("a").agg(F.sum("reps").alias("c")).where("c > 1").select("a")
+def repeated_spans(docs: DataFrame, width: int, gram: int, scoped: bool = False) -> DataFrame:
+    """ord, fold, spans: per text the (start, end) byte ranges covered by repeated windows; may overlap.
+
+    A window is repeated if it starts anywhere else; with ``scoped``, if it also
+    starts in another text (ord, fold) of the same ``scope`` (a long).
+    """
+    columns = ["ord", "fold", "text", *(["scope"] if scoped else [])]
+    runs = staged(docs.select(*columns).mapInArrow(_runs(width, gram, scoped), RUNS), "suffixes-runs")
+    place = F.xxhash64("ord", "fold")
+    repeats = (F.min(place) != F.max(place)) if scoped else (F.sum("reps") > 1)
+    again = runs.groupBy("a").agg(repeats.alias("r")).where("r").select("a")
     runs = staged(runs.join(again, "a", "left_semi"), "suffixes-recurring")
-    kinds = staged(runs.groupBy("a", "g").agg(F.sum("reps").alias("c"), F.first("n").alias("n"), F.min(F.struct("ord", "fold", "start")).alias("at")),
-                   "suffixes-kinds")
-    several = kinds.groupBy("a").agg(F.count("*").alias("m")).where("m > 1")
-    mixed = kinds.join(several, "a").select("a", "g", "n", "at", (F.col("c") > 1).alias("whole"), (F.col("m") > HOT).alias("hot"))
+    low, high = (F.min(place), F.max(place)) if scoped else (F.xxhash64("a", "g"), F.xxhash64("a", "g"))  # a run is its own place
+    kinds = staged(runs.groupBy("a", "g").agg(repeats.alias("whole"), F.first("n").alias("n"), F.first("off").alias("off"), F.min(F.struct("ord", "fold", "start")).alias("at"),
+                                              low.alias("low"), high.alias("high")), "suffixes-kinds")
+    several = staged(kinds.groupBy("a").agg(F.count("*").alias("m")).where("m > 1"), "suffixes-several")
+    mixed = kinds.join(several, "a").withColumn("hot", F.col("m") > HOT)
     wanted = (mixed.select(F.col("at.ord").alias("ord"), F.col("at.fold").alias("fold"),
-                           F.struct("a", "g", F.col("at.start").alias("start"), "n", "whole", "hot").alias("w"))
+                           F.struct("a", "g", F.col("at.start").alias("start"), "n", "off", "whole", "hot", "low", "high").alias("w"))
               .groupBy("ord", "fold").agg(F.collect_list("w").alias("wanted")))  # bounded by the text's length
-    bodies = staged(docs.select("ord", "fold", "text").join(wanted, ["ord", "fold"])
-                    .mapInArrow(_read(width), "a long, g long, n int, whole boolean, hot boolean, body binary").dropDuplicates(["a", "g"]), "suffixes-bodies")
+    bodies = (docs.select("ord", "fold", "text").join(wanted, ["ord", "fold"])
+              .mapInArrow(_read(width), BODIES).dropDuplicates(["a", "g", "base"]))
+    bodies = staged(bodies, "suffixes-bodies")
+    meets = bodies.where("hot").groupBy("meet").count().where("count > 1").select("meet", (F.col("count") > HOT).alias("many"))
+    several = bodies.where("hot").join(meets, "meet").select(*bodies.columns, "many").drop("hot").withColumnRenamed("many", "hot")
+    bodies = staged(bodies.where("NOT hot").drop("hot").withColumn("hot", F.lit(False)).unionByName(several), "suffixes-met")
     total = bodies.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     shards = max(1, total // SHARD_BYTES + 1)
-    dealt = (bodies.withColumn("shard", F.pmod(F.when(F.col("hot"), F.xxhash64("a", "g")).otherwise(F.xxhash64("a")), F.lit(shards)))
+    dealt = (bodies.withColumn("shard", F.pmod(F.when(F.col("hot"), F.xxhash64("a", "g", "base")).otherwise(F.xxhash64("meet")), F.lit(shards)))
              .repartition("shard").sortWithinPartitions("shard"))
     verdicts = staged(dealt.mapInArrow(_verdicts(width), VERDICTS), "suffixes-verdicts")
     across = (verdicts.where("kind > 0").repartitionByRange("k1", "k2").sortWithinPartitions("k1", "k2")
               .mapInArrow(_merge, "a long, g long, at array<int>"))
     marks = verdicts.where("kind = 0").select("a", "g", "at").union(across).groupBy("a", "g").agg(F.flatten(F.collect_list("at")).alias("at"))  # bounded by a run's length
-    settled = (kinds.select("a", "g", "c").join(marks, ["a", "g"], "left").where("c > 1 OR at IS NOT NULL")
-               .select("a", "g", (F.col("c") > 1).alias("whole"), "at"))
+    settled = kinds.select("a", "g", "whole").join(marks, ["a", "g"], "left").where("whole OR at IS NOT NULL")
     spans = runs.join(settled, ["a", "g"]).select("ord", "fold", F.when(
         F.col("whole"), F.array(F.col("start"), F.col("start") + F.col("n") * F.col("reps") + (width - 1))).otherwise(
         F.transform("at", lambda x, i: F.col("start") + x + F.when(i % 2 == 1, width - 1).otherwise(0))).alias("s"))
