@@ -88,7 +88,7 @@ def passages(runs: DataFrame, docs: DataFrame, width: int, gram: int) -> DataFra
     spans = runs.groupBy("a", "g").agg(F.min(F.struct("ord", "fold", "start")).alias("at"), F.max("ord").alias("last"),
                                        F.first("n").alias("n"), F.first("off").alias("off"))
     spans = staged(spans, "phrases-passages")
-    several = spans.groupBy("a").count().where("count > 1").select("a", F.lit(True).alias("mixed"))
+    several = staged(spans.groupBy("a").count().where("count > 1").select("a", F.lit(True).alias("mixed")), "phrases-several")
     # a passage matters if another document has it, or if its anchor has other passages to compare with
     wanted = (spans.join(several, "a", "left").where("mixed OR last > at.ord")
               .select(F.col("at.ord").alias("ord"), F.col("at.fold").alias("fold"),
