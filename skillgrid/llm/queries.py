@@ -12,6 +12,7 @@ from ..sources.tables import read_table
 from . import decontaminate as DC
 from . import hosts as HO
 from . import packing as PK
+from . import pages as PG
 from . import phrases as PH
 from . import quality as QL
 from . import rollups as RL
@@ -181,3 +182,9 @@ def op5_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token pieces in bins of 512, 1024, 2048 or 4096 tokens."""
     return PK.packed_documents(read_table(spark, sf_dir, "documents"))
+
+
+@register("op3_html_extraction")
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return PG.main_text(read_table(spark, sf_dir, "pages"))
