@@ -1,4 +1,4 @@
-"""Join operators (J1-J5, J7, J10) and the size-checked broadcast helper.
+"""Join operators.
 
 Keyed updates become joins to a new table version (parquet has no in-place
 MERGE); anti and semi joins run on keys asserted non-null so ``left_anti``
@@ -10,25 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows above which a "small" side is joined by shuffle instead of broadcast.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking its row count.
-
-    The side is persisted before counting so the join reuses the counted rows
-    instead of recomputing them; when it is too large to broadcast the cache is
-    released and a shuffle join is planned instead.
-    """
-    df = df.persist()
-    n = df.count()
-    if n <= max_rows:
-        return F.broadcast(df)
-    df.unpersist()
-    return df
-
-
 def merge_update(target: DataFrame, source: DataFrame, key: str, set_col: str, value_col: str) -> DataFrame:
     """``MERGE ... WHEN MATCHED THEN UPDATE SET set_col = source.value_col``.
 
@@ -72,11 +53,6 @@ def insert_if_absent(existing: DataFrame, new_rows: DataFrame, key: str, order=N
     return accepted, rejected
 
 
-def role_to_catalog(latest_roles: DataFrame, recs: DataFrame, role_col: str = "target_role") -> DataFrame:
-    """Each user's latest role joined to that role's recommendations (size-checked broadcast)."""
-    return latest_roles.join(sized_broadcast(recs), role_col)
-
-
 def chained_models(df: DataFrame, name: str, predicate) -> DataFrame:
     """A model that selects from another model (a view) and filters it."""
     df.createOrReplaceTempView(name)

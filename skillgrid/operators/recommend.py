@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.courses import level_category, level_category_transition
-from .joins import sized_broadcast
+from ..sources.materialize import stored
 from .search import tokens
 
 LEVELS = ("BEGINNER", "INTERMEDIATE", "ADVANCED")
@@ -111,23 +111,21 @@ def shared_search(docs: DataFrame, key: str, text: str, queries: DataFrame, qkey
     shared = sorted({t for t in _py_tokens(shared_text)})
     shared_arr = F.array(*[F.lit(t) for t in shared]).cast("array<string>")
     q_sets = queries.select(qkey, F.to_json(F.array_sort(F.array_except(tokens(extra_text), shared_arr))).alias("_set"))
-    q_sets = q_sets.persist()          # reused by the size checks and the final join
     sets = q_sets.select("_set").distinct()
-    n_sets = sets.count()
     shared_df = spark.createDataFrame([(t,) for t in shared], "term string")
-    qt_plain = sets.select("_set", F.explode(F.from_json("_set", "array<string>")).alias("term"))
-    qt = sized_broadcast(qt_plain)
-    vocab = qt_plain.select("term").union(shared_df).distinct()
+    qt = sets.select("_set", F.explode(F.from_json("_set", "array<string>")).alias("term"))
+    vocab = qt.select("term").union(shared_df).distinct()
     if postings is None:
         postings = catalog_postings(docs, key, text)
     n_docs = docs.select(F.count(F.lit(1))).scalar()
-    post = (postings.join(F.broadcast(vocab), "term", "left_semi")
+    post = (postings.join(vocab, "term", "left_semi")
             .withColumn("tf", F.col("cnt") / F.col("doc_len")))
     weights = (post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
                .select("term", F.log(F.lit(n_docs).cast("double") / F.col("df")).alias("idf"))
                .filter(F.col("idf") > 0))
-    wpost = post.select("term", key, "tf").join(weights, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    base = (wpost.join(F.broadcast(shared_df), "term", "left_semi")
+    # One pass over the postings: base and extra both read the stored weights of the query vocabulary.
+    wpost = stored(post.select("term", key, "tf").join(weights, "term").select("term", key, (F.col("tf") * F.col("idf")).alias("w")), "weights")
+    base = (wpost.filter(F.col("term").isin(*shared))
             .groupBy(key).agg(F.sum("w").alias("base")))
     all_docs = docs.select(key).join(base, key, "left").fillna(0.0, ["base"])
     top_base = (all_docs.orderBy(F.round("base", 9).desc(), F.col(key).asc()).limit(n)
@@ -140,8 +138,6 @@ def shared_search(docs: DataFrame, key: str, text: str, queries: DataFrame, qkey
     w = Window.partitionBy("_set").orderBy(F.round("score", 9).desc(), F.col(key).asc())
     per_set = scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n) \
                     .select("_set", key, "score", "rank")
-    # per_set holds at most n_sets * n rows: broadcast it when that bound is small.
-    per_set = F.broadcast(per_set) if n_sets * n <= 2_000_000 else per_set
     return q_sets.join(per_set, "_set").select(qkey, key, "score", "rank")
 
 
@@ -189,7 +185,7 @@ def advanced_backfill(recs: DataFrame, users: DataFrame, high_rated: DataFrame,
     """C2 + U2: for users lacking ADVANCED with some rating >= 3, append up to two advanced courses.
 
     The backfill search depends only on the role, so it runs once per distinct
-    role and is joined (size-checked broadcast) to the users who need it.
+    role and is joined to the users who need it.
     """
     need = (missing_levels(recs, users).filter(F.col("level_category") == "ADVANCED").select("user_id")
             .join(high_rated.filter(F.col("high_rated") > 0).select("user_id"), "user_id", "left_semi")
@@ -202,15 +198,12 @@ def advanced_backfill(recs: DataFrame, users: DataFrame, high_rated: DataFrame,
     w = Window.partitionBy("role").orderBy("rank")
     adv = adv.withColumn("rn", F.row_number().over(w).cast("long")).filter(F.col("rn") <= keep) \
              .withColumn("level_category", F.lit("ADVANCED"))
-    extra = need.join(sized_broadcast(adv), "role")
+    extra = need.join(adv, "role")
     cols = ["user_id", "role", "id", "course_name", "level", "platform", "level_category", "rn"]
     return recs.select(*cols).unionByName(extra.select(*cols))
 
 
 # ---- C3 transition courses: search (limit 6) + sequential spreading fold ----
-TRANSITION_SCHEMA = ("user_id long, role string, id string, course_name string, level string, platform string, "
-                     "skills string, rank int, level_category string")
-
 
 def _contains_any(s: Column, words) -> Column:
     cond = None
@@ -282,8 +275,10 @@ def transition_courses(users: DataFrame, missing: DataFrame, catalog: DataFrame,
     from ..functions.skills import skill_token_sanitize
     q = (users.join(missing, ["user_id", "role"], "left")
          .withColumn("_sk", skill_token_sanitize(F.coalesce("missing_skills", F.array().cast("array<string>")), 3))
-         .withColumn("qtext", F.concat_ws(" ", F.translate("role", "'\";", ""), F.array_join("_sk", ", "))))
-    shared = (TRANSITION_TEMPLATE.format(role="", focus="") + TRANSITION_FOCUS.format(skills=""))
+         .withColumn("_focus", F.when(F.size("_sk") > 0, F.concat(F.lit(TRANSITION_FOCUS.split("{")[0]), F.array_join("_sk", ", "))))
+         .withColumn("qtext", F.concat_ws(" ", F.translate("role", "'\";", ""), "_focus")))
+    # the focus sentence is the user's own text: without a usable skill the query does not hold it
+    shared = TRANSITION_TEMPLATE.format(role="", focus="")
     hits = shared_search(search_text(catalog), "id", "_search", q, "user_id", "qtext", shared, n, postings)
     found = (hits.join(catalog.select("id", "course_name", "level", "platform", "skills", "url"), "id")
              .filter(F.col("course_name").isNotNull() & F.col("url").isNotNull())
@@ -307,8 +302,6 @@ def need_order(courses: DataFrame) -> DataFrame:
 
 
 # ---- C4 / C10 plan rebalancing and plan table ----------------------------------
-PLAN_SCHEMA = ("user_id long, level_category string, slot int, months string, id string, course_name string, "
-               "platform string, level string, skills string")
 MONTHS = {"BEGINNER": "1-2", "INTERMEDIATE": "3-4", "ADVANCED": "5-6"}
 
 
@@ -415,5 +408,5 @@ def skill_levels_profile(latest_ratings: DataFrame) -> DataFrame:
 
 def role_to_catalog(latest_roles: DataFrame, role_recs: DataFrame) -> DataFrame:
     """users' latest roles joined to per-role recommendations (bounded by roles x k)."""
-    return latest_roles.join(sized_broadcast(role_recs), "role")
+    return latest_roles.join(role_recs, "role")
 

@@ -6,8 +6,8 @@
 * terms with idf = 0 (present in every document) cannot change a score, so
   they are dropped before the join - exact, and it removes the largest posting
   lists;
-* the query side (distinct terms of each query) is small and broadcast after a
-  size check; scores are summed per (query, doc) and cut to the top n with a
+* the query side (distinct terms of each query) is an equi-join whose strategy
+  Spark picks from measured sizes; scores are summed per (query, doc) and cut to the top n with a
   ``row_number`` window (limited per task before the shuffle).
 
 No query x document cross join is ever formed.
@@ -18,8 +18,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import sized_broadcast
-
 TOKEN_SPLIT = r"[^\p{L}]+"
 
 
@@ -51,15 +49,14 @@ def search_topn(docs: DataFrame, key: str, text: str, queries: DataFrame, qkey:
     """V4: TF-IDF top-n documents per query; ties broken by document key.
 
     Postings are filtered to the query vocabulary right after the explode
-    (broadcast semi join), so only query terms are counted and shuffled.
+    (semi join; its strategy follows the measured size), so only query terms are counted and shuffled.
     """
-    qt_plain = query_terms(queries, qkey, qtext)
-    qt = sized_broadcast(qt_plain)
-    vocab = qt_plain.select("term").distinct()
+    qt = query_terms(queries, qkey, qtext)
+    vocab = qt.select("term").distinct()
     t = docs.select(key, tokens(text).alias("_tok")).withColumn("doc_len", F.size("_tok"))
     n_docs = docs.select(F.count(F.lit(1))).scalar()
     post = (t.select(key, "doc_len", F.explode("_tok").alias("term"))
-            .join(F.broadcast(vocab), "term", "left_semi")
+            .join(vocab, "term", "left_semi")
             .groupBy("term", key, "doc_len").agg(F.count(F.lit(1)).alias("cnt"))
             .withColumn("tf", F.col("cnt") / F.col("doc_len")))
     weights = idf(post, key, n_docs).filter(F.col("idf") > 0).select("term", "idf")

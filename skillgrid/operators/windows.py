@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.materialize import stored
+
 LEVEL_ORDER = ("BEGINNER", "INTERMEDIATE", "ADVANCED")
 
 
@@ -31,11 +33,11 @@ def top2_per_level(df: DataFrame, level_col: str = "level_category", name_col: s
 def sequential_ids(df: DataFrame, order_cols, prefix: str = "U", out_col: str = "seq_id") -> DataFrame:
     """``prefix || ROW_NUMBER() OVER (ORDER BY order_cols)`` without a global window.
 
-    The table is range-partitioned and sorted on the (total) order; each
-    partition's row count is aggregated into a small table (one row per
-    partition), whose running sum gives every partition its starting offset.
-    The offsets are broadcast (size = number of partitions) and added to the
-    position inside the partition.  Two passes, no single-task window.
+    The table is range-partitioned and sorted on the (total) order once, and
+    that pass is stored with every row's partition and position.  Counts and
+    rows are both read from the stored table, so they agree whatever the
+    sampled bounds or the coalescing were.  The running sum over the counts
+    (one row per partition) gives each partition its first id.
     """
     order = [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order_cols]
     sorted_df = df.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -44,12 +46,13 @@ def sequential_ids(df: DataFrame, order_cols, prefix: str = "U", out_col: str =
     # Position inside the partition: monotonically_increasing_id packs the
     # partition id in the upper bits and the record index in the lower 33.
     tagged = tagged.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
+    tagged = stored(tagged.drop("_mid"), "sequential-ids")
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    out = tagged.join(F.broadcast(offsets), "_pid")
+    out = tagged.join(F.broadcast(offsets), "_pid")  # one row per partition
     return out.withColumn(out_col, F.concat(F.lit(prefix), (F.col("_off") + F.col("_pos") + 1).cast("string"))) \
-              .drop("_pid", "_mid", "_pos", "_off")
+              .drop("_pid", "_pos", "_off")
 
 
 def latest_per_key(df: DataFrame, keys, ts_col: str, tie_col: str) -> DataFrame:

@@ -163,13 +163,6 @@ def search_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents", "doc_id", "text", "lang", "source").filter(F.col("lang") == "en")
 
 
-def roles(spark: SparkSession) -> DataFrame:
-    """Inline role list (a fixed, five-row dimension)."""
-    return spark.createDataFrame(
-        [(1, "Data Scientist"), (2, "Systems Engineer"), (3, "Software Developer"),
-         (4, "Mechanical Engineer"), (5, "Nurse")], "role_id int, role string")
-
-
 ROLE_NAMES = ("Data Scientist", "Systems Engineer", "Software Developer", "Mechanical Engineer", "Nurse")
 
 

@@ -134,11 +134,10 @@ def advanced_backfill(spark, sf_dir):
 
 def _transition(spark, sf_dir):
     from ..operators import skillgap as G
-    from ..operators.joins import sized_broadcast
     users = X.user_roles(spark, sf_dir)
     rr = G.role_requirements(X.requirement_rows(spark, sf_dir))
-    req = sized_broadcast(rr.select("role", (F.col("pos") + F.when(F.col("bucket") == "essential", 0).otherwise(100)).alias("pos"),
-                                    "skill_name"))
+    req = rr.select("role", (F.col("pos") + F.when(F.col("bucket") == "essential", 0).otherwise(100)).alias("pos"),
+                                    "skill_name")
     missing = G.missing_skills(users, req, X.held_skills(spark, sf_dir))
     return R.transition_courses(users, missing, catalog(spark, sf_dir), postings=catalog_postings(spark, sf_dir))
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import skills as S
 from ..operators import enrich as E
 from ..operators import skillgap as G
-from ..operators.joins import sized_broadcast
 from . import fixtures as X
 from .fixture_sql import (HELD, REQUIREMENTS, USER_ROLES, infer_level_sql, infer_prereq_sql, infer_skills_sql, q,
                           with_courses)
@@ -204,7 +203,7 @@ FROM user_roles u LEFT JOIN agg a ON a.user_id = u.user_id AND a.role = u.role""
 
 def _match(spark, sf_dir):
     users = X.user_roles(spark, sf_dir)
-    req = sized_broadcast(G.role_requirements(X.requirement_rows(spark, sf_dir)))
+    req = G.role_requirements(X.requirement_rows(spark, sf_dir))
     out = G.match_skills(users, req, X.held_skills(spark, sf_dir))
     return out.select("user_id", "role", *[F.to_json(c).alias(c) for c in
                                            ("matching_essential", "missing_essential", "matching_preferred", "missing_preferred")],
@@ -229,7 +228,7 @@ REQ_PAIRS_SQL = "WITH " + ",".join([USER_ROLES, HELD, REQUIREMENTS]) + """
 
 
 def _req_pairs(spark, sf_dir):
-    req = sized_broadcast(G.role_requirements(X.requirement_rows(spark, sf_dir)))
+    req = G.role_requirements(X.requirement_rows(spark, sf_dir))
     return X.user_roles(spark, sf_dir).join(req, "role").select("user_id", F.col("skill_name").alias("skill"))
 
 
@@ -259,8 +258,8 @@ FROM user_roles u LEFT JOIN agg a ON a.user_id = u.user_id AND a.role = u.role""
 def missing_skills(spark, sf_dir):
     """role's required skills the user lacks (case-sensitive); none missing -> role-derived names."""
     rr = G.role_requirements(X.requirement_rows(spark, sf_dir))
-    req = sized_broadcast(rr.select("role", (F.col("pos") + F.when(F.col("bucket") == "essential", 0).otherwise(100)).alias("pos"),
-                                    "skill_name"))
+    req = rr.select("role", (F.col("pos") + F.when(F.col("bucket") == "essential", 0).otherwise(100)).alias("pos"),
+                                    "skill_name")
     out = G.missing_skills(X.user_roles(spark, sf_dir), req, X.held_skills(spark, sf_dir))
     return out.select("user_id", "role", F.to_json("missing_skills").alias("missing_skills"))
 
@@ -321,14 +320,13 @@ def detect_language(spark, sf_dir):
 @register("batched_backlog", with_courses() + f"""
 SELECT id, CAST(floor(id / 100) AS BIGINT) AS batch_id, {infer_prereq_sql('course_name', 'description')} AS prerequisites
 FROM courses
-WHERE id >= 0 AND id < 100000 AND prerequisites IS NULL AND description IS NOT NULL
+WHERE prerequisites IS NULL AND description IS NOT NULL
   AND id NOT IN (SELECT id FROM courses WHERE level_raw = 'All Levels')""")
 def batched_backlog(spark, sf_dir):
     """E5 (+P5): fill the prerequisites backlog in id batches, skipping rows already in the target."""
     c = X.courses(spark, sf_dir)
-    window = c.filter((F.col("id") >= 0) & (F.col("id") < 100000))
     done = c.filter(F.col("level_raw") == "All Levels").select("id")
-    c2 = E.with_course_text(window, "course_name", "description")
+    c2 = E.with_course_text(c, "course_name", "description")
     out = E.fill_backlog(c2, "id", "prerequisites", ["description"], E.infer_prerequisites("_ctext"), done=done,
                          batch_width=100)
     return out.select("id", "batch_id", "prerequisites")

@@ -1,12 +1,13 @@
 """Session helpers: one place that fixes the SQL semantics every job relies on.
 
 The cluster owns ``spark.checkpoint.dir``; jobs read it from the session and
-only fall back to a scratch folder when it is unset (local tests).
+only fall back to a scratch folder when it is unset and the master is local.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -76,6 +77,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="skillgrid-ckpt-")
         spark.sparkContext.setCheckpointDir(current)
         spark.conf.set("spark.checkpoint.dir", current)

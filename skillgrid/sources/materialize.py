@@ -3,35 +3,40 @@
 ``table`` writes parquet under the shared checkpoint folder
 (``spark.checkpoint.dir``) and reads it back: lineage is cut, executors lost
 later only recompute from the written files, and downstream scans get column
-pruning and filter pushdown on the stored model.  A table is written once per
-application and name.
+pruning and filter pushdown on the stored model.
 """
 
 from __future__ import annotations
 
 import hashlib
 import threading
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import scratch_path
 
-_WRITTEN: dict[tuple[str, str], str] = {}
-_LOCK = threading.Lock()          # queries may be submitted from several driver threads
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+_LOCKS: dict[tuple[str, str, str], threading.Lock] = {}
+_GUARD = threading.Lock()          # queries may be submitted from several driver threads
 
 
-def table_location(df: DataFrame, name: str) -> str:
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to a folder of its own under the shared checkpoint directory and read it back."""
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    safe = hashlib.sha1(name.encode()).hexdigest()[:12]
-    return scratch_path(spark, f"tables/{app}/{safe}")
+    path = scratch_path(spark, f"stored/{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def materialize(df: DataFrame, name: str, kind: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str, kind: str = "table", key: str | None = None) -> DataFrame:
     """Persist a model the way the reference's model config asks for.
 
     * ``view``: a temp view, recomputed by every reader;
-    * ``table``: parquet in the shared checkpoint folder, read back;
+    * ``table``: parquet in the shared checkpoint folder, read back; written
+      once per application, name and plan, so another input gets another table;
+    * ``incremental``: like ``table`` under one name for the application's life:
+      rows whose ``key`` the table does not hold yet are appended;
     * ``checkpoint``: reliable checkpoint (also in the shared folder).
     """
     spark = df.sparkSession
@@ -40,13 +45,23 @@ def materialize(df: DataFrame, name: str, kind: str = "table") -> DataFrame:
         return df
     if kind == "checkpoint":
         return df.checkpoint(eager=True)
-    if kind != "table":
+    if kind not in ("table", "incremental"):
         raise ValueError(kind)
-    key = (spark.sparkContext.applicationId, name)
-    with _LOCK:
-        path = _WRITTEN.get(key)
+    if kind == "incremental" and key is None:
+        raise ValueError("an incremental table needs its key column")
+    plan = str(df.semanticHash()) if kind == "table" else "incremental"
+    ident = (spark.sparkContext.applicationId, name, plan)
+    with _GUARD:
+        lock = _LOCKS.setdefault(ident, threading.Lock())
+    with lock:                     # only writers of the same table wait for each other
+        path = _WRITTEN.get(ident)
         if path is None:
-            path = table_location(df, name)
-            df.write.mode("overwrite").parquet(path)
-            _WRITTEN[key] = path
-    return spark.read.parquet(path)
+            path = scratch_path(spark, f"tables/{ident[0]}/" + hashlib.sha1(f"{name} {plan}".encode()).hexdigest()[:16])
+            first = df if kind == "table" else df.filter(F.col(key).isNotNull()).dropDuplicates([key])
+            first.write.mode("overwrite").parquet(path)
+            _WRITTEN[ident] = path
+        elif kind == "incremental":
+            held = spark.read.schema(df.schema).parquet(path).select(key)
+            fresh = df.filter(F.col(key).isNotNull()).dropDuplicates([key]).join(held, key, "left_anti")
+            stored(fresh.select(*df.columns), "increment").write.mode("append").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -16,31 +16,38 @@ from pyspark.sql import functions as F
 from ..operators import search as SR
 
 
-def _run(query, timeout_s: int = 600) -> None:
-    query.awaitTermination(timeout_s)
-    if query.isActive:
-        query.stop()
-    if query.exception() is not None:
-        raise RuntimeError(str(query.exception()))
+def _source(spark: SparkSession, path: str, schema: str, max_files: int | None) -> DataFrame:
+    """A folder of parquet drops; ``max_files`` bounds the files of a micro-batch (unset: all that are there)."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
+
+
+def _run(query) -> None:
+    """Wait until the query has ended by itself; its failure is raised here, and nothing partial is returned."""
+    query.awaitTermination()
 
 
 def index_refresh(spark: SparkSession, source_dir: str, schema: str, index_dir: str, checkpoint: str,
-                  key: str = "doc_id", text: str = "text", attrs=("lang",), trigger=None) -> str:
+                  key: str = "doc_id", text: str = "text", attrs=("lang",), trigger=None,
+                  max_files: int | None = None) -> str:
     """ST1 (+V6): keep an inverted index in step with a document drop folder.
 
     Each micro-batch appends only its own documents' postings, tagged with the
-    batch id (``epoch``) -- no rewrite of the existing index.  A document that
-    is delivered again supersedes its older postings: ``read_index`` keeps, per
-    document, the postings of its latest epoch.  ``trigger`` defaults to
+    batch id (``epoch``) -- no rewrite of the existing index -- and a row per
+    delivered document.  A document that is delivered again supersedes its older
+    postings, also if it has no word left: ``read_index`` keeps, per document,
+    the postings of the epoch that delivered it last.  ``trigger`` defaults to
     ``availableNow``; a deployment uses ``processingTime='1 minute'`` for the
     reference's one-minute lag.  Re-running a failed batch overwrites that
     batch's own ``epoch=`` partition, so replays are idempotent.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source_dir)
+    stream = _source(spark, source_dir, schema, max_files)
 
     def append_postings(batch: DataFrame, epoch: int) -> None:
         postings = SR.build_index(batch, key, text, attrs).select(*attrs, "term", key, "cnt")
-        postings.write.mode("overwrite").parquet(f"{index_dir.rstrip('/')}/epoch={epoch:010d}")
+        root = index_dir.rstrip("/")
+        postings.write.mode("overwrite").parquet(f"{root}/postings/epoch={epoch:010d}")
+        batch.select(key).distinct().write.mode("overwrite").parquet(f"{root}/deliveries/epoch={epoch:010d}")
 
     w = stream.writeStream.foreachBatch(append_postings).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
@@ -49,15 +56,16 @@ def index_refresh(spark: SparkSession, source_dir: str, schema: str, index_dir:
 
 
 def read_index(spark: SparkSession, index_dir: str, key: str = "doc_id") -> DataFrame:
-    """The current index: for every document, the postings of its latest epoch."""
-    all_postings = spark.read.parquet(index_dir)
-    latest = all_postings.groupBy(key).agg(F.max("epoch").alias("epoch"))
-    return all_postings.join(latest, [key, "epoch"], "left_semi").drop("epoch")
+    """The current index: for every document, the postings of the epoch that delivered it last."""
+    root = index_dir.rstrip("/")
+    latest = spark.read.parquet(f"{root}/deliveries").groupBy(key).agg(F.max("epoch").alias("epoch"))
+    return spark.read.parquet(f"{root}/postings").join(latest, [key, "epoch"], "left_semi").drop("epoch")
 
 
-def session_stream(spark: SparkSession, source_dir: str, schema: str, sink_dir: str, checkpoint: str) -> str:
+def session_stream(spark: SparkSession, source_dir: str, schema: str, sink_dir: str, checkpoint: str,
+                   max_files: int | None = None) -> str:
     """ST2 (+M4): session rows appended continuously to a parquet sink (file sink = exactly once)."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source_dir)
+    stream = _source(spark, source_dir, schema, max_files)
     q = (stream.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start())
     _run(q)
@@ -65,13 +73,13 @@ def session_stream(spark: SparkSession, source_dir: str, schema: str, sink_dir:
 
 
 def crawl_dedup_stream(spark: SparkSession, source_dir: str, schema: str, sink_dir: str, checkpoint: str,
-                       key: str = "url") -> str:
+                       key: str = "url", max_files: int | None = None) -> str:
     """ST3: never emit the same link twice across batches (keyed dedup state in the checkpoint).
 
     The dedup state is keyed by URL; with the RocksDB state store it lives on
     local disk of the executors and in the checkpoint, not in JVM heap.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source_dir)
+    stream = _source(spark, source_dir, schema, max_files)
     q = (stream.dropDuplicates([key]).writeStream.format("parquet").option("path", sink_dir)
          .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
     _run(q)
@@ -79,7 +87,7 @@ def crawl_dedup_stream(spark: SparkSession, source_dir: str, schema: str, sink_d
 
 
 def incremental_model(spark: SparkSession, source_dir: str, schema: str, target_dir: str, checkpoint: str,
-                      key: str) -> str:
+                      key: str, max_files: int | None = None) -> str:
     """ST4 (+J2): per micro-batch, append only keys not yet in the target table.
 
     Each batch writes its new rows as its own ``epoch=`` partition; existing
@@ -87,11 +95,14 @@ def incremental_model(spark: SparkSession, source_dir: str, schema: str, target_
     replayed batch (after a failure) recomputes the same rows and overwrites its
     own partition -- idempotent, and no batch rewrites the table.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source_dir)
+    stream = _source(spark, source_dir, schema, max_files)
     root = target_dir.rstrip("/")
 
     def append_new(batch: DataFrame, epoch: int) -> None:
-        fresh = batch.filter(F.col(key).isNotNull()).dropDuplicates([key])
+        others = [c for c in batch.columns if c != key]
+        least = F.min(F.struct(*others)).alias("r")  # of rows with one key always the same is kept
+        fresh = batch.filter(F.col(key).isNotNull()).groupBy(key).agg(least).select(
+            *[F.col(f"r.{c}").alias(c) if c != key else F.col(key) for c in batch.columns])
         existing = read_model(spark, root)
         if existing is not None:
             earlier = existing.filter(F.col("epoch") < epoch).select(key)

@@ -2,6 +2,8 @@
 
 import tempfile
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from skillgrid.operators import state as M
@@ -48,3 +50,31 @@ def test_index_refresh_supersedes_redelivered_docs(spark):
     ST.index_refresh(spark, src, "doc_id long, text string, lang string", sink, ckpt)
     got = sorted((r.doc_id, r.term) for r in ST.read_index(spark, sink).collect())
     assert got == [(1, "delta"), (2, "gamma")]
+
+
+def test_redelivered_document_without_words_loses_its_postings(spark):
+    src, sink, ckpt = _dirs()
+    schema = "doc_id long, text string, lang string"
+    for text in ("alpha beta", "123 !"):
+        spark.createDataFrame([(1, text, "en")], schema).write.mode("append").parquet(src)
+        ST.index_refresh(spark, src, schema, sink, ckpt)
+    assert ST.read_index(spark, sink).collect() == []
+
+
+def test_stream_of_many_files_is_complete_or_raises(spark):
+    src, sink, ckpt = _dirs()
+    spark.range(600).withColumn("user_id", F.col("id") % 7).repartition(30).write.parquet(src)
+    ST.session_stream(spark, src, "id long, user_id long", sink, ckpt, max_files=4)
+    assert spark.read.parquet(sink).count() == 600
+
+    bad, bad_sink, bad_ckpt = _dirs()
+    spark.range(5).selectExpr("CAST(id AS STRING) AS id").write.parquet(bad)
+    with pytest.raises(StreamingQueryException):
+        ST.session_stream(spark, bad, "id long", bad_sink, bad_ckpt)
+
+
+def test_replayed_epoch_writes_the_same_rows(spark):
+    src, sink, ckpt = _dirs()
+    spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (None, "d")], "id long, course_name string").repartition(3).write.parquet(src)
+    ST.incremental_model(spark, src, "id long, course_name string", sink, ckpt, "id")
+    assert sorted((r.id, r.course_name) for r in ST.read_model(spark, sink).collect()) == [(1, "a"), (2, "c")]
