@@ -31,12 +31,12 @@ def stage_udemy(raw: DataFrame, ingestion_time: str) -> DataFrame:
         F.trim(F.col("title")).alias("course_name"),
         T.clean_whitespace("objectives_summary").alias("description"),
         T.blank_to_null(pre).alias("prerequisites"),
-        C.has_prereq_udemy(pre).alias("has_prerequisites"),
+        C.has_prereq(pre, "udemy").alias("has_prerequisites"),
         T.blank_to_null("skills").alias("skills"),
         F.trim(F.col("instructional_level")).alias("level"),
         C.language_flag("detected_language", "udemy").alias("language"),
-        C.duration_udemy("content_info").alias("duration"),
-        C.duration_hours_udemy("content_info").alias("duration_hours"),
+        C.duration("content_info", "udemy").alias("duration"),
+        C.duration_hours("content_info", "udemy").alias("duration_hours"),
         C.rating_sentinel("rating").alias("rating"),
         F.lit("Udemy").alias("source"),
         F.lit(ingestion_time).cast("timestamp_ntz").alias("ingestion_time"))
@@ -50,12 +50,12 @@ def stage_udacity(raw: DataFrame, ingestion_time: str) -> DataFrame:
         F.trim(F.col("`Course Name`")).alias("course_name"),
         T.clean_whitespace("Description").alias("description"),
         F.nullif(T.split_rejoin(pre, ","), F.lit("")).alias("prerequisites"),
-        C.has_prereq_udacity(pre).alias("has_prerequisites"),
+        C.has_prereq(pre, "udacity").alias("has_prerequisites"),
         F.nullif(T.split_rejoin(F.col("Skills"), ", "), F.lit("")).alias("skills"),
         F.trim(F.col("Level")).alias("level"),
         C.language_flag("Language", "udacity").alias("language"),
-        C.duration_udacity("Duration").alias("duration"),
-        C.duration_hours_udacity("Duration").alias("duration_hours"),
+        C.duration("Duration", "udacity").alias("duration"),
+        C.duration_hours("Duration", "udacity").alias("duration_hours"),
         C.rating_sentinel("Rating").alias("rating"),
         F.lit("Udacity").alias("source"),
         F.lit(ingestion_time).cast("timestamp_ntz").alias("ingestion_time"))
@@ -68,13 +68,13 @@ def stage_edx(raw: DataFrame, ingestion_time: str) -> DataFrame:
         F.trim(F.col("course_name")).alias("course_name"),
         T.clean_whitespace("course_description").alias("description"),
         T.prereq_clean("prerequisites").alias("prerequisites"),
-        C.has_prereq_edx("prerequisites").alias("has_prerequisites"),
+        C.has_prereq("prerequisites", "edx").alias("has_prerequisites"),
         T.strip_not_found("associated_skills").alias("skills"),
         F.nullif(T.clean_whitespace(grow), F.lit("")).alias("grow_these_skills"),
         F.trim(F.col("level")).alias("level"),
         C.language_flag("language", "edx").alias("language"),
         F.trim(F.col("duration")).alias("duration"),
-        C.duration_hours_edx("duration").alias("duration_hours"),
+        C.duration_hours("duration", "edx").alias("duration_hours"),
         C.rating_sentinel("rating").alias("rating"),
         F.lit("edX").alias("source"),
         F.lit(ingestion_time).cast("timestamp_ntz").alias("ingestion_time"))

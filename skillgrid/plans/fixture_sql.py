@@ -8,6 +8,7 @@ the Spark side uses.
 
 from __future__ import annotations
 
+from ..functions import rules as RULES
 from ..functions.skills import dictionary_entries, boundary_pattern
 from ..operators.enrich import DEFAULT_PREREQUISITES, LEVEL_KEYWORDS, PREREQ_PATTERN
 
@@ -74,13 +75,6 @@ def clean_ws(x: str) -> str:
     return f"trim(translate({x}, chr(10) || chr(13) || chr(9), '   '))"
 
 
-def substr_or_null(x: str, pattern: str) -> str:
-    return f"nullif(regexp_extract({x}, {q(pattern)}, 0), '')"
-
-
-NUMBER = "[0-9]+([.][0-9]+)?"
-
-
 def infer_skills_sql(title: str, body: str) -> str:
     t = f"({title} || '. ' || {body})"
     items = ", ".join(f"CASE WHEN regexp_matches({t}, {q(boundary_pattern(s))}) THEN {q(s)} END"
@@ -104,115 +98,76 @@ def infer_level_sql(title: str, body: str) -> str:
             f"WHEN {b} >= {i} AND {b} >= {a} THEN {q(bl)} WHEN {i} >= {a} THEN {q(il)} ELSE {q(al)} END")
 
 
+def _or_inferred(column: str, inferred: str) -> str:
+    """The column, or the inferred text where it is missing or blank."""
+    return f"CASE WHEN coalesce(trim({column}), '') = '' THEN {inferred} ELSE {column} END"
+
+
+def _blank(x: str) -> str:
+    return f"nullif({x}, '')"
+
+
+def _split_rejoin(column: str, sep: str) -> str:
+    return _blank(f"array_to_string(string_split(trim({column}), {q(sep)}), ', ')")
+
+
+# How each provider's raw columns become the common ones; durations, flags and levels come from the rule tables.
+_SHAPES = {
+    "Udemy": dict(
+        raw="udemy_raw", id="course_id", url="CAST(url AS VARCHAR)", name="title", body="objectives_summary", rating="CAST(rating AS VARCHAR)",
+        prerequisites=_blank("trim(prerequisites)"), pre="prerequisites", skills=_blank("trim(skills)"), level="instructional_level",
+        lang="detected_language", dur="content_info", keep="TRUE"),
+    "Udacity": dict(
+        raw="udacity_raw", id="sha256(url)", url="url", name="cname", body="descr", rating="rating",
+        prerequisites=_split_rejoin("pre", ","), pre="pre", skills=_split_rejoin("skills", ", "), level="lvl",
+        lang="language", dur="dur", keep="cname IS NOT NULL"),
+    "edX": dict(
+        raw="edx_raw", id="sha256(url)", url="url", name="course_name", body="course_description", rating="rating",
+        prerequisites=_blank(f"trim(CASE WHEN {RULES.has_prerequisites_sql('prerequisites', 'edx')} THEN prerequisites END)"), pre="prerequisites",
+        skills=_blank("replace(associated_skills, 'Not found', '')"), level="level", lang="language", dur="duration", keep="TRUE"),
+}
+
+
+def _stage(source: str) -> str:
+    s, provider = _SHAPES[source], source.lower()
+    columns = {
+        "id": s["id"], "url": s["url"], "course_name": f"trim({s['name']})", "description": clean_ws(s["body"]),
+        "prerequisites": s["prerequisites"], "has_prerequisites": RULES.has_prerequisites_sql(s["pre"], provider), "skills": s["skills"],
+        "level": f"trim({s['level']})", "language": RULES.language_sql(s["lang"], provider),
+        "duration": f"trim({s['dur']})" if provider == "edx" else RULES.duration_sql(s["dur"], provider),
+        "duration_hours": RULES.hours_sql(s["dur"], provider), "rating": f"coalesce(TRY_CAST({s['rating']} AS DOUBLE), -1.0)",
+        "source": q(source), "ingestion_time": INGESTION_TS}
+    if provider == "edx":
+        columns["grow_these_skills"] = _blank(clean_ws("replace(grow_these_skills, 'Not found', '')"))
+    listed = ", ".join(f"{expr} AS {name}" for name, expr in columns.items())
+    return f"stg_{provider} AS (SELECT {listed} FROM {s['raw']} WHERE {s['keep']})"
+
+
 def staging() -> str:
-    num = substr_or_null("content_info", NUMBER)
-    return f"""
-stg_udemy AS (
-  SELECT course_id AS id, CAST(url AS VARCHAR) AS url, trim(title) AS course_name,
-         {clean_ws('objectives_summary')} AS description,
-         nullif(trim(prerequisites), '') AS prerequisites,
-         CASE WHEN prerequisites IS NULL OR trim(prerequisites) = 'No prerequisites required' THEN FALSE ELSE TRUE END AS has_prerequisites,
-         nullif(trim(skills), '') AS skills,
-         trim(instructional_level) AS level,
-         CASE WHEN detected_language LIKE '%English%' THEN 'ENGLISH' ELSE 'OTHERS' END AS language,
-         CASE WHEN content_info IS NOT NULL THEN {num} || ' ' ||
-              CASE WHEN content_info LIKE '%hour%' THEN 'hours' WHEN content_info LIKE '%min%' THEN 'minutes'
-                   WHEN content_info LIKE '%question%' THEN 'questions' ELSE 'hours' END
-              ELSE 'unknown' END AS duration,
-         CASE WHEN content_info IS NOT NULL AND trim(content_info) LIKE '%total hour%' THEN TRY_CAST({num} AS DOUBLE)
-              WHEN content_info IS NOT NULL AND trim(content_info) LIKE '%total min%' AND trim(content_info) NOT LIKE '%total hour%' THEN TRY_CAST({num} AS DOUBLE) / 60
-              WHEN content_info IS NOT NULL AND trim(content_info) LIKE '%question%' AND trim(content_info) NOT LIKE '%total hour%' THEN TRY_CAST({num} AS DOUBLE) / 60
-         END AS duration_hours,
-         coalesce(TRY_CAST(CAST(rating AS VARCHAR) AS DOUBLE), -1.0) AS rating,
-         'Udemy' AS source, {INGESTION_TS} AS ingestion_time
-  FROM udemy_raw
-),
-stg_udacity AS (
-  SELECT sha256(url) AS id, url, trim(cname) AS course_name, {clean_ws('descr')} AS description,
-         nullif(array_to_string(string_split(trim(pre), ','), ', '), '') AS prerequisites,
-         CASE WHEN pre IS NULL OR pre = '' THEN FALSE ELSE TRUE END AS has_prerequisites,
-         nullif(array_to_string(string_split(trim(skills), ', '), ', '), '') AS skills,
-         trim(lvl) AS level,
-         CASE WHEN language LIKE 'en' THEN 'ENGLISH' ELSE 'OTHERS' END AS language,
-         {substr_or_null('dur', '[0-9]+')} || ' ' ||
-           CASE WHEN dur LIKE 'P%M' THEN 'months' WHEN dur LIKE 'P%W' THEN 'weeks' WHEN dur LIKE 'PT%H' THEN 'hours' ELSE 'unknown' END AS duration,
-         CASE WHEN dur LIKE 'P%M' THEN TRY_CAST({substr_or_null('dur', '[0-9]+')} AS DOUBLE) * 730
-              WHEN dur LIKE 'P%W' THEN TRY_CAST({substr_or_null('dur', '[0-9]+')} AS DOUBLE) * 168
-              WHEN dur LIKE 'PT%H' THEN TRY_CAST({substr_or_null('dur', '[0-9]+')} AS DOUBLE) END AS duration_hours,
-         coalesce(TRY_CAST(rating AS DOUBLE), -1.0) AS rating,
-         'Udacity' AS source, {INGESTION_TS} AS ingestion_time
-  FROM udacity_raw WHERE cname IS NOT NULL
-),
-stg_edx AS (
-  SELECT sha256(url) AS id, url, trim(course_name) AS course_name, {clean_ws('course_description')} AS description,
-         nullif(trim(CASE WHEN upper(regexp_replace(prerequisites, '\\.', '', 'g')) IN ('NOT FOUND', 'NONE', '') THEN NULL
-                          ELSE prerequisites END), '') AS prerequisites,
-         CASE WHEN upper(regexp_replace(prerequisites, '\\.', '', 'g')) IN ('NOT FOUND', 'NONE', '') OR prerequisites IS NULL
-              THEN FALSE ELSE TRUE END AS has_prerequisites,
-         nullif(replace(associated_skills, 'Not found', ''), '') AS skills,
-         nullif({clean_ws("replace(grow_these_skills, 'Not found', '')")}, '') AS grow_these_skills,
-         trim(level) AS level,
-         CASE WHEN language = 'en' THEN 'ENGLISH' ELSE 'OTHERS' END AS language,
-         trim(duration) AS duration,
-         CASE WHEN duration LIKE '%week%' THEN TRY_CAST({substr_or_null('duration', '[0-9]+')} AS DOUBLE) * 168 END AS duration_hours,
-         coalesce(TRY_CAST(rating AS DOUBLE), -1.0) AS rating,
-         'edX' AS source, {INGESTION_TS} AS ingestion_time
-  FROM edx_raw
-),
+    inferred = infer_skills_sql("course_name", "description")
+    prerequisites = infer_prereq_sql("course_name", "description")
+    return ", ".join([*map(_stage, _SHAPES), f"""
 enr_udacity AS (
-  SELECT id, course_name, description,
-         CASE WHEN (prerequisites IS NULL OR trim(prerequisites) = '') AND description IS NOT NULL
-              THEN {infer_prereq_sql('course_name', 'description')} ELSE prerequisites END AS prerequisites,
-         CASE WHEN (skills IS NULL OR trim(skills) = '') AND description IS NOT NULL
-              THEN {infer_skills_sql('course_name', 'description')} ELSE skills END AS skills,
-         CASE WHEN trim(level) = '' THEN {infer_level_sql('course_name', 'description')} ELSE level END AS level,
-         language, duration, duration_hours, rating, source, ingestion_time, url, has_prerequisites
+  SELECT * REPLACE ({_or_inferred('prerequisites', prerequisites)} AS prerequisites, {_or_inferred('skills', inferred)} AS skills,
+                    CASE WHEN level = '' THEN {infer_level_sql('course_name', 'description')} ELSE level END AS level)
   FROM stg_udacity WHERE description IS NOT NULL
-),
-enr_edx_base AS (
-  SELECT *,
-         trim(coalesce(skills, '') || CASE WHEN skills IS NOT NULL AND grow_these_skills IS NOT NULL THEN ', ' ELSE '' END
-              || coalesce(grow_these_skills, '')) AS combined_skills,
-         CASE WHEN (skills IS NULL OR trim(skills) = '') AND (grow_these_skills IS NULL OR trim(grow_these_skills) = '')
-                   AND description IS NOT NULL THEN {infer_skills_sql('course_name', 'description')} END AS inferred_skills
-  FROM stg_edx WHERE description IS NOT NULL
-),
+)""", f"""
 enr_edx AS (
-  SELECT id, course_name, description, url,
-         CASE WHEN prerequisites IS NULL AND description IS NOT NULL THEN {infer_prereq_sql('course_name', 'description')}
-              ELSE prerequisites END AS prerequisites,
-         CASE WHEN combined_skills = '' OR combined_skills IS NULL THEN inferred_skills ELSE combined_skills END AS skills,
-         has_prerequisites, level, language, duration, duration_hours, rating, source, ingestion_time
-  FROM enr_edx_base
-)"""
+  SELECT * EXCLUDE (grow_these_skills) REPLACE (
+    coalesce(prerequisites, {prerequisites}) AS prerequisites,
+    coalesce({_blank("trim(concat_ws(', ', skills, grow_these_skills))")}, {inferred}) AS skills)
+  FROM stg_edx WHERE description IS NOT NULL
+)"""])
 
 
-CATALOG = """
-catalog AS (
-  SELECT CAST(id AS VARCHAR) AS id, course_name, description, prerequisites, skills,
-         CASE WHEN trim(level) ILIKE 'beginner%' THEN 'Beginner' WHEN trim(level) ILIKE 'intermediate%' THEN 'Intermediate'
-              WHEN trim(level) ILIKE 'expert%' THEN 'Advanced' WHEN trim(level) ILIKE 'all%' THEN 'All Levels' ELSE 'Other' END AS level,
-         language, duration, duration_hours, rating, source, ingestion_time, url, has_prerequisites, 'Udemy' AS platform
-  FROM stg_udemy
-  UNION ALL
-  SELECT id, course_name, description, prerequisites, skills,
-         CASE WHEN trim(level) ILIKE 'beginner' THEN 'Beginner' WHEN trim(level) ILIKE 'intermediate' THEN 'Intermediate'
-              WHEN trim(level) ILIKE 'advanced' THEN 'Advanced' WHEN trim(level) ILIKE 'discovery' THEN 'All Levels'
-              WHEN trim(level) ILIKE 'fluency' THEN 'Fluency' ELSE 'Other' END AS level,
-         language, duration, duration_hours, rating, source, ingestion_time, url, has_prerequisites, 'Udacity' AS platform
-  FROM enr_udacity
-  UNION ALL
-  SELECT id, course_name, description, prerequisites, skills,
-         CASE WHEN trim(level) ILIKE 'beginner' THEN 'Beginner' WHEN trim(level) ILIKE 'intermediate' THEN 'Intermediate'
-              WHEN trim(level) ILIKE 'advanced' THEN 'Advanced' ELSE 'Other' END AS level,
-         language, duration, duration_hours, rating, source, ingestion_time, url, has_prerequisites, 'edX' AS platform
-  FROM enr_edx
-)"""
+def _catalog() -> str:
+    shared = "course_name, description, prerequisites, skills, language, duration, duration_hours, rating, source, ingestion_time, url, has_prerequisites"
+    parts = [f"SELECT CAST(id AS VARCHAR) AS id, {shared}, {RULES.level_sql('level', source.lower())} AS level, {q(source)} AS platform FROM {table}"
+             for source, table in (("Udemy", "stg_udemy"), ("Udacity", "enr_udacity"), ("edX", "enr_edx"))]
+    return "\ncatalog AS (" + " UNION ALL ".join(parts) + ")"
+
 
-LEVEL_CATEGORY = ("CASE WHEN lower({c}) LIKE '%advanced%' THEN 'ADVANCED' "
-                  "WHEN lower({c}) IN ('intermediate', 'fluency') THEN 'INTERMEDIATE' "
-                  "WHEN lower({c}) LIKE '%beginner%' THEN 'BEGINNER' "
-                  "WHEN lower({c}) = 'all levels' THEN 'INTERMEDIATE' ELSE 'UNKNOWN' END")
+CATALOG = _catalog()
 
 
 def with_catalog(*extra: str) -> str:

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import courses as C
 from ..operators import windows as W
-from .fixture_sql import LEVEL_CATEGORY, with_catalog
+from ..functions.rules import bucket_sql
+from .fixture_sql import with_catalog
 from .registry import catalog, register
 
 FLAGSHIP_SQL = with_catalog() + f"""
 , tagged AS (
-  SELECT platform, id, course_name, level, {LEVEL_CATEGORY.format(c='level')} AS level_category FROM catalog
+  SELECT platform, id, course_name, level, {bucket_sql('level')} AS level_category FROM catalog
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY platform, level_category ORDER BY course_name, id) AS rn FROM tagged
   WHERE level_category IN ('BEGINNER', 'INTERMEDIATE', 'ADVANCED')

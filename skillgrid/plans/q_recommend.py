@@ -8,7 +8,8 @@ from ..operators import recommend as R
 from ..operators import windows as W
 from . import fixtures as X
 from .fixture_sql import USER_ROLES, q, with_catalog
-from .q_relational import LEVEL_CAT_SQL, RATINGS_SQL, latest_ratings
+from ..functions.rules import bucket_sql, transition_bucket_sql
+from .q_relational import RATINGS_SQL, latest_ratings
 from .registry import catalog, catalog_postings, register
 
 TOK = "list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}]+'), lambda t: t <> '')"
@@ -59,7 +60,7 @@ queries AS (
 )"""
 
 C1_BASE = with_catalog(USER_ROLES, RATINGS_SQL.strip()) + _search_sql(RECOMMEND_QUERIES, 20) + f""",
-tagged AS (SELECT h.qid AS user_id, h.id, h.rank, c.course_name, c.level, c.platform, {LEVEL_CAT_SQL.replace('lower(level)', 'lower(c.level)')} AS level_category
+tagged AS (SELECT h.qid AS user_id, h.id, h.rank, c.course_name, c.level, c.platform, {bucket_sql('c.level')} AS level_category
            FROM hits h JOIN catalog c ON c.id = h.id),
 recs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, level_category ORDER BY course_name, id) AS rn FROM tagged
          WHERE level_category IN ('BEGINNER', 'INTERMEDIATE', 'ADVANCED')) WHERE rn <= 2)"""
@@ -217,7 +218,7 @@ lp AS (SELECT o_custkey AS user_id, o_orderpriority AS role FROM orders
 rr AS (SELECT role, id, course_name FROM (
          SELECT lp2.role, c.id, c.course_name, row_number() OVER (PARTITION BY lp2.role ORDER BY c.course_name, c.id) AS rn
          FROM (SELECT DISTINCT o_orderpriority AS role FROM orders) lp2
-         JOIN catalog c ON ({LEVEL_CAT_SQL.replace('lower(level)', 'lower(c.level)')}) =
+         JOIN catalog c ON ({bucket_sql('c.level')}) =
               CASE WHEN lp2.role LIKE '1%' OR lp2.role LIKE '2%' THEN 'ADVANCED' WHEN lp2.role LIKE '3%' THEN 'INTERMEDIATE' ELSE 'BEGINNER' END)
        WHERE rn <= 2)
 SELECT lp.user_id, lp.role, rr.id, rr.course_name FROM lp JOIN rr ON rr.role = lp.role""")
@@ -256,7 +257,6 @@ def _fix_sql(prev: str, lvl: str) -> str:
 
 def _transition_sql() -> str:
     from .fixture_sql import HELD, REQUIREMENTS
-    from .q_scalar import LEVEL_TRANS
     sanitize = ("list_filter(list_transform(list_filter(m, lambda s: s IS NOT NULL AND length(s) > 0), "
                 "lambda s: regexp_replace(translate(s, '''\";', ''), '^\\s+|\\s+$', '', 'g')), lambda s: length(s) > 2)[1:3]")
     focus = f"CASE WHEN len({sanitize}) > 0 THEN ' Focus on courses that teach ' || array_to_string({sanitize}, ', ') || '.' ELSE '' END"
@@ -285,7 +285,7 @@ miss AS (SELECT u.user_id, CASE WHEN len(coalesce(m0, CAST([] AS VARCHAR[]))) >
                                 ELSE [u.role || ' Best Practices', 'Advanced Tools', 'Industry Knowledge'] END AS m
          FROM user_roles u LEFT JOIN magg g ON g.user_id = u.user_id)""" + _search_sql(queries, 6, "tr_") + f""",
 found AS (
-  SELECT h.qid AS user_id, h.rank, c.id, c.course_name AS name, {LEVEL_TRANS.replace('lower(level)', 'lower(c.level)')} AS cat
+  SELECT h.qid AS user_id, h.rank, c.id, c.course_name AS name, {transition_bucket_sql('c.level')} AS cat
   FROM tr_hits h JOIN catalog c ON c.id = h.id WHERE c.course_name IS NOT NULL AND c.url IS NOT NULL
 ),
 per AS (SELECT user_id, list({{'rank': rank, 'id': id, 'name': name, 'cat': cat}} ORDER BY rank) AS items FROM found GROUP BY user_id),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import courses as C
 from ..functions import skills as S
+from ..functions.rules import bucket_sql
 from ..operators import joins as J
 from ..operators import quality as Q
 from ..operators import state as M
@@ -141,12 +142,8 @@ def count_checked(spark, sf_dir):
     return catalog(spark, sf_dir).filter(F.col("url").isNotNull() & F.col("has_prerequisites")).agg(F.count(F.lit(1)).alias("n"))
 
 
-LEVEL_CAT_SQL = ("CASE WHEN lower(level) LIKE '%advanced%' THEN 'ADVANCED' WHEN lower(level) IN ('intermediate', 'fluency') THEN 'INTERMEDIATE' "
-                 "WHEN lower(level) LIKE '%beginner%' THEN 'BEGINNER' WHEN lower(level) = 'all levels' THEN 'INTERMEDIATE' ELSE 'UNKNOWN' END")
-
-
 @register("level_counts", with_catalog() + f"""
-SELECT platform, {LEVEL_CAT_SQL} AS level_category, count(*) AS n FROM catalog GROUP BY 1, 2""")
+SELECT platform, {bucket_sql('level')} AS level_category, count(*) AS n FROM catalog GROUP BY 1, 2""")
 def level_counts(spark, sf_dir):
     """A3: courses per level bucket and provider."""
     cat = catalog(spark, sf_dir)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import courses as C
+from ..functions import rules as RULES
 from ..functions import skills as S
 from ..functions import text as T
 from . import fixtures as X
-from .fixture_sql import COURSES, RAW_PROVIDERS, clean_ws, q, substr_or_null, with_catalog, with_courses
+from .fixture_sql import COURSES, RAW_PROVIDERS, clean_ws, q, with_catalog, with_courses
 from .registry import catalog, register
 
-NUM = "[0-9]+([.][0-9]+)?"
+LANG_NAME_SQL = "CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' WHEN 'es' THEN 'Spanish' END"
 
 
 def _courses(spark, sf_dir):
@@ -32,10 +33,9 @@ def blank_to_null(spark, sf_dir):
                                           T.blank_to_null("level_raw").alias("level"))
 
 
-@register("prereq_clean", "WITH " + COURSES + "," + RAW_PROVIDERS + """
+@register("prereq_clean", "WITH " + COURSES + "," + RAW_PROVIDERS + f"""
 SELECT doc_id, prerequisites AS raw,
-       nullif(trim(CASE WHEN upper(regexp_replace(prerequisites, '\\.', '', 'g')) IN ('NOT FOUND', 'NONE', '') THEN NULL
-                        ELSE prerequisites END), '') AS prerequisites
+       nullif(trim(CASE WHEN {RULES.has_prerequisites_sql('prerequisites', 'edx')} THEN prerequisites END), '') AS prerequisites
 FROM edx_raw""")
 def prereq_clean(spark, sf_dir):
     """NOT FOUND / NONE / empty after dropping dots -> NULL (edX records)."""
@@ -43,21 +43,18 @@ def prereq_clean(spark, sf_dir):
     return e.select("doc_id", F.col("prerequisites").alias("raw"), T.prereq_clean("prerequisites").alias("prerequisites"))
 
 
-@register("has_prereq", "WITH " + COURSES + "," + RAW_PROVIDERS + """
-SELECT c.id,
-  CASE WHEN c.prerequisites IS NULL OR trim(c.prerequisites) = 'No prerequisites required' THEN FALSE ELSE TRUE END AS udemy,
-  CASE WHEN c.prerequisites IS NULL OR c.prerequisites = '' THEN FALSE ELSE TRUE END AS udacity,
-  CASE WHEN upper(regexp_replace(e.prerequisites, '\\.', '', 'g')) IN ('NOT FOUND', 'NONE', '') OR e.prerequisites IS NULL
-       THEN FALSE ELSE TRUE END AS edx
+@register("has_prereq", "WITH " + COURSES + "," + RAW_PROVIDERS + f"""
+SELECT c.id, {RULES.has_prerequisites_sql('c.prerequisites', 'udemy')} AS udemy, {RULES.has_prerequisites_sql('c.prerequisites', 'udacity')} AS udacity,
+       {RULES.has_prerequisites_sql('e.prerequisites', 'edx')} AS edx
 FROM courses c LEFT JOIN edx_raw e ON e.doc_id = c.id""")
 def has_prereq(spark, sf_dir):
     """The three provider rules for HAS_PREREQUISITES side by side."""
     c = _courses(spark, sf_dir)
     e = X.edx_raw(c).select("doc_id", F.col("prerequisites").alias("edx_pre"))
     j = c.join(e, F.col("doc_id") == F.col("id"), "left")
-    return j.select("id", C.has_prereq_udemy("prerequisites").alias("udemy"),
-                    C.has_prereq_udacity("prerequisites").alias("udacity"),
-                    F.when(F.col("doc_id").isNull(), F.lit(False)).otherwise(C.has_prereq_edx("edx_pre")).alias("edx"))
+    return j.select("id", C.has_prereq("prerequisites", "udemy").alias("udemy"),
+                    C.has_prereq("prerequisites", "udacity").alias("udacity"),
+                    F.when(F.col("doc_id").isNull(), F.lit(False)).otherwise(C.has_prereq("edx_pre", "edx")).alias("edx"))
 
 
 @register("strip_not_found", "WITH " + COURSES + "," + RAW_PROVIDERS + """
@@ -70,13 +67,9 @@ def strip_not_found(spark, sf_dir):
                     T.strip_not_found("grow_these_skills").alias("grow_these_skills"))
 
 
-@register("language_flag", with_courses() + """
-SELECT id,
-  CASE WHEN lang = 'en' THEN 'ENGLISH' ELSE 'OTHERS' END AS edx,
-  CASE WHEN lang LIKE 'en' THEN 'ENGLISH' ELSE 'OTHERS' END AS udacity,
-  CASE WHEN (CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' WHEN 'es' THEN 'Spanish' END)
-       LIKE '%English%' THEN 'ENGLISH' ELSE 'OTHERS' END AS udemy
-FROM courses""")
+@register("language_flag", with_courses() + f"""
+SELECT id, {RULES.language_sql('lang', 'edx')} AS edx, {RULES.language_sql('lang', 'udacity')} AS udacity, {RULES.language_sql('name', 'udemy')} AS udemy
+FROM (SELECT id, lang, {LANG_NAME_SQL} AS name FROM courses)""")
 def language_flag(spark, sf_dir):
     """ENGLISH / OTHERS under the three provider rules."""
     c = _courses(spark, sf_dir)
@@ -86,45 +79,31 @@ def language_flag(spark, sf_dir):
 
 
 @register("duration_udemy", with_courses() + f"""
-SELECT id, CASE WHEN content_info IS NOT NULL THEN {substr_or_null('content_info', NUM)} || ' ' ||
-              CASE WHEN content_info LIKE '%hour%' THEN 'hours' WHEN content_info LIKE '%min%' THEN 'minutes'
-                   WHEN content_info LIKE '%question%' THEN 'questions' ELSE 'hours' END ELSE 'unknown' END AS duration,
-  round(CASE WHEN content_info IS NOT NULL AND trim(content_info) LIKE '%total hour%' THEN TRY_CAST({substr_or_null('content_info', NUM)} AS DOUBLE)
-       WHEN content_info IS NOT NULL AND trim(content_info) LIKE '%total min%' AND trim(content_info) NOT LIKE '%total hour%'
-            THEN TRY_CAST({substr_or_null('content_info', NUM)} AS DOUBLE) / 60
-       WHEN content_info IS NOT NULL AND trim(content_info) LIKE '%question%' AND trim(content_info) NOT LIKE '%total hour%'
-            THEN TRY_CAST({substr_or_null('content_info', NUM)} AS DOUBLE) / 60 END, 6) AS duration_hours
+SELECT id, {RULES.duration_sql('content_info', 'udemy')} AS duration, round({RULES.hours_sql('content_info', 'udemy')}, 6) AS duration_hours
 FROM courses""")
 def duration_udemy(spark, sf_dir):
     """``<number> <unit>`` and hours from Udemy content info."""
     c = _courses(spark, sf_dir)
-    return c.select("id", C.duration_udemy("content_info").alias("duration"),
-                    F.round(C.duration_hours_udemy("content_info"), 6).alias("duration_hours"))
+    return c.select("id", C.duration("content_info", "udemy").alias("duration"),
+                    F.round(C.duration_hours("content_info", "udemy"), 6).alias("duration_hours"))
 
 
 @register("duration_udacity", with_courses() + f"""
-SELECT id, iso_duration, {substr_or_null('iso_duration', '[0-9]+')} || ' ' ||
-   CASE WHEN iso_duration LIKE 'P%M' THEN 'months' WHEN iso_duration LIKE 'P%W' THEN 'weeks'
-        WHEN iso_duration LIKE 'PT%H' THEN 'hours' ELSE 'unknown' END AS duration,
-  CASE WHEN iso_duration LIKE 'P%M' THEN TRY_CAST({substr_or_null('iso_duration', '[0-9]+')} AS DOUBLE) * 730
-       WHEN iso_duration LIKE 'P%W' THEN TRY_CAST({substr_or_null('iso_duration', '[0-9]+')} AS DOUBLE) * 168
-       WHEN iso_duration LIKE 'PT%H' THEN TRY_CAST({substr_or_null('iso_duration', '[0-9]+')} AS DOUBLE) END AS duration_hours
+SELECT id, iso_duration, {RULES.duration_sql('iso_duration', 'udacity')} AS duration, {RULES.hours_sql('iso_duration', 'udacity')} AS duration_hours
 FROM courses""")
 def duration_udacity(spark, sf_dir):
     """ISO-like durations, ordered rules (``PT30M`` counts as months)."""
     c = _courses(spark, sf_dir)
-    return c.select("id", "iso_duration", C.duration_udacity("iso_duration").alias("duration"),
-                    C.duration_hours_udacity("iso_duration").alias("duration_hours"))
+    return c.select("id", "iso_duration", C.duration("iso_duration", "udacity").alias("duration"),
+                    C.duration_hours("iso_duration", "udacity").alias("duration_hours"))
 
 
 @register("duration_edx", "WITH " + COURSES + "," + RAW_PROVIDERS + f"""
-SELECT doc_id, trim(duration) AS duration,
-  CASE WHEN duration LIKE '%week%' THEN TRY_CAST({substr_or_null('duration', '[0-9]+')} AS DOUBLE) * 168 END AS duration_hours
-FROM edx_raw""")
+SELECT doc_id, trim(duration) AS duration, {RULES.hours_sql('duration', 'edx')} AS duration_hours FROM edx_raw""")
 def duration_edx(spark, sf_dir):
     """Weeks x 168 when the text mentions a week."""
     e = X.edx_raw(_courses(spark, sf_dir))
-    return e.select("doc_id", F.trim("duration").alias("duration"), C.duration_hours_edx("duration").alias("duration_hours"))
+    return e.select("doc_id", F.trim("duration").alias("duration"), C.duration_hours("duration", "edx").alias("duration_hours"))
 
 
 @register("rating_sentinel", with_courses() + """
@@ -134,15 +113,8 @@ def rating_sentinel(spark, sf_dir):
     return _courses(spark, sf_dir).select("id", "rating_raw", C.rating_sentinel("rating_raw").alias("rating"))
 
 
-@register("level_normalize", "WITH " + COURSES + "," + RAW_PROVIDERS + """
-SELECT c.id,
-  CASE WHEN trim(c.level_raw) ILIKE 'beginner%' THEN 'Beginner' WHEN trim(c.level_raw) ILIKE 'intermediate%' THEN 'Intermediate'
-       WHEN trim(c.level_raw) ILIKE 'expert%' THEN 'Advanced' WHEN trim(c.level_raw) ILIKE 'all%' THEN 'All Levels' ELSE 'Other' END AS udemy,
-  CASE WHEN trim(u.lvl) ILIKE 'beginner' THEN 'Beginner' WHEN trim(u.lvl) ILIKE 'intermediate' THEN 'Intermediate'
-       WHEN trim(u.lvl) ILIKE 'advanced' THEN 'Advanced' WHEN trim(u.lvl) ILIKE 'discovery' THEN 'All Levels'
-       WHEN trim(u.lvl) ILIKE 'fluency' THEN 'Fluency' ELSE 'Other' END AS udacity,
-  CASE WHEN trim(e.level) ILIKE 'beginner' THEN 'Beginner' WHEN trim(e.level) ILIKE 'intermediate' THEN 'Intermediate'
-       WHEN trim(e.level) ILIKE 'advanced' THEN 'Advanced' ELSE 'Other' END AS edx
+@register("level_normalize", "WITH " + COURSES + "," + RAW_PROVIDERS + f"""
+SELECT c.id, {RULES.level_sql('c.level_raw', 'udemy')} AS udemy, {RULES.level_sql('u.lvl', 'udacity')} AS udacity, {RULES.level_sql('e.level', 'edx')} AS edx
 FROM courses c LEFT JOIN udacity_raw u ON u.doc_id = c.id LEFT JOIN edx_raw e ON e.doc_id = c.id""")
 def level_normalize(spark, sf_dir):
     """Provider level label -> catalogue label, three rule sets."""
@@ -155,21 +127,14 @@ def level_normalize(spark, sf_dir):
                     C.level_normalize("e_level", "edx").alias("edx"))
 
 
-LEVEL_CAT = ("CASE WHEN lower(level) LIKE '%advanced%' THEN 'ADVANCED' WHEN lower(level) IN ('intermediate', 'fluency') THEN 'INTERMEDIATE' "
-             "WHEN lower(level) LIKE '%beginner%' THEN 'BEGINNER' WHEN lower(level) = 'all levels' THEN 'INTERMEDIATE' ELSE 'UNKNOWN' END")
-LEVEL_TRANS = ("CASE WHEN lower(level) LIKE '%beginner%' THEN 'BEGINNER' WHEN lower(level) LIKE '%intermediate%' THEN 'INTERMEDIATE' "
-               "WHEN lower(level) LIKE '%advanced%' THEN 'ADVANCED' "
-               "WHEN lower(level) LIKE '%all%level%' OR lower(level) LIKE '%all-level%' THEN 'ALL_LEVELS' ELSE 'ADVANCED' END")
-
-
-@register("level_category", with_catalog() + f"\nSELECT id, level, {LEVEL_CAT} AS level_category FROM catalog")
+@register("level_category", with_catalog() + f"\nSELECT id, level, {RULES.bucket_sql('level')} AS level_category FROM catalog")
 def level_category(spark, sf_dir):
     """Catalogue label -> bucket used by the recommender."""
     return catalog(spark, sf_dir).select("id", "level", C.level_category("level").alias("level_category"))
 
 
 @register("level_category_transition", with_courses() + f"""
-SELECT id, level, {LEVEL_TRANS} AS level_category FROM (SELECT id, level_raw AS level FROM courses)""")
+SELECT id, level, {RULES.transition_bucket_sql('level')} AS level_category FROM (SELECT id, level_raw AS level FROM courses)""")
 def level_category_transition(spark, sf_dir):
     """Second bucket rule set (unknown and NULL -> ADVANCED)."""
     c = _courses(spark, sf_dir)
