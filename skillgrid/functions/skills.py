@@ -110,7 +110,7 @@ def _canonical_key(skill: str) -> str:
 def extract_dictionary_skills(text, low=None) -> Column:
     """Dictionary skills found in ``text``, in dictionary order, each once.
 
-    * Skills made only of word characters (69 of 87) match exactly when a
+    * Skills made only of word characters (68 of 87) match exactly when a
       word token of the text equals them ignoring case: the text is split on
       non-word characters and intersected with the literal set (a hash lookup).
     * The other skills (spaces, ``+``, ``#``, ``/``, ``-``, wildcard dots) run

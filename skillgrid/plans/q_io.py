@@ -50,17 +50,8 @@ def csv_union(spark, sf_dir, source_col=None):
     for name, df, enc in (("udemy", udemy, "UTF-8"), ("udacity", udacity, "UTF-8"), ("edx", edx, "ISO-8859-1")):
         (df.write.mode("overwrite").option("header", True).option("encoding", enc)
          .option("quote", '"').option("escape", '"').csv(f"{d}/{name}"))
-    # Flatten the three drops into one folder of CSV files, like a provider download.
-    flat = _fresh(spark, "csvflat")
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for name in ("udemy", "udacity", "edx"):
-        for i, f in enumerate(FS.list_files(spark, f"{d}/{name}", ".csv")):
-            src = jvm.org.apache.hadoop.fs.Path(f)
-            fs = src.getFileSystem(conf)
-            dst = jvm.org.apache.hadoop.fs.Path(f"{flat}/{name}-{i:05d}.csv")
-            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, src, fs, dst, False, conf)
-    out = FS.read_csv_folder(spark, flat, source_col=source_col)
+    # descriptions hold line ends inside quotes
+    out = FS.read_csv_folder(spark, [f"{d}/{name}" for name in ("udemy", "udacity", "edx")], source_col=source_col, multi_line=True)
     cols = [F.col("id").cast("int").alias("id"), "course_name", F.col("rating").cast("string").alias("rating"),
             "description", "language"]
     return out.select(*cols, *([source_col] if source_col else []))

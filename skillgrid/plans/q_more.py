@@ -16,18 +16,20 @@ from .q_skills import _rules_sql
 from .registry import register
 
 
-@register("csv_encoding_fallback", "SELECT 'edx.csv' AS file, 'ISO-8859-1' AS encoding UNION ALL SELECT 'udemy.csv', 'UTF-8'")
+@register("csv_encoding_fallback", with_courses() + """
+SELECT lower(platform) || '.csv' AS file,
+       CASE WHEN platform = 'edX' AND bool_or(regexp_matches(description, '[^\\x00-\\x7F]')) THEN 'ISO-8859-1' ELSE 'UTF-8' END AS encoding
+FROM courses GROUP BY platform""")
 def csv_encoding_fallback(spark, sf_dir):
-    """The encoding chosen per file (UTF-8 when every line decodes, else ISO-8859-1)."""
+    """The encoding chosen per provider: UTF-8 when every line of its files decodes, else ISO-8859-1."""
     c = X.courses(spark, sf_dir)
     d = _fresh(spark, "enc")
-    c.filter(F.col("platform") == "Udemy").select("id", "course_name").write.option("header", True) \
-        .option("encoding", "UTF-8").csv(f"{d}/udemy")
-    c.filter(F.col("platform") == "edX").select("id", "description").write.option("header", True) \
-        .option("encoding", "ISO-8859-1").csv(f"{d}/edx")
-    enc = FS.detect_encodings(spark, f"{d}/*")
-    return enc.select(F.when(F.col("file").contains("/edx/"), "edx.csv").otherwise("udemy.csv").alias("file"),
-                      "encoding").distinct()
+    for platform, name, enc in (("Udemy", "udemy", "UTF-8"), ("Udacity", "udacity", "UTF-8"), ("edX", "edx", "ISO-8859-1")):
+        (c.filter(F.col("platform") == platform).select("id", "description").write.option("header", True)
+         .option("encoding", enc).option("quote", '"').option("escape", '"').csv(f"{d}/{name}"))
+    enc = FS.detect_encodings(spark, [f"{d}/{n}" for n in ("udemy", "udacity", "edx")])
+    file = F.concat(F.regexp_extract("file", "/(udemy|udacity|edx)/[^/]*$", 1), F.lit(".csv"))
+    return enc.groupBy(file.alias("file")).agg(F.max_by("encoding", F.col("encoding") != "UTF-8").alias("encoding"))
 
 
 @register("csv_infer_load", with_courses() + """
@@ -49,7 +51,7 @@ FROM courses GROUP BY platform""")
 def union_by_name_missing(spark, sf_dir):
     """Union by name, columns a file lacks filled with NULL; non-NULL counts per source file."""
     df = csv_union(spark, sf_dir, source_col="source_file")
-    provider = F.regexp_extract("source_file", r"/([a-z]+)-[0-9]+\.csv$", 1)
+    provider = F.regexp_extract("source_file", "/(udemy|udacity|edx)/[^/]*$", 1)
     return df.groupBy(provider.alias("provider")).agg(
         F.count(F.lit(1)).alias("n"), F.count("description").alias("with_description"),
         F.count("rating").alias("with_rating"), F.count("language").alias("with_language"))

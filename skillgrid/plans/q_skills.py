@@ -13,15 +13,17 @@ from .fixture_sql import (HELD, REQUIREMENTS, USER_ROLES, infer_level_sql, infer
 from .registry import register
 
 
-def _dict_values_sql() -> str:
-    rows = ", ".join(f"({pos}, {q(cat)}, {q(skill)}, {q(S.boundary_pattern(skill))})"
-                     for pos, cat, skill in S.dictionary_entries())
-    return f"dict(pos, category, skill, pattern) AS (VALUES {rows})"
+def _dict_sql(plain: bool) -> str:
+    rows = ", ".join(f"({pos}, {q(cat)}, {q(skill)}, {q(skill.lower() if plain else S.boundary_pattern(skill))})"
+                     for pos, cat, skill in S.dictionary_entries() if S._is_plain_word(skill) == plain)
+    return f"(pos, category, skill, test) AS (VALUES {rows})"
 
 
 @register("skill_dictionary_extract", f"""
-WITH {_dict_values_sql()}
-SELECT d.doc_id, k.pos, k.skill, k.category FROM documents d JOIN dict k ON regexp_matches(d.text, k.pattern)""")
+WITH plain{_dict_sql(True)}, odd{_dict_sql(False)},
+words AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS w FROM documents)
+SELECT doc_id, pos, skill, category FROM words JOIN plain ON w = test
+UNION ALL SELECT d.doc_id, pos, skill, category FROM documents d JOIN odd ON regexp_matches(d.text, test)""")
 def skill_dictionary_extract(spark, sf_dir):
     """Every dictionary skill found in every document (word boundaries, any case), with category."""
     d = X._t(spark, sf_dir, "documents", "doc_id", "text")

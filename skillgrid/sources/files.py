@@ -34,59 +34,48 @@ def list_files(spark: SparkSession, path: str, suffix: str = "") -> list[str]:
     return sorted(out)
 
 
-def _norm(uri: str) -> str:
-    """Path part of a file URI (``file:/a`` and ``file:///a`` name the same file)."""
-    from urllib.parse import unquote, urlparse
-    return unquote(urlparse(uri).path)
-
-
-def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """Per file, the first encoding of UTF-8 / ISO-8859-1 / ASCII that decodes it.
-
-    Lines are read as raw bytes and validated in parallel; a file is UTF-8 when
-    every line is valid UTF-8.  ISO-8859-1 decodes any byte sequence, so it is
-    the answer otherwise (the ASCII branch of the reference can never be reached).
+def csv_layouts(spark: SparkSession, paths) -> DataFrame:
+    """Per file its encoding (the first of UTF-8 / ISO-8859-1 / ASCII that decodes it) and its header line.
+
+    Lines are read as raw bytes and judged in parallel, one row per file comes
+    out of a partial aggregate.  A file is UTF-8 when every line is valid
+    UTF-8; ISO-8859-1 decodes any byte sequence, so it is the answer otherwise
+    (the ASCII branch of the reference can never be reached).  The header is
+    the line at the file's first byte.
     """
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
-    return (lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
-            .select("file", F.when(F.col("utf8"), F.lit(ENCODINGS[0])).otherwise(F.lit(ENCODINGS[1])).alias("encoding")))
-
-
-def first_line(spark: SparkSession, file: str, encoding: str) -> str:
-    """The header line of one file (a metadata-sized read through the Hadoop filesystem)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(file)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    stream = fs.open(p)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, encoding))
-        line = reader.readLine()
-        return line or ""
-    finally:
-        stream.close()
-
-
-def read_csv_folder(spark: SparkSession, path: str, drop_prefix: str = "Unnamed",
-                    source_col: str | None = None) -> DataFrame:
-    """S1 + S2 + S4 + U3: every CSV of a folder, header and types inferred, ``Unnamed*`` columns
-    dropped, stacked with union-by-name (missing columns -> NULL).
-
-    The encoding of each file comes from ``detect_encodings`` (a parallel job).
-    Files are grouped by (encoding, header line) and each group is read by one
-    scan, so the plan grows with the number of distinct layouts, not files.
+    lines = (spark.read.text(paths)
+             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("n"), "value"))
+    per_file = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+                                         F.min_by(F.col("value").cast("binary"), F.struct("block", "n")).alias("header"))
+    encoding = F.when(F.col("utf8"), ENCODINGS[0]).otherwise(ENCODINGS[1])
+    header = F.when(F.col("utf8"), F.decode("header", ENCODINGS[0])).otherwise(F.decode("header", ENCODINGS[1]))
+    return per_file.select("file", encoding.alias("encoding"), header.alias("header"))
+
+
+def detect_encodings(spark: SparkSession, paths) -> DataFrame:
+    """File, encoding."""
+    return csv_layouts(spark, paths).select("file", "encoding")
+
+
+def read_csv_folder(spark: SparkSession, paths, drop_prefix: str = "Unnamed", source_col: str | None = None,
+                    multi_line: bool = False) -> DataFrame:
+    """S1 + S2 + S4 + U3: the CSV files of one or more folders, header and types inferred, ``Unnamed*``
+    columns dropped, stacked with union-by-name (missing columns -> NULL).
+
+    Files with one layout (encoding and header line) are read by one scan, so
+    the plan grows with the layouts; a layout's list of files is what Spark's
+    own file index holds anyway.  ``multi_line`` is for files whose quoted
+    fields hold line ends; without it large files are split among tasks.
     """
-    enc = {_norm(r.file): r.encoding for r in detect_encodings(spark, path).collect()}
-    groups: dict[tuple[str, str], list[str]] = {}
-    for f in list_files(spark, path, ".csv"):
-        e = enc.get(_norm(f), ENCODINGS[0])
-        groups.setdefault((e, first_line(spark, f, e)), []).append(f)
+    layouts = csv_layouts(spark, paths).groupBy("encoding", "header").agg(F.array_sort(F.collect_list("file")).alias("files"))
     frames = []
-    for (encoding, _), files in groups.items():          # first file's spelling names the columns
-        df = (spark.read.option("header", True).option("inferSchema", True).option("encoding", encoding)
-              .option("quote", '"').option("escape", '"').option("multiLine", True).csv(files))
+    for row in layouts.orderBy(F.col("files")[0]).collect():          # the first file's spelling names the columns
+        df = (spark.read.option("header", True).option("inferSchema", True).option("encoding", row.encoding)
+              .option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(row.files))
         keep = [F.col(f"`{c}`") for c in df.columns if not c.startswith(drop_prefix)]
         if source_col:
-            keep.append(F.input_file_name().alias(source_col))
+            keep.append(F.col("_metadata.file_path").alias(source_col))
         frames.append(df.select(*keep))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
