@@ -159,10 +159,6 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", F.col("embedding"), (F.col("label") / 2.0).alias("rating"))
 
 
-def search_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents", "doc_id", "text", "lang", "source").filter(F.col("lang") == "en")
-
-
 ROLE_NAMES = ("Data Scientist", "Systems Engineer", "Software Developer", "Mechanical Engineer", "Nurse")
 
 

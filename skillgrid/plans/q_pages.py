@@ -35,11 +35,11 @@ def dedup_links(spark, sf_dir):
 
 
 @register("skip_processed", LINKS_SQL + """
-SELECT DISTINCT link FROM links WHERE link NOT IN (SELECT regexp_replace(url, '\\?.*', '') FROM pages WHERE url IS NOT NULL)""")
+SELECT DISTINCT link FROM links WHERE link NOT IN (SELECT l.link FROM links l JOIN pages p USING (page_id) WHERE p.url LIKE 'https:%')""")
 def skip_processed(spark, sf_dir):
-    """Links not yet in the processed set (the URLs already stored as pages)."""
+    """Links not yet in the processed set (stand-in for an earlier crawl: the links of the pages served by https)."""
     links = P.extract_links(_pages(spark, sf_dir)).select(F.col("link").alias("url")).distinct()
-    processed = _pages(spark, sf_dir).select(F.regexp_replace("url", r"\?.*", "").alias("url"))
+    processed = P.extract_links(_pages(spark, sf_dir).filter(F.col("url").like("https:%"))).select(F.col("link").alias("url"))
     return J.skip_processed(links, processed, "url").select(F.col("url").alias("link"))
 
 

@@ -25,12 +25,13 @@ def _range_case_sql(c: str) -> str:
     return "CASE " + " ".join(f"WHEN {c} BETWEEN {lo} AND {hi} THEN {i}" for i, (lo, hi) in enumerate(ID_RANGES)) + " END"
 
 
-@register("range_between", with_courses() + f"""
-SELECT {_range_case_sql('id * 4582')} AS range_no, count(*) AS n, min(id) AS first_id, max(id) AS last_id
-FROM courses GROUP BY 1""")
+@register("range_between", with_courses() + f""", spread AS (SELECT id, id * {ID_RANGES[-1][1]} // (SELECT max(id) + 1 FROM courses) AS cid FROM courses)
+SELECT {_range_case_sql('cid')} AS range_no, count(*) AS n, min(id) AS first_id, max(id) AS last_id
+FROM spread GROUP BY 1""")
 def range_between(spark, sf_dir):
-    """Rows per inclusive id range (ids spread over the reference's id space by a fixed factor)."""
-    c = X.courses(spark, sf_dir).select("id", (F.col("id") * 4582).alias("cid"))
+    """Rows per inclusive id range (ids spread evenly over the reference's id space)."""
+    c = X.courses(spark, sf_dir).select("id")
+    c = c.withColumn("_m", c.agg(F.max("id") + 1).scalar()).selectExpr("id", f"(id * {ID_RANGES[-1][1]}) div _m AS cid")
     rng = None
     for i, (lo, hi) in enumerate(ID_RANGES):
         cond = F.col("cid").between(lo, hi)
@@ -40,11 +41,12 @@ def range_between(spark, sf_dir):
 
 
 @register("range_half_open", with_courses() + """
-SELECT id, course_name FROM courses WHERE id >= 0 AND id < 100000""")
-def range_half_open(spark, sf_dir, lo: int = 0, hi: int = 100000):
-    """P5: parameterised ``lo <= id < hi`` batch (default 0..100000), pushed into the scan."""
+SELECT id, course_name FROM courses WHERE id >= 0 AND id < (SELECT (max(id) + 1) // 2 FROM courses)""")
+def range_half_open(spark, sf_dir, lo: int = 0, hi: int | None = None):
+    """P5: parameterised ``lo <= id < hi`` batch; by default the lower half of the ids there are."""
     c = X.courses(spark, sf_dir)
-    return c.filter((F.col("id") >= lo) & (F.col("id") < hi)).select("id", "course_name")
+    top = c.agg(F.expr("(max(id) + 1) div 2")).scalar() if hi is None else F.lit(hi)
+    return c.filter((F.col("id") >= lo) & (F.col("id") < top)).select("id", "course_name")
 
 
 @register("point_lookup", """
@@ -321,13 +323,16 @@ def append_session(spark, sf_dir):
 
 @register("unique_check", with_catalog() + """
 SELECT course_name, count(*) AS n FROM catalog WHERE course_name IS NOT NULL GROUP BY 1 HAVING count(*) > 1
-UNION ALL SELECT 'customer:' || c_name, count(*) FROM customer GROUP BY c_name HAVING count(*) > 1""")
+UNION ALL SELECT 'customer:' || c_name, count(*) FROM customer GROUP BY c_name HAVING count(*) > 1
+UNION ALL SELECT 'text:' || md5(text), count(*) FROM documents WHERE text IS NOT NULL GROUP BY md5(text) HAVING count(*) > 1""")
 def unique_check(spark, sf_dir):
-    """Q1: duplicated course names and usernames."""
+    """Q1: duplicated course names, usernames and document texts."""
     a = Q.unique_check(catalog(spark, sf_dir), "course_name")
     cust = X._t(spark, sf_dir, "customer", "c_name")
     b = Q.unique_check(cust, "c_name").select(F.concat(F.lit("customer:"), "c_name").alias("course_name"), "n")
-    return a.unionByName(b)
+    texts = X._t(spark, sf_dir, "documents", "text").select(F.md5("text").alias("course_name"))
+    d = Q.unique_check(texts, "course_name").select(F.concat(F.lit("text:"), "course_name").alias("course_name"), "n")
+    return a.unionByName(b).unionByName(d)
 
 
 @register("not_null_check", with_catalog() + """

@@ -286,17 +286,25 @@ def title_case_source(spark, sf_dir):
                     T.timestamp_display(F.col("ts").cast("string")).alias("ts_display"))
 
 
-DOC_COLS = ("url", "course_name", "platform", "rating", "level", "description", "duration", "skills",
-            "source", "prerequisites", "language")
+# The columns of the two embedding texts, in order; instructors and price have no source column.
+DOC_COLS = ("url", "course_name", "'Not found'", "rating", "level", "description", "duration", "skills", "platform",
+            "ingestion_time", "id", "prerequisites", "'Not found'")
+SHORT_DOC_COLS = ("course_name", "skills", "description")
+
+
+def _doc_sql(cols) -> list[str]:
+    return [f"CAST({c} AS VARCHAR)" for c in cols]
 
 
 @register("nullable_concat_doc", with_catalog() + f"""
-SELECT id, md5({" || ' ' || ".join(f"CAST({c} AS VARCHAR)" if c == "rating" else c for c in DOC_COLS)}) AS doc_strict,
-       md5(concat_ws(' ', {", ".join(f"CAST({c} AS VARCHAR)" if c == "rating" else c for c in DOC_COLS)})) AS doc_loose
+SELECT id, md5({" || ' ' || ".join(_doc_sql(DOC_COLS))}) AS doc_strict, md5(concat_ws(' ', {", ".join(_doc_sql(DOC_COLS))})) AS doc_loose,
+       md5({" || ' ' || ".join(_doc_sql(SHORT_DOC_COLS))}) AS doc_short
 FROM catalog""")
 def nullable_concat_doc(spark, sf_dir):
-    """One embedding text per course; strict form is NULL if any part is."""
+    """The embedding texts of every course (all 13 parts; title, skills and description); strict forms are NULL if any part is."""
     cat = catalog(spark, sf_dir)
-    cols = [F.col(c).cast("string") if c == "rating" else F.col(c) for c in DOC_COLS]
-    return cat.select("id", F.md5(T.nullable_concat_doc(cols, strict=True)).alias("doc_strict"),
-                      F.md5(T.nullable_concat_doc(cols, strict=False)).alias("doc_loose"))
+    parts = [F.expr(c).cast("string") for c in DOC_COLS]
+    short = [F.col(c) for c in SHORT_DOC_COLS]
+    return cat.select("id", F.md5(T.nullable_concat_doc(parts, strict=True)).alias("doc_strict"),
+                      F.md5(T.nullable_concat_doc(parts, strict=False)).alias("doc_loose"),
+                      F.md5(T.nullable_concat_doc(short, strict=True)).alias("doc_short"))

@@ -116,10 +116,10 @@ def _search(spark, sf_dir, docs, qtext_col, n):
     return res.select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
-@register("text_search_topn", _tfidf_sql("lang = 'en'", "text", 10))
+@register("text_search_topn", _tfidf_sql("TRUE", "text", 10))
 def text_search_topn(spark, sf_dir):
-    """V4: TF-IDF search of every benchmark passage over the English corpus, top 10 each."""
-    return _search(spark, sf_dir, X.search_corpus(spark, sf_dir).select("doc_id", "text"), None, 10)
+    """V4: TF-IDF search of every benchmark passage over the documents of all languages, top 10 each."""
+    return _search(spark, sf_dir, X._t(spark, sf_dir, "documents", "doc_id", "text"), None, 10)
 
 
 def _pii_sql(x: str) -> str:
