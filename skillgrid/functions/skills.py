@@ -187,6 +187,7 @@ def skill_stoplist_text(c) -> Column:
 
 
 # ---- N25 section extraction ---------------------------------------------
+# The patterns of a skills section and of the tokens in it.
 SECTION_PATTERN = r"(?i)(?:skills|technologies|competencies|proficiencies|tools)(?:[^\n.]*):([^\n]+(?:\n[^\n•*]+)*)"
 TOKEN_PATTERN = r"(?:[\s,;:|•]+)([A-Za-z0-9+#/\-._& ]{2,30}?)(?:[\s,;:|•]|$)"
 TECH_PATTERN = r"\b(" + "|".join(TECH_NAMES) + r")\b"

@@ -149,7 +149,7 @@ def jsonld_course_edx(pages: DataFrame) -> DataFrame:
             "institution": institution, "level": level, "duration": duration, "rating": rating,
             "associated_skills": assoc, "grow_these_skills": grow, "prerequisites": prereq, "language": language,
         }.items()],
-        F.lit("$199.2").alias("price"))
+        F.lit("$199.2").alias("price"))  # fixed value: every such course has this price
 
 
 def strip_tags(c: Column) -> Column:
