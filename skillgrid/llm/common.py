@@ -20,14 +20,19 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and read it back: the lineage ends there."""
     spark = df.sparkSession
-    # the table is the recovery point: the shuffle files of the job that wrote it can go
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex}")
     writer = df.write.mode("overwrite").option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    # the table is the recovery point: the shuffle files of the job that wrote it can go with the job
+    tidy = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(tidy, "false")
+    spark.conf.set(tidy, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(tidy, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
