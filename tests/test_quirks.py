@@ -14,14 +14,14 @@ def rows(spark, values, schema="x string"):
 
 def test_udacity_duration_order_pt30m_is_months(spark):
     df = rows(spark, ["PT30M", "P3M", "P4W", "PT5H", "X", None])
-    out = df.select(C.duration_udacity("x").alias("d"), C.duration_hours_udacity("x").alias("h")).collect()
+    out = df.select(C.duration("x", "udacity").alias("d"), C.duration_hours("x", "udacity").alias("h")).collect()
     assert [r.d for r in out] == ["30 months", "3 months", "4 weeks", "5 hours", None, None]
     assert [r.h for r in out] == [30 * 730.0, 3 * 730.0, 4 * 168.0, 5.0, None, None]
 
 
 def test_udemy_duration_literal_dot_and_units(spark):
     df = rows(spark, ["1.5 total hours", "30 total mins", "12 questions", "3x5 total hours", None])
-    out = df.select(C.duration_udemy("x").alias("d"), C.duration_hours_udemy("x").alias("h")).collect()
+    out = df.select(C.duration("x", "udemy").alias("d"), C.duration_hours("x", "udemy").alias("h")).collect()
     assert [r.d for r in out] == ["1.5 hours", "30 minutes", "12 questions", "3 hours", "unknown"]
     assert [r.h for r in out] == [1.5, 0.5, 0.2, 3.0, None]
 
@@ -43,7 +43,7 @@ def test_rating_sentinel_and_prereq_markers(spark):
     assert [r.r for r in df.select(C.rating_sentinel("x").alias("r")).collect()] == [4.5, -1.0, -1.0, -1.0, 3.0]
     df2 = rows(spark, ["None.", "not found", "", None, "Python"])
     assert [r.p for r in df2.select(T.prereq_clean("x").alias("p")).collect()] == [None, None, None, None, "Python"]
-    assert [r.h for r in df2.select(C.has_prereq_edx("x").alias("h")).collect()] == [False, False, False, False, True]
+    assert [r.h for r in df2.select(C.has_prereq("x", "edx").alias("h")).collect()] == [False, False, False, False, True]
 
 
 def test_dictionary_quirks(spark):
