@@ -9,6 +9,9 @@ from skillgrid.operators import recommend as R
 from skillgrid.operators import search as SR
 from skillgrid.operators import windows as W
 
+TRANSITION_SCHEMA = ("user_id long, role string, id string, course_name string, level string, platform string, "
+                     "skills string, rank int, level_category string")
+
 
 def _courses(spark, users=400, seed=3):
     rnd = random.Random(seed)
@@ -18,7 +21,7 @@ def _courses(spark, users=400, seed=3):
     for u in range(users):
         for r in range(1, rnd.randint(1, 6) + 1):
             rows.append((u, "role", f"id{u}_{r}", rnd.choice(names), "lvl", "p", "a, b", r, rnd.choice(cats)))
-    return spark.createDataFrame(rows, R.TRANSITION_SCHEMA)
+    return spark.createDataFrame(rows, TRANSITION_SCHEMA)
 
 
 LEVELS = ["BEGINNER", "INTERMEDIATE", "ADVANCED"]
