@@ -189,14 +189,15 @@ def close_codes(codes: DataFrame, max_bits: int = 2) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, max_bits: int = 2,
                     seed: int = 42) -> DataFrame:
-    """(ord, fold, doc_id, fp, component): ``component`` is the least ``ord`` reachable, itself included."""
+    """(ord, fold, doc_id, fp, root, component): ``root`` is the fingerprint that stands for a component and names it;
+    ``component`` is the least ``ord`` reachable, itself included, which components of null or repeated ids can share."""
     marked = staged(fingerprints(docs, id_col, text_col, k, seed), "simhash-marked")
     codes = staged(marked.groupBy("fp").agg(F.min("ord").alias("least")), "simhash-codes")
     roots = components(close_codes(codes.select("fp"), max_bits), "simhash")
     linked = codes.join(roots, codes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     labels = linked.groupBy("root").agg(F.min("least").alias("component"))
-    table = staged(linked.join(labels, "root").select("fp", "component"), "simhash-labels")
-    return marked.join(table, "fp").select("ord", "fold", "doc_id", "fp", "component")
+    table = staged(linked.join(labels, "root").select("fp", "root", "component"), "simhash-labels")
+    return marked.join(table, "fp").select("ord", "fold", "doc_id", "fp", "root", "component")
 
 
 def report(docs: DataFrame, **how) -> DataFrame:
@@ -209,7 +210,7 @@ def report(docs: DataFrame, **how) -> DataFrame:
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The document with the least id of every component, all columns; of repeated rows one stays."""
     chosen = (near_duplicates(docs, id_col, text_col, **how)
-              .groupBy("component").agg(F.min(F.struct("ord", "fold")).alias("s")).select("s.ord", "s.fold"))
+              .groupBy("root").agg(F.min(F.struct("ord", "fold")).alias("s")).select("s.ord", "s.fold"))
     key = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)).alias("ord"),
                       F.hash(F.col(f"`{text_col}`").cast("string")).alias("fold"))
     from pyspark.sql import Window

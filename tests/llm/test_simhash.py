@@ -90,6 +90,16 @@ def test_one_stays(spark, odd_docs, no_docs):
     assert SH.one_per_group(no_docs).count() == 0
 
 
+def test_unlinked_rows_that_share_an_id_stay(spark):
+    """Far apart texts are groups of their own, also with null ids or one id; copies and near copies still go."""
+    words = [" ".join(f"{name}{i}" for i in range(60)) for name in ("oak", "elm", "ash", "fir")]
+    docs = [(None, words[0]), (None, words[1]), (None, words[0]), (7, words[2]), (7, words[3]), (9, words[3])]
+    fps = [slow_fp(t) for t in words]
+    assert all((a ^ b).bit_count() > 2 for i, a in enumerate(fps) for b in fps[:i])
+    kept = SH.one_per_group(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("None", words[0]), ("None", words[1]), ("7", words[2]), ("7", words[3])])
+
+
 def test_long_text_in_pieces():
     text = " ".join(f"w{i % 977}" for i in range(5000))
     assert SH.fingerprint(text) == SH.fingerprint(text, piece=333) == slow_fp(text)
