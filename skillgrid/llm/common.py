@@ -41,10 +41,15 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def fold_of(*columns: Column | str) -> Column:
+    """64 bits that tell rows of one id apart: two different texts agree once in 2^64, so n rows of one id by about n * n / 2^65 pairs."""
+    return F.xxhash64(*columns)
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``text`` and a row key (ord, fold): null ids order last; rows that share an id differ by text hash."""
+    """``doc_id``, ``text`` and a row key (ord, fold): null ids order last; rows that share an id differ by a 64-bit text hash."""
     d = id_and_text(docs, id_col, text_col)
-    return d.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("ord"), F.hash("text").alias("fold"), "doc_id", "text")
+    return d.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("ord"), fold_of("text").alias("fold"), "doc_id", "text")
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:

@@ -29,10 +29,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_bytes, keyed, small_batches, staged
+from .common import by_bytes, fold_of, keyed, small_batches, staged
 from .spans import anchor_table, byte_view, covered, hash_spans, runs_of, word_bounds
 
-RUNS = "a long, g long, ord long, fold int, start int, n int, off int"
+RUNS = "a long, g long, ord long, fold long, start int, n int, off int"
 PIECE = 500_000  # bytes of text that share one automaton
 
 
@@ -206,7 +206,7 @@ def deduplicated(docs: DataFrame, width: int = 50, gram: int = 8, id_col: str =
     schema, names = docs.schema, docs.columns
     key = keyed(docs, id_col, text_col)
     held = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(2 ** 63 - 1)).alias("ord"),
-                       F.hash(F.col(f"`{text_col}`").cast("string")).alias("fold"), F.col(f"`{text_col}`").cast("string").alias("text"))
+                       fold_of(F.col(f"`{text_col}`").cast("string")).alias("fold"), F.col(f"`{text_col}`").cast("string").alias("text"))
     joined = held.join(hints(key, width, gram), ["ord", "fold"], "left").select("doc", "text", "hints")
 
     def run(batches):

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LAST_ID, by_bytes, keyed, small_batches, staged, unsigned_hex
+from .common import LAST_ID, by_bytes, fold_of, keyed, small_batches, staged, unsigned_hex
 from .components import components
 
 GROUP = 1024
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([part.column("ord"), part.column("fold"), part.column("doc_id"), pa.array(codes.view(np.int64))],
                                   names=["ord", "fold", "doc_id", "fp"])
 
-    return keyed(docs, id_col, text_col).mapInArrow(run, "ord long, fold int, doc_id long, fp long")
+    return keyed(docs, id_col, text_col).mapInArrow(run, "ord long, fold long, doc_id long, fp long")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -212,7 +212,7 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chosen = (near_duplicates(docs, id_col, text_col, **how)
               .groupBy("root").agg(F.min(F.struct("ord", "fold")).alias("s")).select("s.ord", "s.fold"))
     key = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)).alias("ord"),
-                      F.hash(F.col(f"`{text_col}`").cast("string")).alias("fold"))
+                      fold_of(F.col(f"`{text_col}`").cast("string")).alias("fold"))
     from pyspark.sql import Window
     nth = F.row_number().over(Window.partitionBy("ord", "fold").orderBy("ord", "fold"))
     return key.join(chosen, ["ord", "fold"]).withColumn("nth", nth).where("nth = 1").select("row.*")

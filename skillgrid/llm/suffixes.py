@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import by_bytes, keyed, small_batches, staged
 from .spans import anchor_table, byte_hashes, byte_view, covered, mix, runs_of
 
-RUNS = "a long, g long, ord long, fold int, start int, n int, off int, reps int"
+RUNS = "a long, g long, ord long, fold long, start int, n int, off int, reps int"
 PIECE = 2_000_000
 SHARD_BYTES = 2_000_000
 HOT = 256  # runs of one anchor that are left together

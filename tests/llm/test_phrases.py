@@ -68,3 +68,14 @@ def test_deduplicated(spark, no_docs):
     assert got[2].text == "before,\n\nand  after" and got[2].n_chars == len(got[2].text) and got[2].hints == "y"
     assert got[1].text == f"first {passage} end" and got[4].text is None
     assert PH.deduplicated(no_docs).count() == 0
+
+
+def test_texts_of_one_id_with_equal_32_bit_hashes(spark):
+    """Spark's hash() agrees on each pair of a short and a long text; their rows are still told apart."""
+    from pyspark.sql import functions as F
+    body = " ".join(f"w{i}" for i in range(80))
+    pairs = [(f"short {i}", f"{body} {j}") for i, j in ((12605, 190405), (32535, 165531), (39678, 48822), (47930, 105916), (51759, 60840))]
+    docs = [(n, t) for n, pair in enumerate(pairs) for t in pair] + [(10 + n, f"before {long} after") for n, (_, long) in enumerate(pairs)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert df.select(F.hash("text")).distinct().count() < df.select("text").distinct().count()
+    assert rows(PH.report(df)) == sorted(map(str, slow(docs)))
