@@ -22,6 +22,13 @@ def _source(spark: SparkSession, path: str, schema: str, max_files: int | None)
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
 
 
+def _last_delivery(batch: DataFrame, key: str, place: str) -> DataFrame:
+    """One row per key, the last by ``place``; a partial aggregate, so a key delivered often ships one row per task."""
+    others = [c for c in batch.columns if c not in (key, place)]
+    last = batch.groupBy(key).agg(F.max_by(F.struct(*others), F.col(place)).alias("r"))
+    return last.select(key, *[F.col("r").getField(c).alias(c) for c in others])
+
+
 def _run(query) -> None:
     """Wait until the query has ended by itself; its failure is raised here, and nothing partial is returned."""
     query.awaitTermination()
@@ -36,14 +43,18 @@ def index_refresh(spark: SparkSession, source_dir: str, schema: str, index_dir:
     batch id (``epoch``) -- no rewrite of the existing index -- and a row per
     delivered document.  A document that is delivered again supersedes its older
     postings, also if it has no word left: ``read_index`` keeps, per document,
-    the postings of the epoch that delivered it last.  ``trigger`` defaults to
+    the postings of the epoch that delivered it last.  Of several deliveries of
+    a document within one micro-batch the last one counts: by the file's
+    modification time, then its path, then the row's place in it.  ``trigger`` defaults to
     ``availableNow``; a deployment uses ``processingTime='1 minute'`` for the
     reference's one-minute lag.  Re-running a failed batch overwrites that
     batch's own ``epoch=`` partition, so replays are idempotent.
     """
-    stream = _source(spark, source_dir, schema, max_files)
+    place = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index")
+    stream = _source(spark, source_dir, schema, max_files).select(key, text, *attrs, place.alias("_place"))
 
     def append_postings(batch: DataFrame, epoch: int) -> None:
+        batch = _last_delivery(batch, key, "_place")
         postings = SR.build_index(batch, key, text, attrs).select(*attrs, "term", key, "cnt")
         root = index_dir.rstrip("/")
         postings.write.mode("overwrite").parquet(f"{root}/postings/epoch={epoch:010d}")

@@ -52,6 +52,25 @@ def test_index_refresh_supersedes_redelivered_docs(spark):
     assert got == [(1, "delta"), (2, "gamma")]
 
 
+def test_two_deliveries_within_one_run(spark):
+    """A backlog is one micro-batch: of each document only the last delivery is indexed, and copies count once."""
+    import glob
+    import os
+    src, sink, ckpt = _dirs()
+    schema = "doc_id long, text string, lang string"
+    drops = [[(1, "alpha beta beta", "en"), (2, "gamma", "en"), (3, "old words", "en"), (4, "once", "en")],
+             [(1, "delta", "de"), (2, "gamma", "en"), (3, "", "en"), (5, "first", "en"), (5, "second", "en")]]
+    for n, rows in enumerate(drops):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}-{n}")
+        os.makedirs(src, exist_ok=True)
+        # the later drop's name sorts first
+        os.rename(glob.glob(f"{src}-{n}/part-*.parquet")[0], f"{src}/{9 - n}.parquet")
+        os.utime(f"{src}/{9 - n}.parquet", (1_700_000_000 + n, 1_700_000_000 + n))
+    ST.index_refresh(spark, src, schema, sink, ckpt)
+    got = sorted((r.lang, r.term, r.doc_id, r.cnt) for r in ST.read_index(spark, sink).collect())
+    assert got == [("de", "delta", 1, 1), ("en", "gamma", 2, 1), ("en", "once", 4, 1), ("en", "second", 5, 1)]
+
+
 def test_redelivered_document_without_words_loses_its_postings(spark):
     src, sink, ckpt = _dirs()
     schema = "doc_id long, text string, lang string"
