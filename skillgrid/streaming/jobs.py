@@ -22,11 +22,16 @@ def _source(spark: SparkSession, path: str, schema: str, max_files: int | None)
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
 
 
-def _last_delivery(batch: DataFrame, key: str, place: str) -> DataFrame:
-    """One row per key, the last by ``place``; a partial aggregate, so a key delivered often ships one row per task."""
-    others = [c for c in batch.columns if c not in (key, place)]
-    last = batch.groupBy(key).agg(F.max_by(F.struct(*others), F.col(place)).alias("r"))
-    return last.select(key, *[F.col("r").getField(c).alias(c) for c in others])
+def _last_delivery(batch: DataFrame, key: str, place: str, path: str) -> DataFrame:
+    """The batch without rows whose key is delivered again at a later ``place``.
+
+    Only keys and places are shuffled; keys with several deliveries are written to ``path``,
+    so that the join knows their size and texts need not move where they are few.
+    """
+    last = batch.groupBy(key).agg(F.max(place).alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key, "_last")
+    last.write.mode("overwrite").parquet(path)
+    several = batch.sparkSession.read.schema(last.schema).parquet(path)
+    return batch.join(several, key, "left").where(F.col("_last").isNull() | (F.col("_last") == F.col(place))).drop("_last", place)
 
 
 def _run(query) -> None:
@@ -54,9 +59,9 @@ def index_refresh(spark: SparkSession, source_dir: str, schema: str, index_dir:
     stream = _source(spark, source_dir, schema, max_files).select(key, text, *attrs, place.alias("_place"))
 
     def append_postings(batch: DataFrame, epoch: int) -> None:
-        batch = _last_delivery(batch, key, "_place")
-        postings = SR.build_index(batch, key, text, attrs).select(*attrs, "term", key, "cnt")
         root = index_dir.rstrip("/")
+        batch = _last_delivery(batch, key, "_place", f"{root}/repeated/epoch={epoch:010d}")
+        postings = SR.build_index(batch, key, text, attrs).select(*attrs, "term", key, "cnt")
         postings.write.mode("overwrite").parquet(f"{root}/postings/epoch={epoch:010d}")
         batch.select(key).distinct().write.mode("overwrite").parquet(f"{root}/deliveries/epoch={epoch:010d}")
 
