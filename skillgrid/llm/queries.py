@@ -11,6 +11,7 @@ from ..session import scratch_path
 from ..sources.tables import read_table
 from . import decontaminate as DC
 from . import hosts as HO
+from . import negatives as NG
 from . import packing as PK
 from . import pages as PG
 from . import phrases as PH
@@ -188,3 +189,26 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return PG.main_text(read_table(spark, sf_dir, "pages"))
+
+
+OP11_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, a.label AS al, v.r, v.vec_id, v.label, CAST(list_inner_product(a.e, v.e) AS BIGINT) AS score
+      FROM v a JOIN v ON a.r <> v.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE label = al QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.ar, p.r ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+       s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.ar = p.ar AND s.label <> p.al AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+QUALIFY rank <= 5"""
+
+
+@register("op11_hard_negatives", OP11_SQL)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five positives of every anchor (vec_id divisible by 100) and five hard negatives of each, labels of every seventh row moved on."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = NG.quantised(read_table(spark, sf_dir, "embeddings"), label, 256)
+    return NG.hard_negatives(rows, F.col("id") % 100 == 0, 5, 5, 80, 100)
