@@ -20,6 +20,7 @@ from . import rollups as RL
 from . import sharding as SD
 from . import simhash as SH
 from . import suffixes as SX
+from . import trie as TR
 from .common import staged
 from .tokens import Tokenizer
 
@@ -212,3 +213,39 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = NG.quantised(read_table(spark, sf_dir, "embeddings"), label, 256)
     return NG.hard_negatives(rows, F.col("id") % 100 == 0, 5, 5, 80, 100)
+
+
+# CRC-32 of a decimal: every character is mixed in, then eight shift steps (marked -1) follow
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+       lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+       lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295)"""
+OP13_SQL = rf"""
+WITH named AS (SELECT conv_id, turn, concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')) AS t,
+                      len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS w FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (SELECT conv_id, t, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(t)) AS k FROM named),
+ids AS (SELECT conv_id, {_CRC32} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (SELECT i.conv_id, 0 AS half, k, t, w FROM ids i JOIN turns b ON b.conv_id = i.conv_id - i.conv_id % 20 AND k <= h
+            UNION ALL SELECT i.conv_id, 1, k, t, w FROM ids i JOIN turns o ON o.conv_id = i.conv_id AND k > h),
+placed AS (SELECT conv_id, t, w, row_number() OVER (PARTITION BY conv_id ORDER BY half, k) AS depth FROM rebuilt),
+hashed AS (SELECT conv_id, depth, w, sha256(string_agg(sha256(t), '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM placed),
+paths AS (SELECT conv_id, depth, w, node FROM hashed UNION ALL SELECT conv_id, 0, 0, 'root' FROM ids),
+sizes AS (SELECT conv_id, max(depth) AS size FROM paths GROUP BY conv_id),
+nodes AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+                 sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = depth), '')) AS ends_sha256
+          FROM paths JOIN sizes USING (conv_id) GROUP BY node, depth),
+links AS (SELECT DISTINCT c.node, p.node AS parent FROM paths c JOIN paths p ON p.conv_id = c.conv_id AND p.depth = c.depth - 1),
+fan AS (SELECT parent AS node, count(*) AS n_children FROM links GROUP BY parent),
+spans AS (SELECT DISTINCT a.node AS node, d.node AS below FROM paths a JOIN paths d ON d.conv_id = a.conv_id AND d.depth >= a.depth),
+sums AS (SELECT s.node, count(*) FILTER (WHERE f.n_children IS NULL) AS n_leaves, sum((d.n_convs - 1) * d.w) AS saved
+         FROM spans s JOIN nodes d ON d.node = s.below LEFT JOIN fan f ON f.node = s.below GROUP BY s.node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(f.n_children, 0) AS n_children,
+       s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s USING (node) LEFT JOIN fan f ON f.node = n.node LEFT JOIN links l ON l.node = n.node LEFT JOIN nodes p ON p.node = l.parent"""
+
+
+@register("op13_conversation_trie", OP13_SQL)
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie over all conversations, each restarted with up to three turns of the first of its twenty."""
+    convs = TR.conversations(read_table(spark, sf_dir, "conversations"))
+    opening = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(4))
+    return TR.prefix_trie(TR.shared_openings(convs, 20, opening, 3))
