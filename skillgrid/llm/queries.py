@@ -20,6 +20,7 @@ from . import rollups as RL
 from . import sharding as SD
 from . import simhash as SH
 from . import suffixes as SX
+from . import tokenfiles as TF
 from . import trie as TR
 from .common import staged
 from .tokens import Tokenizer
@@ -221,7 +222,8 @@ _CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transf
        lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295)"""
 OP13_SQL = rf"""
 WITH named AS (SELECT conv_id, turn, concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')) AS t,
-                      len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS w FROM conversations WHERE conv_id IS NOT NULL),
+                      len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS w FROM conversations WHERE conv_id IS NOT NULL),
 turns AS (SELECT conv_id, t, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(t)) AS k FROM named),
 ids AS (SELECT conv_id, {_CRC32} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
 rebuilt AS (SELECT i.conv_id, 0 AS half, k, t, w FROM ids i JOIN turns b ON b.conv_id = i.conv_id - i.conv_id % 20 AND k <= h
@@ -249,3 +251,14 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     convs = TR.conversations(read_table(spark, sf_dir, "conversations"))
     opening = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(4))
     return TR.prefix_trie(TR.shared_openings(convs, 20, opening, 3))
+
+
+TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@register("op12_token_files")
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to shard files and read back through the key index."""
+    docs = read_table(spark, sf_dir, "documents")
+    files = TF.TokenFiles.write(docs, scratch_path(spark, f"llm/token-files-{uuid.uuid4().hex}"), TF.FileTokenizer(TOKENIZER_FILE))
+    return files.lookup(TF.document_keys(docs)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
