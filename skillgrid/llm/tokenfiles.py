@@ -30,6 +30,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -45,6 +47,7 @@ from .spans import C1, C2, mix
 SHARD_BYTES = 256_000_000     # text of a shard, where that makes more shards than shuffle partitions
 BUCKET = 4096                 # keys of an index row, on average
 PIECE = 200_000               # characters after which a long text is cut, where a cut changes no id
+WORDS = 1_000_000             # words whose ids a worker keeps
 MAGIC = b"TOKIDS01"
 TRAILER = np.dtype([("magic", "S8"), ("part", "<i4"), ("width", "<i4"), ("docs", "<i8"), ("tokens", "<i8")])
 INDEX = "bucket long, n_keys int, sizes array<int>, bits binary, prints binary, shards binary, offsets binary, counts binary"
@@ -60,16 +63,24 @@ class FileTokenizer:
     def width(self) -> int:
         return 2 if load_tokenizer(self.path).get_vocab_size() <= 65_536 else 4
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of every whole text; long ones go piecewise, cut where the library splits anyway."""
-        cuts = [pieces(t) for t in texts]
-        kind = "<u2" if self.width == 2 else "<u4"
-        ids = iter([np.array(e.ids, kind) for e in load_tokenizer(self.path).encode_batch_fast([p for c in cuts for p in c], add_special_tokens=False)])
-        out = []
-        for c in cuts:
-            held = [next(ids) for _ in c]
-            out.append(held[0] if len(held) == 1 else np.concatenate(held))
-        return out
+    def encode(self, text: str) -> bytes:
+        """Ids of the whole text, little-endian.
+
+        The vocabulary's splitter starts a new word at every single space and
+        line end between two other characters, whatever stands around.  So words
+        are encoded once per worker and joined; a text with other white space
+        goes through the library as it is, in long pieces.
+        """
+        words, out = word_ids(self.path), []
+        for k, piece in enumerate(pieces(text)):
+            body = piece[1:] if k else piece                 # later pieces start with the space of their first word
+            if _ODD_SPACE.search(body):
+                out.append(words.library(piece))
+                continue
+            first, *rest = body.replace("\n", " \n").split(" ")
+            out.append(words[first] if k else words.library(first))
+            out.extend(map(words.__getitem__, rest))
+        return b"".join(out)
 
 
 @lru_cache(maxsize=4)
@@ -82,15 +93,43 @@ def load_tokenizer(path: str):
     return t
 
 
+class WordIds(dict):
+    """Ids of words as they stand behind a space (or from their own line end on); at most ``WORDS`` are kept."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.tokenizer = load_tokenizer(path)
+        self.kind = "H" if self.tokenizer.get_vocab_size() <= 65_536 else "I"
+
+    def library(self, text: str) -> bytes:
+        ids = array(self.kind, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if word[-1:] in (",", ".") and word[-2:-1].isalpha():
+            ids = self[word[:-1]] + self.library(word[-1])   # a mark behind a letter is a word of its own
+        else:
+            ids = self.library(word if word[:1] == "\n" else " " + word)
+        if len(self) >= WORDS:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+
+@lru_cache(maxsize=4)
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
+
+
+_ODD_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
 _CUT = re.compile(r"(?<=[^\W\d_])(?= [^\W\d_])")
 
 
 def pieces(text: str, size: int = PIECE) -> list[str]:
-    """A text in pieces of about ``size`` characters, cut before a single space between two letters.
-
-    The vocabulary's splitter starts a new word at such a space whatever stands
-    around, so the pieces' ids are those of the whole.
-    """
+    """A text in pieces of about ``size`` characters, cut before a single space between two letters, where a new word starts anyway."""
     out, at = [], 0
     while len(text) - at > size:
         m = _CUT.search(text, at + size)
@@ -109,11 +148,11 @@ def _encode(tokenizer: FileTokenizer):
             if not batch.num_rows:
                 continue
             part = batch.column("part")[0].as_py()
-            encoded = tokenizer.encode(batch.column("text").fill_null("").to_pylist())
+            encoded = [tokenizer.encode(t or "") for t in batch.column("text").to_pylist()]
             ids.append(batch.column("doc_id").fill_null(0).to_numpy())
             known.append(batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False))
-            counts.append(np.array([len(e) + 1 for e in encoded], "<i8"))
-            yield pa.record_batch([pa.array([e.tobytes() for e in encoded], pa.binary())], names=["line"])
+            counts.append(np.array([len(e) // tokenizer.width + 1 for e in encoded], "<i8"))
+            yield pa.record_batch([pa.array(encoded, pa.binary())], names=["line"])
         if ids:
             ids, known, counts = (np.concatenate(x) for x in (ids, known, counts))
             end = np.array([(MAGIC, part, tokenizer.width, len(ids), counts.sum())], TRAILER)

@@ -101,3 +101,22 @@ def test_pieces_keep_the_ids(seed):
     parts = TF.pieces(text, 50)
     assert "".join(parts) == text and len(parts) > 5
     assert [i for p in parts for i in encode(p)[:-1]] == encode(text)[:-1]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_words_keep_the_ids(seed, monkeypatch):
+    rng = random.Random(seed)
+    monkeypatch.setattr(TF, "WORDS", rng.choice([3, 1000]))
+    words = ["a", "Word", "été", "don't", "'s", "9", "42nd", "!", "x.", "y,", "!,", "9.", ".", ",", "<|endoftext|>", "中文", "é\u0301", "_", "\u00a0", "a\tb", "\x1c", "I'll."]
+    gaps = [" ", " ", " ", "\n"] + (["  ", "\n\n", " \n", "\t"] if seed % 4 == 0 else [])
+    text = "".join(rng.choice(words) + rng.choice(gaps) for _ in range(400))
+    text = text.strip() if seed % 4 else text
+    for t in (text, text[:50], "", " ", "\n", "one", " lead", "trail "):
+        assert np.frombuffer(TF.FileTokenizer(TOKENIZER_FILE).encode(t), "<u2").tolist() == encode(t)[:-1]
+
+
+def test_long_texts_keep_the_ids():
+    rng = random.Random(5)
+    text = "".join(rng.choice(["some", "wörds.", "9", "a\nb", "x"]) + rng.choice([" ", "\n", "  " if rng.random() < 0.001 else " "]) for _ in range(250_000))
+    assert len(TF.pieces(text)) > 3
+    assert np.frombuffer(TF.FileTokenizer(TOKENIZER_FILE).encode(text), "<u2").tolist() == encode(text)[:-1]
