@@ -28,6 +28,7 @@ empty data set.  One document's ids must stay below 2 GB.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -71,18 +72,24 @@ class FileTokenizer:
         are encoded once per worker and joined; a text with other white space
         goes through the library as it is, in long pieces.
         """
-        words, out = word_ids(self.path), []
+        words = word_ids(self.path)
+        if not words.joinable:
+            return words.library(text)
+        out = []
         for k, piece in enumerate(pieces(text)):
-            body = piece[1:] if k else piece                 # later pieces start with the space of their first word
-            if _ODD_SPACE.search(body):
+            first, *rest = (piece[1:] if k else piece).replace("\n", " \n").split(" ")    # later pieces start with the space of their first word
+            try:
+                ids = list(map(words.__getitem__, rest))
+                out += [words[first] if k else words.opening(first), *ids]
+            except OddSpace:
                 out.append(words.library(piece))
-                continue
-            first, *rest = body.replace("\n", " \n").split(" ")
-            out.append(words[first] if k else words.library(first))
-            out.extend(map(words.__getitem__, rest))
         return b"".join(out)
 
 
+class OddSpace(Exception):
+    """White space other than single spaces and line ends between words."""
+
+
 @lru_cache(maxsize=4)
 def load_tokenizer(path: str):
     """The tokenizer of a file, loaded once per worker process."""
@@ -93,6 +100,13 @@ def load_tokenizer(path: str):
     return t
 
 
+def byte_characters() -> dict[int, str]:
+    """The character that a byte-level vocabulary writes for each byte: printable Latin-1 as it is, the others from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return {b: chr(b if b in printable else next(others)) for b in range(256)}
+
+
 class WordIds(dict):
     """Ids of words as they stand behind a space (or from their own line end on); at most ``WORDS`` are kept."""
 
@@ -100,18 +114,38 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = load_tokenizer(path)
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 65_536 else "I"
-
-    def library(self, text: str) -> bytes:
-        ids = array(self.kind, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        made = json.loads(self.tokenizer.to_str())
+        split = made["pre_tokenizer"] or {}
+        # only then does a word's encoding not depend on its neighbours
+        self.joinable = (made["normalizer"] is None and made["post_processor"] is None and made["model"]["type"] == "BPE"
+                         and (split.get("type"), split.get("use_regex"), split.get("add_prefix_space")) == ("ByteLevel", True, False))
+        self.model, self.characters = self.tokenizer.model, byte_characters()
+
+    def packed(self, ids) -> bytes:
+        ids = array(self.kind, ids)
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
 
+    def library(self, text: str) -> bytes:
+        return self.packed(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+    def opening(self, word: str) -> bytes:
+        """Ids of a text's first word."""
+        if word[:1].isspace() or word[-1:].isspace():
+            raise OddSpace
+        return self.library(word)
+
     def __missing__(self, word: str) -> bytes:
-        if word[-1:] in (",", ".") and word[-2:-1].isalpha():
+        bare = word[1:] if word[:1] == "\n" else word
+        if not bare or bare[0].isspace() or bare[-1].isspace():
+            raise OddSpace
+        if word.isalpha():                                   # one word to the splitter: straight to the merges
+            ids = self.packed([t.id for t in self.model.tokenize(f" {word}".encode().decode("latin-1").translate(self.characters))])
+        elif word[-1] in ",." and word[-2:-1].isalpha():
             ids = self[word[:-1]] + self.library(word[-1])   # a mark behind a letter is a word of its own
         else:
-            ids = self.library(word if word[:1] == "\n" else " " + word)
+            ids = self.library(word if word[0] == "\n" else " " + word)
         if len(self) >= WORDS:
             self.clear()
         if len(word) <= 64:
@@ -124,7 +158,6 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-_ODD_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
 _CUT = re.compile(r"(?<=[^\W\d_])(?= [^\W\d_])")
 
 
