@@ -151,10 +151,11 @@ def anchored_runs(h: np.ndarray, row: np.ndarray, width: int, gram: int) -> dict
     return dict(anchor=g[where[start]], digest=digest, row=row[start], start=start, n=end - start, off=where[start] - start)
 
 
-def anchor_table(h: np.ndarray, row: np.ndarray, width: int, gram: int, step: int = 1_000_000) -> dict[str, np.ndarray]:
+def anchor_table(h: np.ndarray, row: np.ndarray, width: int, gram: int, step: int = 32_768) -> dict[str, np.ndarray]:
     """``anchored_runs`` over any length, ``step`` windows at a time; repeats of a run right behind itself fold into ``reps``.
 
-    A run cut at a step's edge counts as two shorter runs of the same anchor.
+    A step's arrays stay in the processor's cache.  A run cut at a step's edge
+    counts as two shorter runs of the same anchor.
     """
     parts = []
     for at in range(0, max(1, len(h) - width + 1), step):

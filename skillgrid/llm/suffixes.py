@@ -35,7 +35,7 @@ from .spans import anchor_table, byte_hashes, byte_view, covered, mix, runs_of
 
 RUNS = "a long, g long, ord long, fold long, start int, n int, off int, reps int"
 PIECE = 2_000_000
-SHARD_BYTES = 2_000_000
+SHARD_BYTES = 250_000  # a shard's arrays stay in the processor's cache
 HOT = 256  # runs of one anchor that are left together
 SPLIT = 16  # windows of a frequent anchor that are told apart by what they share
 
@@ -57,32 +57,39 @@ def _runs(width: int, gram: int, scoped: bool):
     return run
 
 
-def suffix_order(raw: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(raw: np.ndarray, depth: int, beyond: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes sorted by their first ``depth`` bytes (at least), and their group ranks.
 
     Larsson-Sadakane: sort by eight bytes, then double the sorted depth, looking
     only at groups that still hold several suffixes; a suffix's rank is the last
-    place of its group.
+    place of its group.  ``beyond`` tells how many bytes a suffix stands behind
+    the last one whose order is asked for: it serves that one's order with its
+    first depth - beyond bytes, and is sorted no deeper.
     """
     n = len(raw)
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
     key = np.ndarray((n,), dtype=">u8", buffer=padded, strides=(1,)).astype(np.uint64)
-    sa = np.argsort(key)
+    sa = np.argsort(key).astype(np.int32)  # a shard is far shorter than 2^31
     new = np.concatenate([[True], key[sa[1:]] != key[sa[:-1]]]) if n else np.zeros(0, bool)
     heads = np.flatnonzero(new)
     tails = np.append(heads[1:], n) - 1
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     rank[sa] = np.repeat(tails, tails - heads + 1) if n else rank
     open_ = np.repeat(tails > heads, tails - heads + 1) if n else np.zeros(0, bool)
     h = 8
-    while h < depth and open_.any():
+    place = np.flatnonzero(open_)
+    while h < depth:
         step = min(h, depth - h)  # the last step reaches exactly to the depth
-        place = np.flatnonzero(open_)
+        place = place[open_[place]]
+        if beyond is not None:
+            place = place[beyond[sa[place]] <= depth - h - step]
+        if not len(place):
+            break
         suffix = sa[place]
         group = rank[suffix]
         after = suffix + step
         second = np.where(after < n, rank[np.minimum(after, n - 1)], -1)
-        order = np.argsort(group * (n + 1) + second)  # below n * n + 2 n, so far from the limit for a shard's n
+        order = np.argsort(group.astype(np.int64) * (n + 1) + second)  # below n * n + 2 n, so far from the limit for a shard's n
         suffix, group, second = suffix[order], group[order], second[order]
         sa[place] = suffix
         cut = np.concatenate([[True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])])
@@ -95,12 +102,13 @@ def suffix_order(raw: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def common_prefixes(raw: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
-    """Bytes that each suffix of ``sa`` (all suffixes, sorted by ``limit`` bytes) shares with the one before it, up to ``limit``.
+    """Bytes that each suffix of ``sa`` (sorted by ``limit`` bytes; all suffixes or some) shares with the one before it, up to ``limit``.
 
     Kasai's bound in text order, ``k`` places at a time: if a suffix shares L <
     limit bytes with its predecessor, the one ``k`` places on shares at least
-    L - k with its own.  Comparisons start there and go on eight bytes at a time
-    for all suffixes at once, first for every 64th suffix, last for every one.
+    L - k with its own, provided that the place k behind the predecessor is in
+    ``sa`` too.  Comparisons start there and go on eight bytes at a time for all
+    suffixes at once, first for every 64th place, last for every one.
     """
     n = len(raw)
     before = np.full(n, -1, np.int64)
@@ -108,13 +116,16 @@ def common_prefixes(raw: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
     got = np.zeros(n, np.int64)
     padded = np.concatenate([raw, np.zeros(16 + limit, np.uint8)])
     lanes = np.ndarray((n + limit + 8,), dtype="<u8", buffer=padded, strides=(1,))
-    known = before < 0
+    member = np.zeros(n + 64, bool)
+    member[sa] = True
+    open_ = member[:n] & (before >= 0)
     step = 64
     while step:
         at = np.arange(0, n, step)
-        at = at[~known[at]]
+        at = at[open_[at]]
         left = np.maximum(at - step, 0)
-        length = np.where((at >= step) & (got[left] < limit), np.maximum(got[left] - step, 0), 0)
+        sure = (at >= step) & (before[left] >= 0) & (got[left] < limit) & member[np.maximum(before[left], 0) + step]
+        length = np.where(sure, np.maximum(got[left] - step, 0), 0)
         live, own, other = np.arange(len(at)), at + length, before[at] + length
         while len(live):
             x = lanes[own] ^ lanes[other]
@@ -124,7 +135,7 @@ def common_prefixes(raw: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
             more = same & (length[live] < limit)
             live, own, other = live[more], own[more] + 8, other[more] + 8
         got[at] = np.minimum(np.minimum(length, limit), n - np.maximum(at, before[at]))  # nothing lies beyond the end
-        known[at] = True
+        open_[at] = False
         step //= 2
     return got[sa]
 
@@ -138,14 +149,11 @@ def repeated_windows(pieces: list[bytes], windows: list[int], low: list[int], hi
     raw = np.frombuffer(b"".join(pieces), np.uint8)
     sizes = np.array([len(p) for p in pieces])
     begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    sa, _ = suffix_order(raw, width)
-    is_window = np.zeros(len(raw), bool)
-    for b, n in zip(begin, windows):
-        is_window[b:b + n] = True
-    # bytes after a piece's last window serve the order only; equal windows stay in one class across them
+    # bytes after a piece's last window serve the order only
+    beyond = np.maximum(np.arange(len(raw)) - np.repeat(begin[:-1] + np.array(windows) - 1, sizes), 0)
+    sa, _ = suffix_order(raw, width, beyond)
+    sa = sa[beyond[sa] == 0]
     number = np.cumsum(common_prefixes(raw, sa, width) < width)
-    chosen = is_window[sa]
-    sa, number = sa[chosen], number[chosen]
     heads = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
     piece = np.searchsorted(begin, sa, side="right") - 1
     apart = np.minimum.reduceat(np.array(low)[piece], heads) != np.maximum.reduceat(np.array(high)[piece], heads)
