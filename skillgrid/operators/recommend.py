@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.courses import level_category, level_category_transition
 from ..sources.materialize import stored
-from .search import tokens
+from .search import NOISE, tokens
 
 LEVELS = ("BEGINNER", "INTERMEDIATE", "ADVANCED")
 
@@ -110,37 +110,58 @@ def shared_search(docs: DataFrame, key: str, text: str, queries: DataFrame, qkey
     spark = docs.sparkSession
     shared = sorted({t for t in _py_tokens(shared_text)})
     shared_arr = F.array(*[F.lit(t) for t in shared]).cast("array<string>")
-    q_sets = queries.select(qkey, F.to_json(F.array_sort(F.array_except(tokens(extra_text), shared_arr))).alias("_set"))
+    # written once: the sets are asked for by the vocabulary, the search and the final join
+    q_sets = stored(queries.select(qkey, F.to_json(F.array_sort(F.array_except(tokens(extra_text), shared_arr))).alias("_set")), "word-sets")
     sets = q_sets.select("_set").distinct()
     shared_df = spark.createDataFrame([(t,) for t in shared], "term string")
-    qt = sets.select("_set", F.explode(F.from_json("_set", "array<string>")).alias("term"))
+    own = sets.withColumn("_words", F.from_json("_set", "array<string>"))
+    qt = own.select("_set", F.size("_words").alias("_k"), F.explode("_words").alias("term"))
     vocab = qt.select("term").union(shared_df).distinct()
     if postings is None:
         postings = catalog_postings(docs, key, text)
     n_docs = docs.select(F.count(F.lit(1))).scalar()
-    post = (postings.join(vocab, "term", "left_semi")
-            .withColumn("tf", F.col("cnt") / F.col("doc_len")))
+    # One pass over the postings: weights, base and extra all read the stored lists of the query vocabulary.
+    post = stored(postings.join(vocab, "term", "left_semi").select("term", key, (F.col("cnt") / F.col("doc_len")).alias("tf")), "vocabulary")
     weights = (post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
                .select("term", F.log(F.lit(n_docs).cast("double") / F.col("df")).alias("idf"))
                .filter(F.col("idf") > 0))
-    # One pass over the postings: base and extra both read the stored weights of the query vocabulary.
-    wpost = stored(post.select("term", key, "tf").join(weights, "term").select("term", key, (F.col("tf") * F.col("idf")).alias("w")), "weights")
+    wpost = post.join(weights, "term").select("term", key, (F.col("tf") * F.col("idf")).alias("w"))
     base = (wpost.filter(F.col("term").isin(*shared))
             .groupBy(key).agg(F.sum("w").alias("base")))
-    all_docs = docs.select(key).join(base, key, "left").fillna(0.0, ["base"])
+    all_docs = stored(docs.select(key).join(base, key, "left").fillna(0.0, ["base"]), "base")
     top_base = (all_docs.orderBy(F.round("base", 9).desc(), F.col(key).asc()).limit(n)
-                .agg(F.collect_list(F.struct(F.col(key).alias("k"))).alias("top")))
-    extra = wpost.join(qt, "term").groupBy("_set", key).agg(F.sum("w").alias("extra"))
+                .agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col("base").alias("b"))).alias("top")))
+    own_lists = wpost.join(qt.groupBy("term").agg(F.max("_k").alias("_most")), "term")
+    found = reaching(own_lists, all_docs, qt, top_base, key, n).select("_set", key)
     fallback = (sets.withColumn("_top", top_base.select("top").scalar())
-                .select("_set", F.explode("_top").alias("c")).select("_set", F.col("c.k").alias(key), F.lit(0.0).alias("extra")))
-    cands = extra.unionByName(fallback).groupBy("_set", key).agg(F.max("extra").alias("extra"))
-    scored = cands.join(all_docs, key).withColumn("score", F.col("base") + F.col("extra"))
+                .select("_set", F.explode("_top").alias("c")).select("_set", F.col("c.k").alias(key)))
+    cands = found.unionByName(fallback).distinct()
+    extra = (cands.join(qt.select("_set", "term"), "_set").join(wpost, ["term", key])
+             .groupBy("_set", key).agg(F.sum("w").alias("extra")))
+    scored = (cands.join(extra, ["_set", key], "left").join(all_docs, key)
+              .withColumn("score", F.col("base") + F.coalesce("extra", F.lit(0.0))))
     w = Window.partitionBy("_set").orderBy(F.round("score", 9).desc(), F.col(key).asc())
     per_set = scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n) \
                     .select("_set", key, "score", "rank")
     return q_sets.join(per_set, "_set").select(qkey, key, "score", "rank")
 
 
+def reaching(own_lists: DataFrame, bases: DataFrame, qt: DataFrame, top_base: DataFrame, key: str, n: int) -> DataFrame:
+    """(_set, key, term): postings of own words that can lift their course into a set's best n.
+
+    The n-th best base is a lower bound of every set's n-th best score.  A course
+    that lies ``gap`` below it needs as much from the set's k own words, so one
+    of them must weigh at least gap / k; other postings are not read.  Lists are
+    cut by the largest k that asks for a word before they meet the sets.
+    """
+    top = F.col("_top")
+    least = F.when(F.size(top) == n, F.array_min(F.transform(top, lambda c: c["b"]))).otherwise(F.lit(0.0))
+    lists = (own_lists.join(bases, key).withColumn("_top", top_base.select("top").scalar())
+             .withColumn("_gap", least - F.col("base") - NOISE).filter(F.col("w") * F.col("_most") >= F.col("_gap")))
+    return (lists.select("term", key, "w", "_gap").join(qt, "term").filter(F.col("w") * F.col("_k") >= F.col("_gap"))
+            .select("_set", key, "term"))
+
+
 def _py_tokens(text: str):
     import re
     return [t for t in re.split(r"[^\w]+|[\d_]+", text.lower()) if t]
@@ -270,8 +291,33 @@ def spread_all_levels(courses: DataFrame) -> DataFrame:
 
 
 def transition_courses(users: DataFrame, missing: DataFrame, catalog: DataFrame, n: int = 6,
-                       postings: DataFrame | None = None) -> DataFrame:
-    """Per user search (limit 6) with up to three sanitised missing skills, N13 buckets, spreading fold."""
+                       postings: DataFrame | None = None, null_rule: bool = True) -> DataFrame:
+    """C3 + C5: per user search (limit 6) with up to three sanitised missing skills, N13 buckets, spreading fold.
+
+    A user whose search finds nothing, or finds an ALL_LEVELS course without
+    skills or description (the fold cannot read it), gets the role's fallback
+    courses instead of the whole list.  Without ``null_rule`` missing texts are
+    read as empty, and only an empty search falls back.
+    """
+    found = transition_found(users, missing, catalog, n, postings)
+    served = transition_served(found, null_rule)
+    good = found.join(served, "user_id", "left_semi").drop("description")
+    fallback = fallback_courses(users, served).select(
+        "user_id", "role", F.sha2("url", 256).alias("id"), "course_name", "level", "platform", "skills", F.col("slot").cast("int").alias("rank"), "level_category")
+    return spread_all_levels(good).unionByName(fallback)
+
+
+def transition_served(found: DataFrame, null_rule: bool = True) -> DataFrame:
+    """(user_id): users whose search result C3 can fold."""
+    if not null_rule:
+        return found.select("user_id").distinct()
+    unread = (F.col("level_category") == "ALL_LEVELS") & (F.col("skills").isNull() | F.col("description").isNull())
+    return found.groupBy("user_id").agg(F.bool_or(unread).alias("_failed")).filter(~F.col("_failed")).select("user_id")
+
+
+def transition_found(users: DataFrame, missing: DataFrame, catalog: DataFrame, n: int = 6,
+                     postings: DataFrame | None = None) -> DataFrame:
+    """The search behind C3: at most n named courses with a URL per user, with their level bucket (written once)."""
     from ..functions.skills import skill_token_sanitize
     q = (users.join(missing, ["user_id", "role"], "left")
          .withColumn("_sk", skill_token_sanitize(F.coalesce("missing_skills", F.array().cast("array<string>")), 3))
@@ -280,13 +326,13 @@ def transition_courses(users: DataFrame, missing: DataFrame, catalog: DataFrame,
     # the focus sentence is the user's own text: without a usable skill the query does not hold it
     shared = TRANSITION_TEMPLATE.format(role="", focus="")
     hits = shared_search(search_text(catalog), "id", "_search", q, "user_id", "qtext", shared, n, postings)
-    found = (hits.join(catalog.select("id", "course_name", "level", "platform", "skills", "url"), "id")
+    found = (hits.join(catalog.select("id", "course_name", "level", "platform", "skills", "url", "description"), "id")
              .filter(F.col("course_name").isNotNull() & F.col("url").isNotNull())
              .join(users, "user_id")
              .withColumn("level_category", level_category_transition("level"))
-             .select("user_id", "role", "id", "course_name", "level", "platform", "skills",
+             .select("user_id", "role", "id", "course_name", "level", "platform", "skills", "description",
                      F.col("rank").cast("int").alias("rank"), "level_category"))
-    return spread_all_levels(found)
+    return stored(found, "transition-found")
 
 
 def need_order(courses: DataFrame) -> DataFrame:

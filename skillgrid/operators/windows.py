@@ -83,8 +83,14 @@ def topk(df: DataFrame, score_col: str, k: int, tie_col: str) -> DataFrame:
             .orderBy(F.col(score_col).desc(), F.col(tie_col).asc()).limit(k))
 
 
-def order_by_level(df: DataFrame, level_col: str = "level_category", *ties) -> DataFrame:
-    """Alphabetical level order (ADVANCED, BEGINNER, INTERMEDIATE)."""
+def order_by_level(df: DataFrame, level_col: str = "level_category", *ties, key: str | None = None) -> DataFrame:
+    """Alphabetical level order (ADVANCED, BEGINNER, INTERMEDIATE).
+
+    With ``key`` (a user's list) each key's rows are ordered among themselves,
+    in one partition; no order over all keys is asked for, so no range pass runs.
+    """
+    if key is not None:
+        return df.repartition(key).sortWithinPartitions(key, F.col(level_col).asc_nulls_last(), *ties)
     return df.orderBy(F.col(level_col).asc_nulls_last(), *ties)
 
 

@@ -77,7 +77,7 @@ def recommend_courses(spark, sf_dir):
     """C1 (+N12, W1, T3): every user's search (limit 20) -> level buckets -> two courses per bucket."""
     recs, _ = _recs(spark, sf_dir)
     return W.order_by_level(recs.select("user_id", "level_category", "rn", "id", "course_name"), "level_category",
-                            "user_id", "rn")
+                            "rn", key="user_id")
 
 
 @register("text_search_users", C1_BASE + "\nSELECT user_id, rank, id FROM tagged")
@@ -133,19 +133,28 @@ def advanced_backfill(spark, sf_dir):
     return R.advanced_backfill(recs, users, high, catalog(spark, sf_dir), postings=catalog_postings(spark, sf_dir))
 
 
-def _transition(spark, sf_dir):
+def _missing(spark, sf_dir):
     from ..operators import skillgap as G
-    users = X.user_roles(spark, sf_dir)
     rr = G.role_requirements(X.requirement_rows(spark, sf_dir))
     req = rr.select("role", (F.col("pos") + F.when(F.col("bucket") == "essential", 0).otherwise(100)).alias("pos"),
                                     "skill_name")
-    missing = G.missing_skills(users, req, X.held_skills(spark, sf_dir))
-    return R.transition_courses(users, missing, catalog(spark, sf_dir), postings=catalog_postings(spark, sf_dir))
+    return G.missing_skills(X.user_roles(spark, sf_dir), req, X.held_skills(spark, sf_dir))
+
+
+def _transition(spark, sf_dir, null_rule: bool = False):
+    return R.transition_courses(X.user_roles(spark, sf_dir), _missing(spark, sf_dir), catalog(spark, sf_dir),
+                                postings=catalog_postings(spark, sf_dir), null_rule=null_rule)
+
+
+@register("transition_null_rule", None)
+def transition_null_rule(spark, sf_dir):
+    """C3 + C5 with the NULL rule: an unreadable ALL_LEVELS course puts the fallback courses in the list's place."""
+    return _transition(spark, sf_dir, null_rule=True).select("user_id", "rank", "id", "level_category")
 
 
 @register("transition_courses", None)
 def transition_courses(spark, sf_dir):
-    """C3 (+N13, N21): search with missing skills (limit 6), ALL_LEVELS spread per user."""
+    """C3 (+N13, N21): search with missing skills (limit 6), ALL_LEVELS spread per user; missing texts read as empty."""
     return _transition(spark, sf_dir).select("user_id", "rank", "id", "level_category")
 
 
@@ -169,22 +178,12 @@ def plan_table(spark, sf_dir):
                     F.to_json("skill_list").alias("skills"))
 
 
-@register("fallback_courses", with_catalog(USER_ROLES) + """,
-found AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view')
-SELECT u.user_id, u.role, s.slot,
-  CASE WHEN contains(lower(u.role), 'data') OR contains(lower(u.role), 'scientist') OR contains(lower(u.role), 'analyst')
-       THEN CASE s.slot WHEN 1 THEN 'Data Science Fundamentals' ELSE 'Advanced Machine Learning' END
-       WHEN contains(lower(u.role), 'system') THEN CASE s.slot WHEN 1 THEN 'Systems Design and Architecture' ELSE 'Systems Engineering Fundamentals' END
-       WHEN contains(lower(u.role), 'software') OR contains(lower(u.role), 'developer') OR contains(lower(u.role), 'engineer')
-       THEN CASE s.slot WHEN 1 THEN 'Software Engineering Principles' ELSE 'Advanced Software Architecture' END
-       ELSE CASE s.slot WHEN 1 THEN 'Essential Skills for ' || u.role ELSE 'Advanced ' || u.role || ' Masterclass' END END AS course_name
-FROM user_roles u, (SELECT unnest([1, 2]) AS slot) s
-WHERE u.user_id NOT IN (SELECT user_id FROM found)""")
+@register("fallback_courses", None)
 def fallback_courses(spark, sf_dir):
-    """C5 (+J8): two literal courses per role class for users with no search input (no skill ratings)."""
+    """C5 (+J8): two literal courses per role class for users whose transition search finds nothing that can be folded."""
     users = X.user_roles(spark, sf_dir)
-    found = X.ratings(spark, sf_dir).select("user_id").distinct()
-    return R.fallback_courses(users, found).select("user_id", "role", "slot", "course_name")
+    found = R.transition_found(users, _missing(spark, sf_dir), catalog(spark, sf_dir), postings=catalog_postings(spark, sf_dir))
+    return R.fallback_courses(users, R.transition_served(found)).select("user_id", "role", "slot", "course_name")
 
 
 @register("skill_levels_profile", "WITH " + RATINGS_SQL.strip() + """
@@ -228,11 +227,10 @@ def role_to_catalog(spark, sf_dir):
     lp = X.learning_paths(spark, sf_dir)
     latest = W.latest_per_key(lp, ["user_id"], "created_at", "path_id").select("user_id", F.col("target_role").alias("role"))
     cat = catalog(spark, sf_dir).select("id", "course_name", level_category("level").alias("lc"))
-    roles = lp.select(F.col("target_role").alias("role")).distinct()
+    per_level = W.top_k_per_group(cat, ["lc"], [F.col("course_name").asc_nulls_last(), F.col("id").asc()], 2)    # at most two rows a level
     want = (F.when(F.col("role").like("1%") | F.col("role").like("2%"), "ADVANCED")
             .when(F.col("role").like("3%"), "INTERMEDIATE").otherwise("BEGINNER"))
-    per_role = roles.withColumn("lc", want).join(cat, "lc")
-    recs = W.top_k_per_group(per_role, ["role"], [F.col("course_name").asc(), F.col("id").asc()], 2).select("role", "id", "course_name")
+    recs = latest.select("role").distinct().withColumn("lc", want).join(per_level, "lc").select("role", "id", "course_name")
     return R.role_to_catalog(latest, recs).select("user_id", "role", "id", "course_name")
 
 
@@ -255,7 +253,19 @@ def _fix_sql(prev: str, lvl: str) -> str:
             f"'b': {cnt('BEGINNER', 'b')}, 'i': {cnt('INTERMEDIATE', 'i')}, 'a': {cnt('ADVANCED', 'a')}}} AS s FROM {prev}")
 
 
-def _transition_sql() -> str:
+def _fallback_sql() -> str:
+    """name, skills, url, platform and cat of a role's two fallback courses, by ``role`` and ``slot``."""
+    def field(i: int) -> str:
+        out = []
+        for slot in (1, 2):
+            for words, courses in R.FALLBACK_RULES:
+                out.append(f"WHEN slot = {slot} AND {_any_sql('lower(role)', words)} THEN {q(courses[slot - 1][i])}")
+            out.append(f"WHEN slot = {slot} THEN replace({q(R.FALLBACK_GENERIC[slot - 1][i])}, '{{role}}', role)")
+        return "CASE " + " ".join(out) + " END"
+    return ", ".join(f"{field(i)} AS {name}" for i, name in ((0, "name"), (2, "skills"), (3, "url"), (5, "platform"), (6, "cat")))
+
+
+def _transition_sql(null_rule: bool = False) -> str:
     from .fixture_sql import HELD, REQUIREMENTS
     sanitize = ("list_filter(list_transform(list_filter(m, lambda s: s IS NOT NULL AND length(s) > 0), "
                 "lambda s: regexp_replace(translate(s, '''\";', ''), '^\\s+|\\s+$', '', 'g')), lambda s: length(s) > 2)[1:3]")
@@ -285,10 +295,14 @@ miss AS (SELECT u.user_id, CASE WHEN len(coalesce(m0, CAST([] AS VARCHAR[]))) >
                                 ELSE [u.role || ' Best Practices', 'Advanced Tools', 'Industry Knowledge'] END AS m
          FROM user_roles u LEFT JOIN magg g ON g.user_id = u.user_id)""" + _search_sql(queries, 6, "tr_") + f""",
 found AS (
-  SELECT h.qid AS user_id, h.rank, c.id, c.course_name AS name, {transition_bucket_sql('c.level')} AS cat
+  SELECT h.qid AS user_id, h.rank, c.id, c.course_name AS name, {transition_bucket_sql('c.level')} AS cat, c.platform, c.skills, c.description
   FROM tr_hits h JOIN catalog c ON c.id = h.id WHERE c.course_name IS NOT NULL AND c.url IS NOT NULL
 ),
-per AS (SELECT user_id, list({{'rank': rank, 'id': id, 'name': name, 'cat': cat}} ORDER BY rank) AS items FROM found GROUP BY user_id),
+per AS (SELECT user_id, list({{'rank': rank, 'id': id, 'name': name, 'cat': cat, 'platform': platform, 'skills': skills}} ORDER BY rank) AS items
+        FROM found WHERE user_id NOT IN (SELECT user_id FROM found WHERE {null_rule} AND cat = 'ALL_LEVELS' AND (skills IS NULL OR description IS NULL))
+        GROUP BY user_id),
+fb AS (SELECT user_id, role, slot, {_fallback_sql()} FROM user_roles u, (SELECT unnest([1, 2]) AS slot) s
+       WHERE user_id NOT IN (SELECT user_id FROM per)),
 f0 AS (
   SELECT user_id, items, list_contains(list_transform(items, lambda y: y.cat), 'ALL_LEVELS') AS has_all,
          list_reduce(items, {step},
@@ -302,6 +316,8 @@ spread AS (
   SELECT user_id, unnest(items) AS it,
          unnest(CASE WHEN has_all THEN s.cats ELSE list_transform(items, lambda y: y.cat) END) AS level_category
   FROM f3
+  UNION ALL
+  SELECT user_id, {{'rank': CAST(slot AS BIGINT), 'id': sha256(url), 'name': name, 'cat': cat, 'platform': platform, 'skills': skills}}, cat FROM fb
 )"""
 
 
@@ -310,7 +326,9 @@ TRANSITION_SQL = _transition_sql()
 
 from .registry import ORACLE as _ORACLE, _json_text  # noqa: E402
 
-_ORACLE["transition_courses"] = _json_text(TRANSITION_SQL + "\nSELECT user_id, CAST(it.rank AS INTEGER) AS rank, it.id AS id, level_category FROM spread")
+NULL_RULE_SQL = _transition_sql(null_rule=True)
+for _name, _sql in (("transition_courses", TRANSITION_SQL), ("transition_null_rule", NULL_RULE_SQL)):
+    _ORACLE[_name] = _json_text(_sql + "\nSELECT user_id, CAST(it.rank AS INTEGER) AS rank, it.id AS id, level_category FROM spread")
 _ORACLE["need_order"] = _json_text(TRANSITION_SQL + """,
 cnts AS (SELECT user_id, count(*) FILTER (WHERE level_category = 'BEGINNER') AS b,
                 count(*) FILTER (WHERE level_category = 'INTERMEDIATE') AS i,
@@ -328,7 +346,7 @@ def _rebalance_sql() -> str:
 p0 AS (
   SELECT user_id, list_filter(items, lambda x: x.cat = 'BEGINNER') AS b, list_filter(items, lambda x: x.cat = 'INTERMEDIATE') AS i,
          list_filter(items, lambda x: x.cat = 'ADVANCED') AS a
-  FROM (SELECT user_id, list({{'rank': it.rank, 'id': it.id, 'name': it.name, 'cat': level_category}} ORDER BY it.rank) AS items
+  FROM (SELECT user_id, list({{'rank': it.rank, 'id': it.id, 'name': it.name, 'cat': level_category, 'platform': it.platform, 'skills': it.skills}} ORDER BY it.rank) AS items
         FROM spread GROUP BY user_id)
 ),
 p1 AS (SELECT *, len(b) = 0 AND (len(i) > 0 OR len(a) > 0) AS c1, CASE WHEN len(i) > 0 THEN i ELSE a END AS src FROM p0),
@@ -348,7 +366,8 @@ p3b AS (
   FROM (SELECT *, len(a) = 0 AND (len(b) > 0 OR len(i) > 0) AND len(src) > 0 AS c3, least(len(src), 2) AS k FROM p3)
 ),
 plan AS (
-  SELECT user_id, lvl AS level_category, CAST(u.slot AS INTEGER) AS slot, months, u.c.id AS id FROM (
+  SELECT user_id, lvl AS level_category, CAST(u.slot AS INTEGER) AS slot, months, u.c.id AS id,
+         u.c.name AS course_name, u.c.platform AS platform, u.c.skills AS skills FROM (
     SELECT user_id, 'BEGINNER' AS lvl, '1-2' AS months, unnest(list_transform(b[1:2], lambda x, j: {{'slot': j, 'c': x}})) AS u FROM p3b
     UNION ALL
     SELECT user_id, 'INTERMEDIATE', '3-4', unnest(list_transform(i[1:2], lambda x, j: {{'slot': j, 'c': x}})) FROM p3b
@@ -360,5 +379,5 @@ plan AS (
 REBALANCE_SQL = _rebalance_sql()
 _ORACLE["plan_rebalance"] = _json_text(REBALANCE_SQL + "\nSELECT user_id, level_category, slot, months, id FROM plan")
 _ORACLE["plan_table"] = _json_text(REBALANCE_SQL + """
-SELECT p.user_id, p.level_category, p.slot, p.months, c.course_name, c.platform, to_json(string_split(c.skills, ', ')) AS skills
-FROM plan p JOIN catalog c ON c.id = p.id""")
+SELECT user_id, level_category, slot, months, course_name, platform, to_json(string_split(skills, ', ')) AS skills FROM plan""")
+_ORACLE["fallback_courses"] = _json_text(NULL_RULE_SQL + "\nSELECT user_id, role, CAST(slot AS INTEGER) AS slot, name AS course_name FROM fb")

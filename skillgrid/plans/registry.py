@@ -7,6 +7,7 @@ twin of each query that SQL can express.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,12 +52,28 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(fn):
+    """A shared table of an input folder: its plan is built, and the table looked up, once per application."""
+    @functools.wraps(fn)
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ident = (fn.__name__, spark.sparkContext.applicationId, sf_dir)
+        if ident not in _SHARED or _SHARED[ident].sparkSession is not spark:
+            _SHARED[ident] = fn(spark, sf_dir)
+        return _SHARED[ident]
+    return get
+
+
+@_once
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The unified catalogue, materialised as a table (one write per application)."""
     built = CAT.build_catalog(X.courses(spark, sf_dir), INGESTION_TIME)
     return materialize(built, f"catalog@{sf_dir}", "table")
 
 
+@_once
 def catalog_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue's search postings (V6), materialised as a table once per application."""
     from ..operators import recommend as R
