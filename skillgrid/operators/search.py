@@ -58,7 +58,7 @@ def query_terms(queries: DataFrame, qkey: str, text: str) -> DataFrame:
 
 
 def vocabulary_postings(docs: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
-    """(term, key, tf, block) of the vocabulary's words, written once: thresholds and scores all read this table.
+    """(term, key, tf, block) of the vocabulary's words.
 
     Blocks are quarter octaves of tf, so a list has at most ``BLOCKS`` of them whatever its length.
 
@@ -71,7 +71,7 @@ def vocabulary_postings(docs: DataFrame, key: str, text: str, vocab: DataFrame)
             .groupBy("term", key, "doc_len").agg(F.count(F.lit(1)).alias("cnt"))
             .select("term", key, (F.col("cnt") / F.col("doc_len")).alias("tf")))
     block = F.floor(F.lit(4.0) * -F.log2("tf")).cast("int")
-    return stored(post.withColumn("block", F.least(F.greatest(block, F.lit(0)), F.lit(BLOCKS - 1))), "postings")
+    return post.withColumn("block", F.least(F.greatest(block, F.lit(0)), F.lit(BLOCKS - 1)))
 
 
 def weight_blocks(post: DataFrame, n_docs) -> DataFrame:
@@ -149,7 +149,7 @@ def search_topn(docs: DataFrame, key: str, text: str, queries: DataFrame, qkey:
                 n: int = 10) -> DataFrame:
     """V4: TF-IDF top-n documents per query; ties broken by document key."""
     qt = stored(query_terms(queries, qkey, qtext), "query-terms")
-    post = vocabulary_postings(docs, key, text, qt.select("term").distinct())
+    post = stored(vocabulary_postings(docs, key, text, qt.select("term").distinct()), "postings")    # read by thresholds and scores
     blocks = stored(weight_blocks(post, docs.select(F.count(F.lit(1))).scalar()), "blocks")
     cuts = stored(query_cuts(post, blocks, qt, key, qkey, n), "query-cuts")
     return bounded_topn(post, cuts, key, qkey, n)

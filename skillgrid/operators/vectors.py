@@ -2,15 +2,19 @@
 
 Cosine similarity is a higher-order-function expression in double precision
 (no Python).  A single query vector is attached as a scalar subquery, which
-Spark evaluates once and inlines as a literal: no join, no shuffle.
+Spark evaluates once and inlines as a literal: no join, no shuffle.  A set of
+queries is ranked by matrix products of bounded blocks, in numpy inside tasks;
+slabs of rows that lie too far from a query, by their distances to a few pivot
+rows, are skipped, which changes no result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import _col
+from ..sources.materialize import stored
 
 EMBED_DIM = 768
 
@@ -61,16 +65,140 @@ def score_histogram(df: DataFrame, score_col: str, digits: int = 2) -> DataFrame
             .agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("score").desc_nulls_last()))
 
 
-def embed_text(df: DataFrame, text_col: str, out: str = "embedding", dim: int = EMBED_DIM) -> DataFrame:
-    """V1: text -> unit-length ``dim``-float vector (hashed term counts, L2-normalised).
+def embed_text(df: DataFrame, key: str, text_col: str, dim: int = EMBED_DIM) -> DataFrame:
+    """V1: (key, i, x): the unit vector of a text by feature hashing, one row per component that is not 0.
 
-    Uses ``pyspark.ml``'s ``HashingTF`` and ``Normalizer`` (JVM transformers);
-    the vector is returned as ``array<double>`` so SQL functions apply.
+    A word's MD5 gives its component (first 32 bits modulo ``dim``) and its sign
+    (parity of the next digit); a component is the signed count of its words.
+    Counting is a partial aggregation on (key, i), and no vector is ever longer
+    than ``dim``.  A text without words, or whose signed counts all cancel, has
+    no rows.  Keys must be unique.
     """
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
+    from .search import tokens
+    word = df.select(F.col(key), F.explode(tokens(text_col)).alias("_w")).withColumn("_h", F.md5(F.col("_w").cast("binary")))
+    place = (F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint") % dim).cast("int")
+    sign = F.when(F.conv(F.substring("_h", 9, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
+    counts = (word.groupBy(key, place.alias("i")).agg(F.sum(sign).cast("double").alias("c")).filter(F.col("c") != 0))
+    norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(key)))
+    return counts.select(key, "i", (F.col("c") / norm).alias("x"))
 
-    tok = df.withColumn("_tokens", F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+"), lambda t: t != ""))
-    tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dim).transform(tok)
-    norm = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0).transform(tf)
-    return norm.withColumn(out, vector_to_array("_unit")).drop("_tokens", "_tf", "_unit")
+
+def same_row_similarity(df: DataFrame, key: str, stored_text: str, other_text: str) -> DataFrame:
+    """V2: (key, similarity): each row's vector against the vector of another text of that row.
+
+    Components of a row meet on (key, i); rows of which one text has no vector have a NULL similarity.
+    """
+    a, b = embed_text(df, key, stored_text), embed_text(df, key, other_text).withColumnRenamed("x", "y")
+    dot = a.join(b, [key, "i"]).groupBy(key).agg(F.sum(F.col("x") * F.col("y")).alias("similarity"))
+    both = a.select(key).distinct().join(b.select(key).distinct(), key)
+    known = both.join(dot, key, "left").select(key, F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+    return df.select(key).join(known, key, "left")
+
+
+# ---- T1 for many queries: blocked products, pruned by distances to pivots ----
+PIVOTS = 8        # rows of a block that distances are taken to
+SLAB = 512        # rows of a block that are skipped or scored together
+SLACK = 1e-9      # above the rounding error of distances and products
+
+
+def packed_vectors(components: DataFrame, key: str) -> DataFrame:
+    """(key, indices, values): one row per vector (at most the dimension's length)."""
+    pairs = F.array_sort(F.collect_list(F.struct("i", "x")))
+    return (components.groupBy(key).agg(pairs.alias("_p"))
+            .select(key, F.transform("_p", lambda p: p["i"]).alias("indices"), F.transform("_p", lambda p: p["x"]).alias("values")))
+
+
+def rank_by_similarity(corpus: DataFrame, queries: DataFrame, key: str, qkey: str, k: int = 5, dim: int = EMBED_DIM,
+                       rows: int = 8192, asks: int = 1024) -> DataFrame:
+    """T1 for a set of queries: (qkey, key, similarity, rank), ties by key.
+
+    ``corpus`` and ``queries`` hold (key, indices, values) unit vectors.  The
+    corpus is dealt to blocks of about ``rows`` vectors and the queries to
+    blocks of ``asks``; every pair of blocks is one task's matrix product that
+    keeps k rows per query, so at most blocks x k rows per query are merged.
+    """
+    corpus, queries = stored(corpus, "vectors"), stored(queries, "query-vectors")
+    n_blocks, n_asks = corpus.count() // rows + 1, queries.count() // asks + 1
+
+    def dealt(df, own, block, other, copies, total):
+        return (df.select(F.col(own).alias("id"), "indices", "values").withColumn(block, F.pmod(F.xxhash64("id"), F.lit(total)).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))))
+
+    right = dealt(corpus, key, "b", "a", n_asks, n_blocks)
+    left = dealt(queries, qkey, "a", "b", n_blocks, n_asks)
+    kinds = dict(corpus.dtypes)[key], dict(queries.dtypes)[qkey]
+    found = (left.groupBy("a", "b").cogroup(right.groupBy("a", "b"))
+             .applyInArrow(_block_top(k, dim), f"q {kinds[1]}, d {kinds[0]}, similarity double"))
+    # Rank on the rounded similarity so that the order of a sum's terms cannot reorder true ties.
+    w = Window.partitionBy("q").orderBy(F.round("similarity", 9).desc(), F.col("d").asc())
+    return (found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+            .select(F.col("q").alias(qkey), F.col("d").alias(key), "similarity", "rank"))
+
+
+def _dense(table, dim: int):
+    import numpy as np
+    out = np.zeros((table.num_rows, dim))
+    lists = table["indices"].combine_chunks()
+    at = np.repeat(np.arange(table.num_rows), np.diff(lists.offsets.to_numpy()))
+    out[at, lists.flatten().to_numpy()] = table["values"].combine_chunks().flatten().to_numpy()
+    return out
+
+
+class PivotBlock:
+    """A block of unit vectors in order of distance to its pivots; ``scored`` counts the rows that products were taken of."""
+
+    def __init__(self, x):
+        import numpy as np
+        pivots = x[np.linspace(0, len(x) - 1, min(PIVOTS, len(x))).astype(int)] if len(x) else x
+        near = np.sqrt(np.maximum(2 - 2 * (x @ pivots.T), 0))
+        self.order = np.lexsort((near.min(axis=1), near.argmin(axis=1))) if len(x) else np.zeros(0, int)
+        self.x, self.pivots, self.scored = x[self.order], pivots, 0
+        starts = np.arange(0, len(x), SLAB)
+        self.low = np.minimum.reduceat(near[self.order], starts, axis=0) if len(x) else near
+        self.high = np.maximum.reduceat(near[self.order], starts, axis=0) if len(x) else near
+        self.starts = starts
+
+    def top(self, q, k: int):
+        """Per query the places of rows that can be among its best k, and their products."""
+        import numpy as np
+        far = np.sqrt(np.maximum(2 - 2 * (q @ self.pivots.T), 0))
+        # |d(x, p) - d(q, p)| <= d(x, q): the least distance any row of a slab can have to a query
+        gap = np.maximum(np.maximum(self.low[None] - far[:, None], far[:, None] - self.high[None]), 0).max(axis=2)
+        bound = 1 - gap * gap / 2 + SLACK
+        least = np.full(len(q), -np.inf)
+        held = [(np.zeros(0, int), np.zeros(0)) for _ in q]
+        for s in np.argsort(-bound.max(axis=0), kind="stable"):
+            asks = np.flatnonzero(bound[:, s] >= least - SLACK)
+            if not len(asks):
+                continue
+            at = self.starts[s]
+            block = self.x[at:at + SLAB]
+            self.scored += len(asks) * len(block)
+            product = q[asks] @ block.T
+            for i, scores in zip(asks, product):
+                keep = np.flatnonzero(scores >= least[i] - SLACK)
+                if len(keep):
+                    places, all_scores = np.concatenate([held[i][0], self.order[at + keep]]), np.concatenate([held[i][1], scores[keep]])
+                    if len(all_scores) > k:
+                        least[i] = np.partition(all_scores, len(all_scores) - k)[len(all_scores) - k]
+                        good = all_scores >= least[i] - SLACK       # ties stay until ranks are rounded
+                        places, all_scores = places[good], all_scores[good]
+                    held[i] = places, all_scores
+        return held
+
+
+def _block_top(k: int, dim: int):
+    def solve(asks, rows):
+        import numpy as np
+        import pyarrow as pa
+        block, out = PivotBlock(_dense(rows, dim)), []
+        ids = rows["id"].combine_chunks()
+        if asks.num_rows and rows.num_rows:
+            for i, (at, scores) in enumerate(block.top(_dense(asks, dim), k)):
+                # rank as the merge does: rounded score, then id
+                ranked = pa.table({"q": pa.array([asks["id"][i].as_py()] * len(at), asks["id"].type), "d": ids.take(pa.array(at)),
+                                   "similarity": pa.array(scores), "r": pa.array(-np.round(scores, 9))})
+                out.append(ranked.sort_by([("r", "ascending"), ("d", "ascending")]).slice(0, k).select(["q", "d", "similarity"]))
+        empty = pa.table({"q": asks["id"].slice(0, 0), "d": rows["id"].slice(0, 0), "similarity": pa.array([], pa.float64())})
+        return pa.concat_tables([empty, *out]).combine_chunks()
+    return solve

@@ -9,8 +9,8 @@ from ..operators import search as SR
 from ..operators import vectors as V
 from ..operators.windows import topk
 from . import fixtures as X
-from .fixture_sql import q
-from .registry import register
+from .fixture_sql import q, with_catalog
+from .registry import catalog, register
 
 COS_SQL = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label / 2.0 AS rating FROM embeddings),
@@ -80,16 +80,48 @@ def score_histogram(spark, sf_dir):
     return V.score_histogram(_scored(spark, sf_dir), "similarity", 2)
 
 
-@register("embed_text", """
-SELECT doc_id, 768 AS dims,
-  CASE WHEN len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda t: t <> '')) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm
-FROM documents""")
+def _embed_sql(name: str, key: str, source: str, text: str) -> str:
+    """CTE ``name(key, i, x)``: the hashed unit vectors of a text column."""
+    return f"""
+{name}_w AS (SELECT {key}, md5(unnest(list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}]+'), lambda t: t <> ''))) AS h FROM {source}),
+{name}_c AS (SELECT {key}, CAST(CAST('0x' || h[1:8] AS BIGINT) % 768 AS INTEGER) AS i,
+                    sum(CASE WHEN CAST('0x' || h[9:9] AS BIGINT) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS c
+             FROM {name}_w GROUP BY ALL HAVING c <> 0),
+{name} AS (SELECT {key}, i, c / sqrt(sum(c * c) OVER (PARTITION BY {key})) AS x FROM {name}_c)"""
+
+
+@register("embed_text", "WITH " + _embed_sql("v", "doc_id", "documents", "text") + "\nSELECT doc_id, i, round(x, 9) AS x FROM v")
 def embed_text(spark, sf_dir):
-    """V1: every document embedded as a 768-float unit vector (hashed term counts)."""
-    d = X._t(spark, sf_dir, "documents", "doc_id", "text")
-    e = V.embed_text(d, "text")
-    norm = F.sqrt(F.aggregate(F.transform("embedding", lambda x: x * x), F.lit(0.0), lambda a, b: a + b))
-    return e.select("doc_id", F.size("embedding").alias("dims"), F.round(norm, 6).alias("norm"))
+    """V1: every document embedded as a 768-component unit vector (feature hashing), all components that are not 0."""
+    return V.embed_text(X._t(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", "i", F.round("x", 9).alias("x"))
+
+
+@register("embedding_search", "WITH " + _embed_sql("v", "doc_id", "documents", "text") + "," + _embed_sql("u", "item_id", "benchmark", "text") + """,
+s AS (SELECT item_id, doc_id, sum(v.x * u.x) AS similarity FROM u JOIN v USING (i) GROUP BY ALL),
+every AS (SELECT item_id, doc_id, coalesce(similarity, 0.0) AS similarity
+          FROM (SELECT DISTINCT item_id FROM u) CROSS JOIN (SELECT DISTINCT doc_id FROM v) LEFT JOIN s USING (item_id, doc_id))
+SELECT item_id, rank, doc_id, round(similarity, 6) + 0.0 AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(similarity, 9) DESC, doc_id) AS rank FROM every) WHERE rank <= 5""")
+def embedding_search(spark, sf_dir, k: int = 5):
+    """V1 -> V2 -> T1: documents and query texts embedded by one embedder, the five nearest documents of every query."""
+    docs = V.packed_vectors(V.embed_text(X._t(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text"), "doc_id")
+    asks = V.packed_vectors(V.embed_text(X._t(spark, sf_dir, "benchmark", "item_id", "text"), "item_id", "text"), "item_id")
+    return V.rank_by_similarity(docs, asks, "doc_id", "item_id", k).select("item_id", "rank", "doc_id", (F.round("similarity", 6) + F.lit(0.0)).alias("similarity"))
+
+
+@register("row_text_similarity", with_catalog() + """,
+t AS (SELECT id, course_name || ' ' || coalesce(skills, '') || ' ' || coalesce(description, '') AS stored,
+             coalesce(skills, '') || ' ' || course_name || ' ' || coalesce(level, '') || ' ' || platform AS other FROM catalog),"""
+          + _embed_sql("a", "id", "t", "stored") + "," + _embed_sql("b", "id", "t", "other") + """,
+s AS (SELECT a.id, sum(a.x * b.x) AS similarity FROM a JOIN b USING (id, i) GROUP BY a.id)
+SELECT t.id, round(CASE WHEN t.id IN (SELECT id FROM a) AND t.id IN (SELECT id FROM b) THEN coalesce(s.similarity, 0.0) END, 6) + 0.0 AS similarity
+FROM t LEFT JOIN s ON s.id = t.id""")
+def row_text_similarity(spark, sf_dir):
+    """V2: each course's stored vector against the vector of another text of the same course."""
+    none = lambda c: F.coalesce(c, F.lit(""))
+    t = catalog(spark, sf_dir).select("id", F.concat_ws(" ", "course_name", none("skills"), none("description")).alias("stored"),
+                                      F.concat_ws(" ", none("skills"), "course_name", none("level"), "platform").alias("other"))
+    return V.same_row_similarity(t, "id", "stored", "other").select("id", (F.round("similarity", 6) + F.lit(0.0)).alias("similarity"))
 
 
 def _tfidf_sql(docs_where: str, query_text: str, n: int) -> str:

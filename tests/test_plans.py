@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as E
+from skillgrid.operators import search as S
 from skillgrid.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -49,11 +50,13 @@ def test_no_python_in_plans(spark):
 
 def test_search_filters_postings_to_query_vocabulary(spark):
     """The semi join on the word stands between the exploded words and their count."""
-    p = plan(E.queries()["text_search_topn"](spark, SF))
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    vocab = S.query_terms(spark.read.parquet(f"{SF}/benchmark.parquet"), "item_id", "text").select("term").distinct()
+    p = plan(S.vocabulary_postings(d, "doc_id", "text", vocab))
     assert re.search(r"Join \[term#\d+\], \[term#\d+\], LeftSemi", p)
 
 
 def test_recommendation_reads_the_stored_weights(spark):
-    """Base and extra read the weighted words of the query vocabulary, not the postings again."""
+    """Base and extra read the stored lists of the query vocabulary, not the postings again."""
     p = plan(E.queries()["recommend_courses"](spark, SF))
-    assert "/stored/weights-" in p and "cnt:bigint" not in p
+    assert "/stored/vocabulary-" in p and "cnt:bigint" not in p
