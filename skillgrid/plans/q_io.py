@@ -12,8 +12,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import json as JS
-from ..operators import state as M
 from ..sources import files as FS
+from ..sources.keyed import KeyedTable
 from ..sources.materialize import materialize
 from ..session import scratch_path
 from . import fixtures as X
@@ -121,14 +121,12 @@ def json_append_sink(spark, sf_dir):
 @register("state_key_store", """
 SELECT DISTINCT regexp_replace(url, '\\?.*', '') AS url FROM pages""")
 def state_key_store(spark, sf_dir):
-    """Processed-key set written as versions by one writer; readers load the newest complete one."""
+    """Processed-key set in a keyed table with a commit log; each batch adds the keys that are not there."""
     keys = X._t(spark, sf_dir, "pages", "page_id", "url").select(F.regexp_replace("url", r"\?.*", "").alias("url"))
-    base = _fresh(spark, "keys")
-    first = keys.filter(F.col("url") < "m").distinct()
-    M.write_version(first, base, 1)
-    seen = M.read_latest(spark, base)
-    M.write_version(seen.unionByName(keys).distinct(), base, 2)
-    return M.read_latest(spark, base)
+    table = KeyedTable(spark, _fresh(spark, "keys"), "url string", "url")
+    table.insert_new(keys.filter(F.col("url") < "m"))
+    table.insert_new(keys)
+    return table.read()
 
 
 @register("scan_limit", with_courses() + "\nSELECT id, course_name FROM courses ORDER BY id LIMIT 100")
@@ -161,6 +159,32 @@ def append_nested(spark, sf_dir):
                       F.aggregate(vals, F.lit(0).cast("long"), lambda a, x: a + x).alias("rating_sum"))
 
 
+@register("incremental_table", with_courses() + """
+SELECT id, course_name, CASE WHEN level_raw = 'All Levels' THEN 'first run' ELSE 'second run' END AS run FROM courses""")
+def incremental_table(spark, sf_dir):
+    """S11 incremental (+J2): two runs of a model; the second adds the keys that the first did not hold."""
+    c = X.courses(spark, sf_dir).select("id", "course_name", "level_raw")
+    name = f"incremental-{uuid.uuid4().hex}"
+    materialize(c.filter(F.col("level_raw") == "All Levels").select("id", "course_name", F.lit("first run").alias("run")), name, "incremental", "id")
+    return materialize(c.select("id", "course_name", F.lit("second run").alias("run")), name, "incremental", "id")
+
+
+@register("keyed_upsert", with_courses() + """
+SELECT id, CASE WHEN p_size % 3 = 0 THEN 'new ' || level_raw ELSE level_raw END AS level, CASE WHEN p_size % 3 = 0 THEN 2 ELSE 0 END AS step
+FROM courses JOIN part ON p_partkey = id WHERE p_size % 5 <> 1""")
+def keyed_upsert(spark, sf_dir):
+    """M1 + M2 stored: two updates a key in one batch (the later step wins), then deletes; only touched buckets are written."""
+    p = X._t(spark, sf_dir, "part", "p_partkey", "p_size").withColumnRenamed("p_partkey", "id")
+    c = X.courses(spark, sf_dir).select("id", F.col("level_raw").alias("level"), F.lit(0).alias("step")).join(p, "id")
+    table = KeyedTable(spark, _fresh(spark, "levels"), "id long, level string, step int", "id")
+    table.insert_new(c)
+    later = c.filter(F.col("p_size") % 3 == 0)
+    table.upsert(later.withColumn("step", F.lit(1)).unionByName(
+        later.select("id", F.concat(F.lit("new "), "level").alias("level"), F.lit(2).alias("step"), "p_size")), order=["step"])
+    table.delete(c.filter(F.col("p_size") % 5 == 1))
+    return table.read()
+
+
 @register("materialize", with_catalog() + "\nSELECT platform, count(*) AS n FROM catalog GROUP BY platform")
 def materialize_model(spark, sf_dir):
     """The catalogue as a view, a table (parquet in the shared folder) and a checkpoint."""

@@ -12,7 +12,7 @@ import hashlib
 import threading
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from ..session import scratch_path
 
@@ -35,8 +35,9 @@ def materialize(df: DataFrame, name: str, kind: str = "table", key: str | None =
     * ``view``: a temp view, recomputed by every reader;
     * ``table``: parquet in the shared checkpoint folder, read back; written
       once per application, name and plan, so another input gets another table;
-    * ``incremental``: like ``table`` under one name for the application's life:
-      rows whose ``key`` the table does not hold yet are appended;
+    * ``incremental``: a keyed table with a commit log (``keyed.py``) under one
+      name and schema, which outlives the application: rows whose ``key`` it does
+      not hold yet are added, and of several such rows the greatest by JSON text;
     * ``checkpoint``: reliable checkpoint (also in the shared folder).
     """
     spark = df.sparkSession
@@ -47,9 +48,18 @@ def materialize(df: DataFrame, name: str, kind: str = "table", key: str | None =
         return df.checkpoint(eager=True)
     if kind not in ("table", "incremental"):
         raise ValueError(kind)
-    if kind == "incremental" and key is None:
-        raise ValueError("an incremental table needs its key column")
-    plan = str(df.semanticHash()) if kind == "table" else "incremental"
+    if kind == "incremental":
+        if key is None:
+            raise ValueError("an incremental table needs its key column")
+        from .keyed import KeyedTable
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+        place = "incremental/" + hashlib.sha256(f"{name}\n{schema}\n{key}".encode()).hexdigest()[:32]
+        table = KeyedTable(spark, scratch_path(spark, place), schema, key)
+        table.insert_new(df)
+        return table.read()
+    # 32 bits of the plan's meaning are not enough alone: the schema and the plan's text are part of the name
+    shown = df._jdf.queryExecution().analyzed().canonicalized().toString()
+    plan = hashlib.sha256(f"{df.semanticHash()}\n{df.schema.json()}\n{shown}".encode()).hexdigest()[:32]
     ident = (spark.sparkContext.applicationId, name, plan)
     with _GUARD:
         lock = _LOCKS.setdefault(ident, threading.Lock())
@@ -57,11 +67,6 @@ def materialize(df: DataFrame, name: str, kind: str = "table", key: str | None =
         path = _WRITTEN.get(ident)
         if path is None:
             path = scratch_path(spark, f"tables/{ident[0]}/" + hashlib.sha1(f"{name} {plan}".encode()).hexdigest()[:16])
-            first = df if kind == "table" else df.filter(F.col(key).isNotNull()).dropDuplicates([key])
-            first.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").parquet(path)
             _WRITTEN[ident] = path
-        elif kind == "incremental":
-            held = spark.read.schema(df.schema).parquet(path).select(key)
-            fresh = df.filter(F.col(key).isNotNull()).dropDuplicates([key]).join(held, key, "left_anti")
-            stored(fresh.select(*df.columns), "increment").write.mode("append").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
