@@ -8,6 +8,8 @@ same.  All expressions are map-side: no shuffle per enrichment.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,3 +156,46 @@ def variant_compare(df: DataFrame, candidates: dict, choose: str, out_col: str)
         df = df.withColumn(name, expr)
     df = df.withColumn(out_col, F.col(choose))
     return df.drop(*[n for n in candidates if n != out_col])
+
+
+class BacklogRun:
+    """E5: id ranges of a backlog, each derived and committed once, below one folder of the shared store.
+
+    A range's rows go to a folder of their own; then its ledger entry, which
+    names that folder, is created if no other runner has created one.  A run
+    that was broken off goes on with the first range without an entry, and what
+    it left half-written is in no entry.  ``limit`` ends a run after that many
+    ranges.
+    """
+
+    def __init__(self, spark, path: str, key: str, width: int):
+        from ..sources.keyed import SharedFolder
+        self.spark, self.path, self.key, self.width = spark, path.rstrip("/"), key, width
+        self.ledger = SharedFolder(spark, f"{self.path}/ledger")
+
+    def committed(self) -> dict[int, str]:
+        """Range number -> folder."""
+        return {int(n[:-4]): self.ledger.read(n) for n in self.ledger.names() if n.endswith(".txt") and not n.startswith(".")}
+
+    def run(self, df: DataFrame, derive, limit: int | None = None) -> int:
+        """Derive the open ranges of ``df`` in order (``derive``: rows of a range -> result rows); returns how many were done.
+
+        The driver sees one number per range; a range's filter reaches the scan.
+        Null keys belong to no range.
+        """
+        number = F.floor(F.col(self.key) / F.lit(self.width)).alias("b")
+        held = self.committed()
+        ranges = sorted(r.b for r in df.filter(F.col(self.key).isNotNull()).select(number).distinct().collect() if r.b not in held)
+        for done, b in enumerate(ranges):
+            if limit is not None and done >= limit:
+                return done
+            rows = df.filter((F.col(self.key) >= b * self.width) & (F.col(self.key) < (b + 1) * self.width))
+            folder = f"ranges/{b}-{uuid.uuid4().hex}"
+            derive(rows).withColumn("batch_id", F.lit(b).cast("long")).write.parquet(f"{self.path}/{folder}")
+            self.ledger.put_if_absent(f"{b:012d}.txt" if b >= 0 else f"-{-b:011d}.txt", folder)
+        return len(ranges)
+
+    def read(self) -> DataFrame | None:
+        """The rows of all committed ranges; None before the first."""
+        folders = [f"{self.path}/{f}" for _, f in sorted(self.committed().items())]
+        return self.spark.read.parquet(*folders) if folders else None

@@ -28,7 +28,7 @@ def _template_sql(template: str, **parts) -> str:
     return " || ".join(out)
 
 
-def _search_sql(queries_cte: str, n: int, p: str = "") -> str:
+def _search_sql(queries_cte: str, n: int, p: str = "", where: str = "TRUE") -> str:
     """Brute-force TF-IDF of every query text against the catalogue (oracle side).
 
     ``queries_cte`` defines ``{p}queries(qid, qtext)``; the result is ``{p}hits(qid, id, score, rank)``.
@@ -36,7 +36,7 @@ def _search_sql(queries_cte: str, n: int, p: str = "") -> str:
     return f""",
 {queries_cte},
 {p}qt AS (SELECT DISTINCT qid, unnest({TOK.format(x='qtext')}) AS term FROM {p}queries),
-{p}docs AS (SELECT id, {TOK.format(x="concat_ws(' ', course_name, description, skills)")} AS tok FROM catalog),
+{p}docs AS (SELECT id, {TOK.format(x="concat_ws(' ', course_name, description, skills)")} AS tok FROM catalog WHERE {where}),
 {p}nd AS (SELECT count(*) AS n FROM {p}docs),
 {p}post AS (SELECT id, len(tok) AS doc_len, unnest(tok) AS term FROM {p}docs),
 {p}tf AS (SELECT term, id, count(*) / any_value(doc_len) AS tf FROM {p}post WHERE term IN (SELECT term FROM {p}qt) GROUP BY term, id),
@@ -59,13 +59,27 @@ queries AS (
     FROM latest GROUP BY user_id) rt ON rt.user_id = u.user_id
 )"""
 
-C1_BASE = with_catalog(USER_ROLES, RATINGS_SQL.strip()) + _search_sql(RECOMMEND_QUERIES, 20) + f""",
+def _c1_sql(where: str = "TRUE") -> str:
+    return with_catalog(USER_ROLES, RATINGS_SQL.strip()) + _search_sql(RECOMMEND_QUERIES, 20, where=where) + f""",
 tagged AS (SELECT h.qid AS user_id, h.id, h.rank, c.course_name, c.level, c.platform, {bucket_sql('c.level')} AS level_category
            FROM hits h JOIN catalog c ON c.id = h.id),
 recs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, level_category ORDER BY course_name, id) AS rn FROM tagged
          WHERE level_category IN ('BEGINNER', 'INTERMEDIATE', 'ADVANCED')) WHERE rn <= 2)"""
 
 
+C1_BASE = _c1_sql()
+# Binding of the gap queries: the first search does not see the advanced courses.
+GAP_SQL = f"({bucket_sql('level')}) <> 'ADVANCED'"
+C1_GAP = _c1_sql(GAP_SQL)
+
+
+def _gap_recs(spark, sf_dir):
+    from ..functions.courses import level_category
+    seen = catalog(spark, sf_dir).filter(level_category("level") != "ADVANCED")
+    recs, _ = R.recommend_courses(X.user_roles(spark, sf_dir), R.ratings_text(latest_ratings(spark, sf_dir)), seen)
+    return recs
+
+
 def _recs(spark, sf_dir):
     users = X.user_roles(spark, sf_dir)
     rt = R.ratings_text(latest_ratings(spark, sf_dir))
@@ -104,7 +118,8 @@ def level_counts_per_user(spark, sf_dir):
     return tagged.groupBy("user_id", "level_category").agg(F.count(F.lit(1)).alias("n"))
 
 
-ADV_SQL = C1_BASE + _search_sql(f"""
+def _adv_sql(base: str) -> str:
+    return base + _search_sql(f"""
 adv_queries AS (SELECT DISTINCT role AS qid, {_template_sql(R.ADVANCED_TEMPLATE, role='role')} AS qtext FROM user_roles)""", 4, "adv_") + """,
 high AS (SELECT user_id FROM latest GROUP BY user_id HAVING count(*) FILTER (WHERE rating >= 3) > 0),
 need AS (SELECT u.user_id, u.role FROM user_roles u
@@ -122,15 +137,35 @@ combined AS (
 )"""
 
 
-@register("advanced_backfill", ADV_SQL + "\nSELECT * FROM combined")
-def advanced_backfill(spark, sf_dir):
-    """C2 + U2: users lacking ADVANCED with a rating >= 3 get up to two advanced courses appended."""
-    recs, _ = _recs(spark, sf_dir)
+ADV_SQL, ADV_GAP_SQL = _adv_sql(C1_BASE), _adv_sql(C1_GAP)
+
+
+def _with_backfill(spark, sf_dir, recs):
     users = X.user_roles(spark, sf_dir)
     lr = latest_ratings(spark, sf_dir)
     high = lr.groupBy("user_id").agg(F.count_if(F.col("rating") >= 3).alias("high_rated"))
-    recs = recs.join(users, "user_id")
-    return R.advanced_backfill(recs, users, high, catalog(spark, sf_dir), postings=catalog_postings(spark, sf_dir))
+    return R.advanced_backfill(recs.join(users, "user_id"), users, high, catalog(spark, sf_dir), postings=catalog_postings(spark, sf_dir))
+
+
+@register("advanced_backfill", ADV_SQL + "\nSELECT * FROM combined")
+def advanced_backfill(spark, sf_dir):
+    """C2 + U2: users lacking ADVANCED with a rating >= 3 get up to two advanced courses appended."""
+    return _with_backfill(spark, sf_dir, _recs(spark, sf_dir)[0])
+
+
+@register("missing_levels_gap", C1_GAP + """,
+dims AS (SELECT user_id, unnest(['BEGINNER', 'INTERMEDIATE', 'ADVANCED']) AS level_category FROM user_roles)
+SELECT user_id, level_category FROM dims
+WHERE NOT EXISTS (SELECT 1 FROM recs r WHERE r.user_id = dims.user_id AND r.level_category = dims.level_category)""")
+def missing_levels_gap(spark, sf_dir):
+    """A6 where the first search lacks courses of some levels."""
+    return R.missing_levels(_gap_recs(spark, sf_dir), X.user_roles(spark, sf_dir))
+
+
+@register("advanced_backfill_gap", ADV_GAP_SQL + "\nSELECT * FROM combined")
+def advanced_backfill_gap(spark, sf_dir):
+    """C2 + U2 where the first search lacks advanced courses: rows are appended."""
+    return _with_backfill(spark, sf_dir, _gap_recs(spark, sf_dir))
 
 
 def _missing(spark, sf_dir):

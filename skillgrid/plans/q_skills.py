@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import skills as S
@@ -10,6 +12,7 @@ from ..operators import skillgap as G
 from . import fixtures as X
 from .fixture_sql import (HELD, REQUIREMENTS, USER_ROLES, infer_level_sql, infer_prereq_sql, infer_skills_sql, q,
                           with_courses)
+from ..session import scratch_path
 from .registry import register
 
 
@@ -334,6 +337,24 @@ def batched_backlog(spark, sf_dir):
     return out.select("id", "batch_id", "prerequisites")
 
 
+@register("backlog_ranges", with_courses() + f"""
+SELECT id, CAST(floor(id / 250) AS BIGINT) AS batch_id, {infer_prereq_sql('course_name', 'description')} AS prerequisites
+FROM courses WHERE prerequisites IS NULL AND description IS NOT NULL""")
+def backlog_ranges(spark, sf_dir):
+    """E5: the backlog in id ranges with a ledger; the first run ends after one range, the second goes on behind it."""
+    c = X.courses(spark, sf_dir)
+    run = E.BacklogRun(spark, scratch_path(spark, f"io/backlog-{uuid.uuid4().hex[:12]}"), "id", 250)
+
+    def derive(rows):
+        filled = E.fill_backlog(E.with_course_text(rows, "course_name", "description"), "id", "prerequisites", ["description"],
+                                E.infer_prerequisites("_ctext"), batch_width=250)
+        return filled.select("id", "prerequisites")
+
+    run.run(c, derive, limit=1)
+    run.run(c, derive)
+    return run.read().select("id", "batch_id", "prerequisites")
+
+
 @register("variant_compare", with_courses() + f"""
 SELECT id, {infer_skills_sql('course_name', 'description')} AS skills FROM courses""")
 def variant_compare(spark, sf_dir):

@@ -109,6 +109,16 @@ class KeyedTable:
         first = self._manifest(1)
         self.buckets = first["buckets"] if first else buckets     # fixed by the first version
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> "KeyedTable | None":
+        """The table below ``path`` with the schema and key of its first version, or None if there is none."""
+        log = SharedFolder(spark, f"{path.rstrip('/')}/log")
+        first = f"{1:012d}.json"
+        if first not in log.names():
+            return None
+        made = json.loads(log.read(first))
+        return cls(spark, path, made["schema"], made["key"])
+
     def _manifest(self, version: int) -> dict | None:
         name = f"{version:012d}.json"
         return json.loads(self.log.read(name)) if name in self.log.names() else None
@@ -156,7 +166,7 @@ class KeyedTable:
             if made is None:
                 made = change(base)
             files = {**base.files, **made}
-            text = json.dumps({"version": base.version + 1, "buckets": self.buckets, "key": self.key, "files": {b: f for b, f in files.items() if f}})
+            text = json.dumps({"version": base.version + 1, "buckets": self.buckets, "key": self.key, "schema": self.schema, "files": {b: f for b, f in files.items() if f}})
             if self.log.put_if_absent(f"{base.version + 1:012d}.json", text):
                 return base.version + 1
             newer = self.snapshot()

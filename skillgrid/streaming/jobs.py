@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import search as SR
+from ..sources.keyed import KeyedTable
 
 
 def _source(spark: SparkSession, path: str, schema: str, max_files: int | None) -> DataFrame:
@@ -106,35 +107,26 @@ def incremental_model(spark: SparkSession, source_dir: str, schema: str, target_
                       key: str, max_files: int | None = None) -> str:
     """ST4 (+J2): per micro-batch, append only keys not yet in the target table.
 
-    Each batch writes its new rows as its own ``epoch=`` partition; existing
-    keys are read with a column-pruned scan of the earlier epochs only, so a
-    replayed batch (after a failure) recomputes the same rows and overwrites its
-    own partition -- idempotent, and no batch rewrites the table.
+    The target is a keyed table (``sources/keyed.py``): a batch reads the keys
+    of the hash buckets that its own keys fall into and adds files of its new
+    rows; other buckets are not looked at.  A replayed batch (after a failure)
+    finds its keys held and adds nothing.
     """
-    stream = _source(spark, source_dir, schema, max_files)
-    root = target_dir.rstrip("/")
+    table = KeyedTable(spark, target_dir, schema, key)
 
     def append_new(batch: DataFrame, epoch: int) -> None:
         others = [c for c in batch.columns if c != key]
         least = F.min(F.struct(*others)).alias("r")  # of rows with one key always the same is kept
-        fresh = batch.filter(F.col(key).isNotNull()).groupBy(key).agg(least).select(
-            *[F.col(f"r.{c}").alias(c) if c != key else F.col(key) for c in batch.columns])
-        existing = read_model(spark, root)
-        if existing is not None:
-            earlier = existing.filter(F.col("epoch") < epoch).select(key)
-            fresh = fresh.join(earlier, key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{root}/epoch={epoch:010d}")
-
-    q = (stream.writeStream.foreachBatch(append_new).option("checkpointLocation", checkpoint)
+        table.insert_new(batch.filter(F.col(key).isNotNull()).groupBy(key).agg(least).select(
+            *[F.col(f"r.{c}").alias(c) if c != key else F.col(key) for c in batch.columns]))
+
+    q = (_source(spark, source_dir, schema, max_files).writeStream.foreachBatch(append_new).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     _run(q)
     return target_dir
 
 
 def read_model(spark: SparkSession, target_dir: str) -> DataFrame | None:
-    """All rows of an incremental model (every epoch partition), or None before the first batch."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(target_dir)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return None
-    return spark.read.parquet(target_dir)
+    """All rows of an incremental model, or None before the first batch that had any."""
+    table = KeyedTable.open(spark, target_dir)
+    return table.read() if table is not None else None

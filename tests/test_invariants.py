@@ -166,3 +166,31 @@ def test_advanced_backfill_branch(spark):
     added = {(r.user_id, r.id) for r in out.filter(F.col("level_category") == "ADVANCED").collect()}
     assert added == {(1, "adv")}
     assert out.filter(F.col("user_id") == 2).count() == recs.filter(F.col("user_id") == 2).count()
+
+
+def test_backlog_goes_on_behind_the_last_committed_range(spark):
+    import uuid
+
+    from skillgrid.operators.enrich import BacklogRun
+    from skillgrid.session import scratch_path
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(-5, 95)] + [(None, "x")], "id long, t string")
+    path = scratch_path(spark, f"backlog-{uuid.uuid4().hex}")
+    seen = []
+
+    def derive(rows):
+        seen.append(sorted(r.id for r in rows.collect()))
+        if len(seen) == 4:
+            raise RuntimeError("killed")
+        return rows.selectExpr("id", "upper(t) AS u")
+    run = BacklogRun(spark, path, "id", 20)
+    assert run.read() is None and run.run(df, derive, limit=2) == 2
+    try:
+        run.run(df, derive)
+        raise AssertionError("the fourth range fails")
+    except RuntimeError:
+        pass
+    assert sorted(run.committed()) == [-1, 0, 1]
+    BacklogRun(spark, path, "id", 20).run(df, derive)                     # a new runner needs nothing but the folder
+    assert seen[3] == seen[4] and len(seen) == 7                         # the broken range is done again, no other
+    got = sorted((r.id, r.u, r.batch_id) for r in run.read().collect())
+    assert got == [(i, f"T{i}", i // 20) for i in range(-5, 95)]
