@@ -168,15 +168,16 @@ def op5_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     for a feed of changes.
     """
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    counts = staged(RL.token_counts(docs, TOKENIZERS), "rollup-counts")
+    counts = staged(RL.counted_rows(staged(RL.token_counts(docs, TOKENIZERS), "rollup-tokens")), "rollup-counts")
     rollup = RL.TokenRollup(spark, scratch_path(spark, f"llm/rollup-{uuid.uuid4().hex}"))
-    inserts = counts.select("doc_id", "source", "lang", "tokenizer", F.lit("insert").alias("op"), "n_tokens", F.lit(1).cast("long").alias("seq"))
+    of = ("doc_id", "row", "copies", "source", "lang", "tokenizer")
+    inserts = counts.select(*of, F.lit("insert").alias("op"), "n_tokens", F.lit(1).cast("long").alias("seq"))
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
     low = labels.where("quality = 0 AND toxic = 0").select("doc_id").distinct()
     revised = counts.where(F.col("tokenizer") == TOKENIZERS[1].version).join(low, "doc_id", "left_semi").withColumn("tokenizer", F.lit(TOKENIZERS[0].version))
     rollup.commit("insert", inserts)
     rollup.commit("toxic", inserts.join(toxic, "doc_id", "left_semi").withColumn("op", F.lit("delete")))
-    rollup.commit("recount", revised.select("doc_id", "source", "lang", "tokenizer", F.lit("revise").alias("op"), "n_tokens", F.lit(1).cast("long").alias("seq")))
+    rollup.commit("recount", revised.select(*of, F.lit("revise").alias("op"), "n_tokens", F.lit(1).cast("long").alias("seq")))
     rollup.commit("insert", inserts)
     return rollup.totals()
 

@@ -1,7 +1,9 @@
 import random
+import uuid
 
 from skillgrid.llm import rollups as RL
 from skillgrid.llm.queries import QUERIES, TOKENIZERS
+from skillgrid.llm.tokens import Tokenizer
 
 from .conftest import SF
 
@@ -61,3 +63,23 @@ def test_odd_rows(spark, tmp_path, no_docs):
     assert RL.token_counts(no_docs, TOKENIZERS).collect() == []
     rollup = RL.TokenRollup(spark, str(tmp_path / "none"))
     assert rollup.commit("empty", spark.createDataFrame([], RL.CHANGE)) and totals(rollup) == {}
+
+
+def test_rows_without_or_with_shared_ids_all_count(spark, odd_docs):
+    """Null ids, repeated ids and equal rows: the totals are those of all rows, and deletes take all of them away."""
+    docs = odd_docs.selectExpr("doc_id", "text", "'en' AS lang", "CASE WHEN doc_id = 5 THEN NULL ELSE 's' END AS source", "1 AS fold", "2 AS row", "3 AS copies")
+    docs = docs.union(docs.where("doc_id IS NULL")).union(docs.where("doc_id = 6").withColumn("text", docs.lang))
+    t = Tokenizer("t")
+    want = {}
+    for r in docs.collect():
+        k, n = want.get((r.source, r.lang), (0, 0))
+        want[(r.source, r.lang)] = (k + 1, n + t.count(r.text))
+    rollup = RL.TokenRollup(spark, f"{spark.sparkContext.getCheckpointDir()}/rollup-all-{uuid.uuid4().hex}")
+    rows = RL.counted_rows(RL.token_counts(docs, [t]))
+    rollup.commit("in", rows.selectExpr("*", "'insert' AS op", "1L AS seq"))
+    assert {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in rollup.totals().collect()} == want
+    rollup.commit("out", rows.where("doc_id IS NULL").selectExpr("*", "'delete' AS op", "1L AS seq"))
+    gone = docs.where("doc_id IS NULL").collect()
+    k, n = want[("s", "en")]
+    assert {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in rollup.totals().where("source = 's'").collect()} == {
+        ("s", "en"): (k - len(gone), n - sum(t.count(r.text) for r in gone))}
