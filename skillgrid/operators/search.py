@@ -105,10 +105,13 @@ def query_cuts(post: DataFrame, blocks: DataFrame, qt: DataFrame, key: str, qkey
     # the places where reading a list may stop: before each block, or at its end
     stops = blocks.select("term", F.col("above").alias("read"), F.struct(F.col("block").alias("cut"), F.col("bound").alias("rest")).alias("stop"))
     ends = lists.select("term", F.col("df").alias("read"), F.struct(F.lit(BLOCKS).alias("cut"), F.lit(0.0).alias("rest")).alias("stop"))
-    depths = F.explode(F.sequence(F.lit(0), F.ceil(F.log2("longest")).cast("int"))).alias("j")
-    depth = F.pow(F.lit(2.0), F.col("j"))
-    per_depth = (stops.union(ends).withColumn("longest", lists.agg(F.max("df")).scalar()).select("term", "read", "stop", depths).filter(F.col("read") <= depth)
-                 .groupBy("term", "j").agg(F.max_by("stop", "read").alias("stop")))
+    # at depth j a list is read to its last stop of at most 2^j postings: each stop serves a run of depths
+    deep = lambda c: F.when(c > 0, F.ceil(F.log2(c))).otherwise(F.lit(0)).cast("int")
+    following = F.lead("read").over(Window.partitionBy("term").orderBy("read"))
+    per_depth = (stops.union(ends).withColumn("_next", following).withColumn("longest", lists.agg(F.max("df")).scalar())
+                 .withColumn("_from", deep(F.col("read"))).withColumn("_to", F.when(F.col("_next").isNull(), deep(F.col("longest"))).otherwise(deep(F.col("_next")) - 1))
+                 .filter(F.col("_from") <= F.col("_to"))
+                 .select("term", F.explode(F.sequence("_from", "_to")).alias("j"), "stop"))
     sums = qt.join(per_depth, "term").groupBy(qkey, "j").agg(F.sum("stop.rest").alias("unread"))
     chosen = (sums.join(floor, qkey, "left").filter((F.col("unread") == 0) | (F.col("unread") < F.col("least") - NOISE))
               .groupBy(qkey).agg(F.min("j").alias("j")))
