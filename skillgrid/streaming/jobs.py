@@ -10,6 +10,8 @@ results on top of the at-least-once batch delivery.
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,18 @@ def _last_delivery(batch: DataFrame, key: str, place: str, path: str) -> DataFra
     return batch.join(several, key, "left").where(F.col("_last").isNull() | (F.col("_last") == F.col(place))).drop("_last", place)
 
 
+@contextlib.contextmanager
+def shuffle_files_dropped(spark: SparkSession):
+    """Shuffle files of the queries that run inside go when the query ends: what they wrote is the recovery point."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _run(query) -> None:
     """Wait until the query has ended by itself; its failure is raised here, and nothing partial is returned."""
     query.awaitTermination()
@@ -60,11 +74,14 @@ def index_refresh(spark: SparkSession, source_dir: str, schema: str, index_dir:
     stream = _source(spark, source_dir, schema, max_files).select(key, text, *attrs, place.alias("_place"))
 
     def append_postings(batch: DataFrame, epoch: int) -> None:
-        root = index_dir.rstrip("/")
+        root, spark = index_dir.rstrip("/"), batch.sparkSession
         batch = _last_delivery(batch, key, "_place", f"{root}/repeated/epoch={epoch:010d}")
         postings = SR.build_index(batch, key, text, attrs).select(*attrs, "term", key, "cnt")
-        postings.write.mode("overwrite").parquet(f"{root}/postings/epoch={epoch:010d}")
-        batch.select(key).distinct().write.mode("overwrite").parquet(f"{root}/deliveries/epoch={epoch:010d}")
+        # sorted by word, a posting list is a run of equal words and rising keys, which Parquet stores in a fraction
+        with shuffle_files_dropped(spark):
+            (postings.sortWithinPartitions("term", key).write.mode("overwrite").option("compression", "zstd")
+             .parquet(f"{root}/postings/epoch={epoch:010d}"))
+            batch.select(key).distinct().write.mode("overwrite").parquet(f"{root}/deliveries/epoch={epoch:010d}")
 
     w = stream.writeStream.foreachBatch(append_postings).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
@@ -73,10 +90,20 @@ def index_refresh(spark: SparkSession, source_dir: str, schema: str, index_dir:
 
 
 def read_index(spark: SparkSession, index_dir: str, key: str = "doc_id") -> DataFrame:
-    """The current index: for every document, the postings of the epoch that delivered it last."""
+    """The current index: for every document, the postings of the epoch that delivered it last.
+
+    Nothing can supersede the newest epoch, so its postings are read as they
+    are; only older epochs meet the deliveries that came after them.
+    """
     root = index_dir.rstrip("/")
-    latest = spark.read.parquet(f"{root}/deliveries").groupBy(key).agg(F.max("epoch").alias("epoch"))
-    return spark.read.parquet(f"{root}/postings").join(latest, [key, "epoch"], "left_semi").drop("epoch")
+    deliveries = spark.read.parquet(f"{root}/deliveries")
+    postings = spark.read.parquet(f"{root}/postings")
+    newest = deliveries.agg(F.max("epoch")).first()[0]
+    if newest is None:
+        return postings.drop("epoch")
+    latest = deliveries.groupBy(key).agg(F.max("epoch").alias("epoch")).filter(F.col("epoch") < newest)
+    older = postings.filter(F.col("epoch") < newest).join(latest, [key, "epoch"], "left_semi")
+    return postings.filter(F.col("epoch") == newest).unionByName(older).drop("epoch")
 
 
 def session_stream(spark: SparkSession, source_dir: str, schema: str, sink_dir: str, checkpoint: str,
