@@ -56,7 +56,7 @@ def _run(query) -> None:
 
 def index_refresh(spark: SparkSession, source_dir: str, schema: str, index_dir: str, checkpoint: str,
                   key: str = "doc_id", text: str = "text", attrs=("lang",), trigger=None,
-                  max_files: int | None = None) -> str:
+                  max_files: int | None = None, slices: int = 4) -> str:
     """ST1 (+V6): keep an inverted index in step with a document drop folder.
 
     Each micro-batch appends only its own documents' postings, tagged with the
@@ -76,11 +76,12 @@ def index_refresh(spark: SparkSession, source_dir: str, schema: str, index_dir:
     def append_postings(batch: DataFrame, epoch: int) -> None:
         root, spark = index_dir.rstrip("/"), batch.sparkSession
         batch = _last_delivery(batch, key, "_place", f"{root}/repeated/epoch={epoch:010d}")
-        postings = SR.build_index(batch, key, text, attrs).select(*attrs, "term", key, "cnt")
-        # sorted by word, a posting list is a run of equal words and rising keys, which Parquet stores in a fraction
         with shuffle_files_dropped(spark):
-            (postings.sortWithinPartitions("term", key).write.mode("overwrite").option("compression", "zstd")
-             .parquet(f"{root}/postings/epoch={epoch:010d}"))
+            # one slice of the documents after the other: no more than a slice's counts are on disk as shuffle files
+            for k in range(slices):
+                mine = batch.filter(F.pmod(F.xxhash64(key), F.lit(slices)) == k)
+                (SR.build_index(mine, key, text, attrs).select(*attrs, "term", key, "cnt")
+                 .write.mode("append" if k else "overwrite").option("compression", "zstd").parquet(f"{root}/postings/epoch={epoch:010d}"))
             batch.select(key).distinct().write.mode("overwrite").parquet(f"{root}/deliveries/epoch={epoch:010d}")
 
     w = stream.writeStream.foreachBatch(append_postings).option("checkpointLocation", checkpoint)
