@@ -1,11 +1,14 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
-The benchmark's items are cut into blocks of bounded size; each block becomes
-one automaton of all its items' word sequences, sent to the executors, and all
-documents stream through it: per word the automaton keeps the longest suffix
-of the text read so far that occurs in some item.  Where that length reaches
-the window, the last ``window`` words are an item's window; a shorter item is
-a window by itself.  The documents are never shuffled.
+Spark tasks cut the benchmark's items into blocks of bounded size, turn each
+block into one automaton of all its items' word sequences, and write it to the
+shared folder; neither items nor automata pass through the driver.  All
+documents stream through the blocks: per word the automaton keeps the longest
+suffix of the text read so far that occurs in some item.  Where that length
+reaches the window, the last ``window`` words are an item's window; a shorter
+item is a window by itself.  The documents are never shuffled.  A task holds
+one block at a time: a single block stays loaded, several are read in turn for
+every ``POOL_BYTES`` of texts.
 
 Null texts and items have no words, items without words match nothing, equal
 items all count, and repeated rows are judged each for itself.  A null item id
@@ -15,19 +18,24 @@ is written as an empty string in the id list.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, functions as F
 
 from .common import by_bytes, id_and_text, small_batches, staged
+from .tokenfiles import open_shared
 
 # Words: digits, a-z after lower-casing, and everything beyond ASCII.
 _KEEP = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 BLOCK_WORDS = 100_000
+POOL_BYTES = 32_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -140,47 +148,83 @@ class Automaton:
         return [tuple(s) for s in spans], found
 
 
-def item_blocks(spark: SparkSession, items: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text",
-                block_words: int = BLOCK_WORDS) -> list:
-    """Broadcast (ids, automaton) pairs, each of at most ``block_words`` words or a single item."""
-    rows = staged(items.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-                  .where("text IS NOT NULL").withColumn("size", F.length("text")), "benchmark")
-    blocks, ids, texts, size = [], [], [], 0
-
-    def close():
-        nonlocal ids, texts, size
-        if ids:
-            blocks.append(spark.sparkContext.broadcast((ids, Automaton.build(texts, window))))
-        ids, texts, size = [], [], 0
-
-    for r in rows.toLocalIterator():  # one block of the driver's memory at a time
-        words = words_of(r.text)
-        if words:
-            if size + len(words) > block_words:
-                close()
-            ids.append(r.id or "")
-            texts.append(words)
-            size += len(words)
-    close()
-    return blocks
+@dataclass(frozen=True)
+class Blocks:
+    """Written automata: ``files`` hold ``count`` of them, one a row."""
 
+    files: tuple[str, ...]
+    count: int
 
-def _scan(block, window: int):
+    def __iter__(self) -> Iterator[tuple[list[str], Automaton]]:
+        if self.count == 0:
+            yield [], Automaton()
+        elif self.count == 1:
+            yield _only(self)
+        else:
+            yield from _loaded(self.files)
+
+    def pools(self, batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+        """Rows to be held while the blocks go by: small pieces if there is one block, else about ``POOL_BYTES`` of ``column``."""
+        if self.count < 2:
+            yield from by_bytes(batches, column)
+            return
+        held, size = [], 0
+        for part in by_bytes(batches, column):
+            held.append(part)
+            size += part.column(column).nbytes
+            if size >= POOL_BYTES:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+        if held:
+            yield pa.concat_batches(held)
+
+
+def _loaded(files: tuple[str, ...]) -> Iterator[tuple[list[str], Automaton]]:
+    for name in files:
+        with open_shared(name) as f:
+            for row in pq.ParquetFile(f).iter_batches(batch_size=1, columns=["block"]):
+                for block in row.column("block"):
+                    yield pickle.loads(block.as_py())
+
+
+@lru_cache(maxsize=1)
+def _only(blocks: Blocks) -> tuple[list[str], Automaton]:
+    """A table's only block, loaded once per worker process."""
+    return next(_loaded(blocks.files))
+
+
+def _build(window: int, block_words: int):
     def run(batches):
-        ids, automaton = block.value if block is not None else ([], Automaton())
+        def block():
+            return pa.record_batch([pa.array([pickle.dumps((ids, Automaton.build(texts, window)), 5)], pa.binary())], names=["block"])
+
+        ids, texts, size = [], [], 0
         for part in by_bytes(batches, "text"):
-            out = []
-            for text in part.column("text").to_pylist():
+            for item, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
                 words = words_of(text)
-                spans, found = automaton.hits(words, window)
-                out.append((len(words), [x for s in spans for x in s], sorted(ids[i] for i in found)))
-            yield pa.record_batch([part.column("doc_id"), part.column("text"), pa.array([o[0] for o in out], pa.int64()),
-                                   pa.array([o[1] for o in out], pa.list_(pa.int32())),
-                                   pa.array([o[2] for o in out], pa.list_(pa.string()))],
-                                  names=["doc_id", "text", "n_words", "spans", "items"])
+                if not words:
+                    continue
+                if ids and size + len(words) > block_words:
+                    yield block()
+                    ids, texts, size = [], [], 0
+                ids.append(item or "")
+                texts.append(words)
+                size += len(words)
+        if ids:
+            yield block()
     return run
 
 
+def item_blocks(items: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> Blocks:
+    """Automata of at most ``block_words`` words or a single item each, built and written by tasks of about one block."""
+    small_batches(items.sparkSession)
+    rows = staged(items.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+                  .where("text IS NOT NULL"), "benchmark")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    built = staged(rows.repartition(size // (8 * block_words) + 1).mapInArrow(_build(window, block_words), "block binary"), "benchmark-automata")
+    return Blocks(tuple(sorted(built.inputFiles())), built.count())
+
+
 def _merge(a: list[int], b: list[int]) -> list[int]:
     out: list[int] = []
     for s, e in sorted([*zip(a[::2], a[1::2]), *zip(b[::2], b[1::2])]):
@@ -191,33 +235,34 @@ def _merge(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
-def _more(block, window: int):
-    """A further block of items over rows that earlier blocks have marked."""
-    def run(batches):
-        ids, automaton = block.value
-        for part in by_bytes(batches, "text"):
-            spans, items = [], []
-            for text, old, was in zip(*(part.column(c).to_pylist() for c in ("text", "spans", "items"))):
-                new, found = automaton.hits(words_of(text), window)
-                spans.append(_merge(old, [x for s in new for x in s]))
-                items.append(sorted([*was, *(ids[i] for i in found)]))
-            yield pa.record_batch([part.column("doc_id"), part.column("text"), part.column("n_words"),
-                                   pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                                  names=["doc_id", "text", "n_words", "spans", "items"])
-    return run
+def _marks(texts: list[str | None], blocks: Blocks, window: int) -> tuple[list[int], list[list[int]], list[list[str]]]:
+    """Per text: words, covered word ranges of all blocks, and sorted ids of the items found."""
+    n_words, spans, items = [0] * len(texts), [[] for _ in texts], [[] for _ in texts]
+    for ids, automaton in blocks:
+        for i, text in enumerate(texts):
+            words = words_of(text)
+            n_words[i] = len(words)
+            new, found = automaton.hits(words, window)
+            if new:
+                spans[i] = _merge(spans[i], [x for s in new for x in s])
+                items[i] += [ids[k] for k in found]
+    return n_words, spans, [sorted(x) for x in items]
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text",
             block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, text, n_words, spans (covered word ranges: start, end, start, end, ...), items (sorted ids)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    blocks = item_blocks(spark, items, window, block_words=block_words)
-    schema = "doc_id long, text string, n_words long, spans array<int>, items array<string>"
-    out = id_and_text(docs, id_col, text_col).mapInArrow(_scan(blocks[0] if blocks else None, window), schema)
-    for block in blocks[1:]:
-        out = out.mapInArrow(_more(block, window), schema)
-    return out
+    small_batches(docs.sparkSession)
+    blocks = item_blocks(items, window, block_words=block_words)
+
+    def run(batches):
+        for part in blocks.pools(batches, "text"):
+            n_words, spans, found = _marks(part.column("text").to_pylist(), blocks, window)
+            yield pa.record_batch([part.column("doc_id"), part.column("text"), pa.array(n_words, pa.int64()),
+                                   pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))],
+                                  names=["doc_id", "text", "n_words", "spans", "items"])
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, text string, n_words long, spans array<int>, items array<string>")
 
 
 def report(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
@@ -252,23 +297,19 @@ def cleaned(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: f
 
     ``count_col``, if the table has it, is set to the new text's code points where the text changed.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    blocks = item_blocks(spark, items, window, block_words=block_words)
+    small_batches(docs.sparkSession)
+    blocks = item_blocks(items, window, block_words=block_words)
     names = docs.columns
 
     def run(batches):
-        loaded = [b.value for b in blocks]
-        for part in by_bytes(batches, text_col):
-            texts, keep, changed = part.column(text_col).to_pylist(), [], {}
-            for i, text in enumerate(texts):
-                words, spans = words_of(text), []
-                for _, automaton in loaded:
-                    spans = _merge(spans, [x for s in automaton.hits(words, window)[0] for x in s])
-                covered = sum(spans[1::2]) - sum(spans[::2])
-                keep.append(not spans or covered < max_coverage * len(words))
-                if spans and keep[-1]:
-                    changed[i] = cut(text, spans)
+        for part in blocks.pools(batches, text_col):
+            texts = part.column(text_col).to_pylist()
+            n_words, spans, _ = _marks(texts, blocks, window)
+            keep, changed = [], {}
+            for i, (n, s) in enumerate(zip(n_words, spans)):
+                keep.append(not s or sum(s[1::2]) - sum(s[::2]) < max_coverage * n)
+                if s and keep[-1]:
+                    changed[i] = cut(texts[i], s)
             columns = {n: part.column(n) for n in names}
             if changed:
                 columns[text_col] = pa.array([changed.get(i, t) for i, t in enumerate(texts)], columns[text_col].type)

@@ -3,6 +3,7 @@ import random
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from skillgrid.llm import decontaminate as DC
@@ -63,6 +64,29 @@ def test_blocks_agree(spark, documents):
     one = DC.matches(docs, items).collect()
     many = DC.matches(docs, items, block_words=150).collect()
     assert sorted((r.doc_id, r.spans, r.items) for r in one) == sorted((r.doc_id, r.spans, r.items) for r in many)
+    kept = [sorted((r.doc_id, r.text) for r in DC.cleaned(docs, items, block_words=n).collect()) for n in (100_000, 150)]
+    assert kept[0] == kept[1] != sorted(documents)
+
+
+def test_blocks_are_bounded(spark, documents):
+    """Every automaton holds one item or at most the given words, and all items with words are in one block each."""
+    rows = [(d, t) for d, t in documents[:200]] + [(-1, "long " * 900), (-2, None), (-3, " ")]
+    items = spark.createDataFrame(rows, "item_id long, text string").repartition(7)
+    blocks = DC.item_blocks(items, 10, block_words=500)
+    words = {str(d): len(DC.words_of(t)) for d, t in rows}
+    held = [ids for ids, _ in blocks]
+    assert blocks.count == len(held) > 10
+    assert all(len(ids) == 1 or sum(words[i] for i in ids) <= 500 for ids in held)
+    assert sorted(i for ids in held for i in ids) == sorted(d for d, n in words.items() if n)
+
+
+def test_pools(monkeypatch):
+    """Several blocks: rows are held in pools, none lost, in order; a pool closes once it is full."""
+    monkeypatch.setattr(DC, "POOL_BYTES", 100)
+    batches = [pa.record_batch([pa.array([i]), pa.array(["x" * 30])], names=["doc_id", "text"]) for i in range(10)]
+    pools = list(DC.Blocks(("a",), 2).pools(iter(batches), "text"))
+    assert [i for p in pools for i in p.column("doc_id").to_pylist()] == list(range(10))
+    assert 1 < len(pools) < 10
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
