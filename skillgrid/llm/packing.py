@@ -2,11 +2,17 @@
 
 Documents longer than the largest capacity are cut into pieces of it.  Pieces
 are dealt evenly to groups of a bounded number of pieces; within a group they
-are placed longest first into the open bin that they fill best.  Where no open
-bin has room, the capacity with the least cost per token expected in it is
-opened, given the tokens still to come, and at the end every bin is cut down to
-the smallest capacity that holds its contents.  A group leaves few bins partly
-filled, so many groups pack as well as one.
+are placed longest first into the open bin that they fill best.  A bin of c
+tokens costs what a training step over it costs, padding included: c for the
+layers, c * c / ``attention`` for attention (about six times the model's width)
+and ``overhead``.  So a small bin is cheaper per token, a large one is filled
+better, and the lengths compete: where no open bin has room, the capacity is
+opened whose forecast cost per token is least, the forecast being that the bin
+takes the longest pieces that fit of those still to come.  Every mix of
+permitted capacities is tried on the group, bins are cut down to the smallest
+capacity that holds their contents, and the mix of least total cost stays; no
+single capacity does better.  A group leaves few bins partly filled, so many
+groups pack as well as one.
 
 Documents without tokens (null or empty texts) take no room: their row has a
 null bin.  Repeated rows are packed each for itself.
@@ -14,6 +20,9 @@ null bin.  Repeated rows are packed each for itself.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from itertools import accumulate, combinations
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -23,6 +32,7 @@ from .tokens import Tokenizer
 CAPACITIES = (512, 1024, 2048, 4096)
 GROUP = 4096
 OVERHEAD = 32
+ATTENTION = 12288
 PIECES = "doc_id long, piece int, first_token long, n_tokens long"
 PACKED = "bin_id long, capacity int, position int, doc_id long, piece int, first_token long, n_tokens long"
 
@@ -43,16 +53,39 @@ def pieces(docs: DataFrame, tokenizer: Tokenizer, longest: int, id_col: str = "d
     return id_and_text(docs, id_col, text_col).mapInArrow(run, PIECES)
 
 
-def best_fit(lengths: list[int], capacities: tuple[int, ...], overhead: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """Place ``lengths`` (longest first): (bin, position) of each, and every bin's final capacity.
-
-    Opening a bin of capacity c costs c + ``overhead``.
-    """
-    sizes = sorted(capacities)
-    rest = sum(lengths)
-    with_room: list[list[int]] = [[] for _ in range(sizes[-1] + 1)]  # bins by the room they have left
+def cost(capacity: int, overhead: int = OVERHEAD, attention: int = ATTENTION) -> int:
+    """Cost of one bin, times ``attention`` to stay whole."""
+    return attention * (capacity + overhead) + capacity * capacity
+
+
+def forecasts(lengths: list[int], sizes: list[int], overhead: int, attention: int) -> dict[int, list[int]]:
+    """Per length of ``lengths`` (longest first): the capacities that hold it, the least forecast cost per token first."""
+    sums = [0, *accumulate(lengths)]
+    falling = [-n for n in lengths]
+    out: dict[int, list[int]] = {}
+    for i, n in enumerate(lengths):
+        if n in out:
+            continue
+        rated = []
+        for c in sizes:
+            if c < n:
+                continue
+            room, j = c, i
+            while (j := bisect_left(falling, -room, j)) < len(lengths):
+                k = bisect_right(sums, sums[j] + room, j) - 1  # all of j..k fit one after the other
+                room -= sums[k] - sums[j]
+                j = k
+            held = c - room
+            rated.append((cost(next(x for x in sizes if x >= held), overhead, attention) / held, c))
+        out[n] = [c for _, c in sorted(rated)]
+    return out
+
+
+def _fill(lengths: list[int], largest: int, opens: dict[int, int]) -> tuple[list[tuple[int, int]], list[int]]:
+    """Best fit, a bin of ``opens[n]`` being opened for a piece of n: (bin, position) of each piece, and tokens per bin."""
+    with_room: list[list[int]] = [[] for _ in range(largest + 1)]  # bins by the room they have left
     open_rooms = 0  # bit r: some bin has r left
-    places, used, opened = [], [], []
+    places, used = [], []
     for n in lengths:
         fits = open_rooms >> n
         if fits:
@@ -61,26 +94,43 @@ def best_fit(lengths: list[int], capacities: tuple[int, ...], overhead: int) ->
             if not with_room[room]:
                 open_rooms &= ~(1 << room)
         else:
-            room = min((c for c in sizes if c >= n), key=lambda c: ((c + overhead) / min(c, rest), c))
+            room = opens[n]
             b = len(used)
             used.append(0)
-            opened.append(room)
         places.append((b, used[b]))
         used[b] += n
-        rest -= n
         room -= n
         if room:
             with_room[room].append(b)
             open_rooms |= 1 << room
-    return places, [next(c for c in sizes if c >= u) for u in used]
+    return places, used
 
 
-def _pack(capacities: tuple[int, ...], overhead: int):
+def best_fit(lengths: list[int], capacities: tuple[int, ...], overhead: int, attention: int = ATTENTION) -> tuple[list[tuple[int, int]], list[int]]:
+    """Place ``lengths`` (longest first): (bin, position) of each, and every bin's final capacity.
+
+    A piece that a mix has no capacity for opens the smallest that holds it.  Of mixes of equal cost the first stays,
+    fewer capacities before more.
+    """
+    sizes = sorted(set(capacities))
+    ranked = forecasts(lengths, sizes, overhead, attention)
+    best = None
+    for mix in (m for k in range(1, len(sizes) + 1) for m in combinations(sizes, k)):
+        opens = {n: next((c for c in order if c in mix), min(order)) for n, order in ranked.items()}
+        places, used = _fill(lengths, sizes[-1], opens)
+        final = [sizes[bisect_left(sizes, u)] for u in used]
+        total = sum(cost(c, overhead, attention) for c in final)
+        if best is None or total < best[0]:
+            best = total, places, final
+    return best[1], best[2]
+
+
+def _pack(capacities: tuple[int, ...], overhead: int, attention: int):
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     names = ["bin_id", "capacity", "position", "doc_id", "piece", "first_token", "n_tokens"]
 
     def solve(group, rows):
-        places, final = best_fit([r["n_tokens"] for r in rows], capacities, overhead)
+        places, final = best_fit([r["n_tokens"] for r in rows], capacities, overhead, attention)
         out = [((group << 20) + b, final[b], at, r["doc_id"], r["piece"], r["first_token"], r["n_tokens"]) for (b, at), r in zip(places, rows)]
         return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=names)
 
@@ -99,7 +149,8 @@ def _pack(capacities: tuple[int, ...], overhead: int):
     return run
 
 
-def pack(rows: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, group: int = GROUP) -> DataFrame:
+def pack(rows: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, group: int = GROUP,
+         attention: int = ATTENTION) -> DataFrame:
     """Pieces -> bin_id, capacity (after downsizing), position in the bin, and the piece."""
     rows = staged(rows, "packing-pieces")
     full = rows.where("n_tokens > 0")
@@ -108,9 +159,9 @@ def pack(rows: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: in
              .repartition("grp").sortWithinPartitions("grp", F.col("n_tokens").desc(), "doc_id", "piece"))
     empty = rows.where("n_tokens = 0").select(F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("int").alias("capacity"),
                                               F.lit(None).cast("int").alias("position"), "doc_id", "piece", "first_token", "n_tokens")
-    return dealt.mapInArrow(_pack(tuple(capacities), overhead), PACKED).union(empty)
+    return dealt.mapInArrow(_pack(tuple(capacities), overhead, attention), PACKED).union(empty)
 
 
 def packed_documents(docs: DataFrame, tokenizer: Tokenizer = Tokenizer("byte_bpe_50k@1"), capacities: tuple[int, ...] = CAPACITIES,
-                     overhead: int = OVERHEAD, group: int = GROUP) -> DataFrame:
-    return pack(pieces(docs, tokenizer, max(capacities)), capacities, overhead, group)
+                     overhead: int = OVERHEAD, group: int = GROUP, attention: int = ATTENTION) -> DataFrame:
+    return pack(pieces(docs, tokenizer, max(capacities)), capacities, overhead, group, attention)
