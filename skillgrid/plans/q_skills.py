@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import skills as S
 from ..operators import enrich as E
 from ..operators import skillgap as G
+from ..operators.textmodel import TextClassifier
 from . import fixtures as X
 from .fixture_sql import (HELD, REQUIREMENTS, USER_ROLES, infer_level_sql, infer_prereq_sql, infer_skills_sql, q,
                           with_courses)
@@ -322,6 +323,22 @@ def detect_language(spark, sf_dir):
     return d.select("doc_id", "lang", E.detect_language("tok").alias("detected"))
 
 
+@register("detect_language_fitted")
+def detect_language_fitted(spark, sf_dir):
+    """E4 by letter trigrams: naive Bayes fitted on up to 20,000 labelled documents, every document scored."""
+    d = X._t(spark, sf_dir, "documents", "doc_id", "lang", "text")
+    return TextClassifier().fit(d, "text", "lang").score(d, "text", "detected").select("doc_id", "lang", "detected")
+
+
+@register("enrich_level_fitted")
+def enrich_level_fitted(spark, sf_dir):
+    """E3 by words: naive Bayes fitted on up to 20,000 courses with a level, blank levels filled from the whole text."""
+    c = E.with_course_text(X.courses(spark, sf_dir), "course_name", "description")
+    named = c.filter(F.trim("level_raw") != "")
+    model = TextClassifier(unit="words", n=1).fit(named, "_ctext", "level_raw")
+    return model.score(c.filter(F.trim("level_raw") == "").select("id", "_ctext"), "_ctext", "level").select("id", "level")
+
+
 @register("batched_backlog", with_courses() + f"""
 SELECT id, CAST(floor(id / 100) AS BIGINT) AS batch_id, {infer_prereq_sql('course_name', 'description')} AS prerequisites
 FROM courses
