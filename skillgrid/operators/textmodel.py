@@ -12,6 +12,7 @@ without labelled rows gives a model that answers NULL everywhere.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.ml.classification import NaiveBayes, NaiveBayesModel
@@ -19,6 +20,7 @@ from pyspark.ml.feature import HashingTF, NGram
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import _col
+from ..session import scratch_path
 
 
 def letters(text) -> Column:
@@ -38,13 +40,18 @@ class TextClassifier:
 
     def counts(self, df: DataFrame, text_col: str) -> DataFrame:
         """``df`` with ``_grams`` (hashed counts) and ``_any`` (whether there is a letter to judge by)."""
-        t = letters(text_col)
-        units = F.split(t, "") if self.unit == "characters" else F.split(F.trim(t), " ")
-        df = df.withColumn("_units", F.when(F.length(t) > 2, F.filter(units, lambda u: u != "")).otherwise(F.array().cast("array<string>")))
-        df = df.withColumn("_units", F.coalesce("_units", F.array().cast("array<string>")))
-        df = NGram(n=self.n, inputCol="_units", outputCol="_runs").transform(df) if self.n > 1 else df.withColumn("_runs", F.col("_units"))
+        # all runs of n characters: those that start at 1, n+1, ..., at 2, n+2, ..., and so on
+        none = F.array().cast("array<string>")
+        df = df.withColumn("_low", letters(text_col))
+        enough = F.length("_low") > 2
+        if self.unit == "characters":
+            starts = (F.regexp_extract_all(F.substring("_low", i + 1, 1 << 30), F.lit(f".{{{self.n}}}"), F.lit(0)) for i in range(self.n))
+            df = df.withColumn("_runs", F.coalesce(F.when(enough, F.concat(*starts)), none)).drop("_low")
+        else:
+            df = df.withColumn("_units", F.coalesce(F.when(enough, F.split(F.trim("_low"), " ")), none)).drop("_low")
+            df = NGram(n=self.n, inputCol="_units", outputCol="_runs").transform(df).drop("_units") if self.n > 1 else df.withColumnRenamed("_units", "_runs")
         df = HashingTF(numFeatures=self.features, inputCol="_runs", outputCol="_grams").transform(df)
-        return df.withColumn("_any", F.size("_runs") > 0).drop("_units", "_runs")
+        return df.withColumn("_any", F.size("_runs") > 0).drop("_runs")
 
     def sample(self, labelled: DataFrame, text_col: str, label_col: str) -> tuple[list[str], DataFrame]:
         """The labels in order, and at most ``sample_rows`` rows (label, text): an equal share of every label.
@@ -62,12 +69,16 @@ class TextClassifier:
         near = rows.withColumn("_hash", F.xxhash64("text")).where(F.pmod("_hash", F.lit(1 << 30)) < F.element_at(bound, F.col("label")))
         rank = F.row_number().over(Window.partitionBy("label").orderBy(F.pmod("_hash", F.lit(1 << 30)), "_hash"))
         kept = near.groupBy("label", "_hash").agg(F.min("text").alias("text")).withColumn("_rank", rank).where(F.col("_rank") <= share)
-        return sorted(held), kept.select("label", "text")
+        spark = labelled.sparkSession
+        path = scratch_path(spark, f"models/sample-{uuid.uuid4().hex}")
+        kept.select("label", "text").write.parquet(path)  # chosen once, read for every job of the fit
+        return sorted(held), spark.read.schema("label string, text string").parquet(path)
 
     def fit(self, labelled: DataFrame, text_col: str, label_col: str) -> FittedText:
         """Labels are numbered in their own order, so a tie goes to the first."""
         names, sample = self.sample(labelled, text_col, label_col)
-        counted = self.counts(sample, "text").where("_any")
+        tasks = labelled.sparkSession.sparkContext.defaultParallelism
+        counted = self.counts(sample.repartition(tasks), "text").where("_any")
         if not names or counted.isEmpty():
             return FittedText(self, (), None)
         number = F.array_position(F.array(*map(F.lit, names)), F.col("label")) - 1

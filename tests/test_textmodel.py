@@ -64,6 +64,18 @@ def test_letters(spark):
     assert row.l == " ärger über x "
 
 
+def test_every_run_of_letters_is_counted(spark):
+    """Hashed counts add up to the runs that a sliding window finds, for each unit and length."""
+    docs = spark.createDataFrame([("Ab c",), ("😀 straße über",), ("a",), (None,)], "t string")
+    low = [" ab c ", " straße über ", " a ", ""]
+    for n in (1, 2, 3, 4):
+        want = [max(0, len(x) - n + 1) for x in low]
+        rows = TextClassifier(n=n).counts(docs, "t").collect()
+        assert [sum(r._grams.values) for r in rows] == want and [r._any for r in rows] == [w > 0 for w in want]
+        words = TextClassifier(unit="words", n=n).counts(docs, "t").collect()
+        assert [sum(r._grams.values) for r in words] == [max(0, len(x.split()) - n + 1) for x in low]
+
+
 def test_queries_score_every_row(spark):
     sf = "/root/testdata/sf0.001"
     lang = QUERIES["detect_language_fitted"](spark, sf)
