@@ -78,7 +78,9 @@ class TextClassifier:
         """Labels are numbered in their own order, so a tie goes to the first."""
         names, sample = self.sample(labelled, text_col, label_col)
         tasks = labelled.sparkSession.sparkContext.defaultParallelism
-        counted = self.counts(sample.repartition(tasks), "text").where("_any")
+        path = scratch_path(labelled.sparkSession, f"models/counts-{uuid.uuid4().hex}")
+        self.counts(sample.repartition(tasks), "text").where("_any").select("label", "_grams").write.parquet(path)
+        counted = labelled.sparkSession.read.parquet(path)  # the fit reads it several times
         if not names or counted.isEmpty():
             return FittedText(self, (), None)
         number = F.array_position(F.array(*map(F.lit, names)), F.col("label")) - 1
