@@ -65,6 +65,12 @@ def score_histogram(df: DataFrame, score_col: str, digits: int = 2) -> DataFrame
             .agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("score").desc_nulls_last()))
 
 
+def _component(h, dim: int):
+    """(component, 0 for plus or 1 for minus) of a word's MD5."""
+    return ((F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dim).cast("int"),
+            F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2)
+
+
 def embed_text(df: DataFrame, key: str, text_col: str, dim: int = EMBED_DIM) -> DataFrame:
     """V1: (key, i, x): the unit vector of a text by feature hashing, one row per component that is not 0.
 
@@ -76,8 +82,8 @@ def embed_text(df: DataFrame, key: str, text_col: str, dim: int = EMBED_DIM) ->
     """
     from .search import tokens
     word = df.select(F.col(key), F.explode(tokens(text_col)).alias("_w")).withColumn("_h", F.md5(F.col("_w").cast("binary")))
-    place = (F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint") % dim).cast("int")
-    sign = F.when(F.conv(F.substring("_h", 9, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
+    place, odd = _component(F.col("_h"), dim)
+    sign = F.when(odd == 0, 1).otherwise(-1)
     counts = (word.groupBy(key, place.alias("i")).agg(F.sum(sign).cast("double").alias("c")).filter(F.col("c") != 0))
     norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(key)))
     return counts.select(key, "i", (F.col("c") / norm).alias("x"))
@@ -86,8 +92,59 @@ def embed_text(df: DataFrame, key: str, text_col: str, dim: int = EMBED_DIM) ->
 def same_row_similarity(df: DataFrame, key: str, stored_text: str, other_text: str) -> DataFrame:
     """V2: (key, similarity): each row's vector against the vector of another text of that row.
 
-    Components of a row meet on (key, i); rows of which one text has no vector have a NULL similarity.
+    Both vectors of a row are made and multiplied within the row; only rows
+    that share their key meet, as one text each.  Rows of which one text has no
+    vector, or without a key, have a NULL similarity.
     """
+    several = stored(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > 1) | F.col(key).isNull()).select(key), "repeated-keys")
+    if several.isEmpty():
+        return _within_rows(df, key, stored_text, other_text)
+    named = several.filter(F.col(key).isNotNull())
+    lone = df.filter(F.col(key).isNotNull()).join(named, key, "left_anti")
+    none = df.filter(F.col(key).isNull()).select(key, F.lit(None).cast("double").alias("similarity"))
+    return (_within_rows(lone, key, stored_text, other_text).unionByName(none)
+            .unionByName(_by_key(df.join(named, key, "left_semi"), key, stored_text, other_text)))
+
+
+def _within_rows(df: DataFrame, key: str, stored_text: str, other_text: str, dim: int = EMBED_DIM) -> DataFrame:
+    """Every word becomes a number (component, sign, text); sorted, the words of a component stand together and are folded."""
+    from .search import tokens
+
+    def codes(text, side):
+        def code(w):
+            place, odd = _component(F.md5(w.cast("binary")), dim)
+            return place * 4 + odd * 2 + side
+        return F.transform(tokens(text), code)
+
+    at = lambda i: F.get("_codes", i)
+    t = df.select(key, F.sort_array(F.concat(codes(stored_text, 0), codes(other_text, 1))).alias("_codes"))
+    places = F.when(F.size("_codes") > 0, F.sequence(F.lit(0), F.size("_codes") - 1))
+    t = t.withColumn("_starts", F.filter(places, lambda i: ~at(i).eqNullSafe(at(i - 1))))
+    runs = F.transform("_starts", lambda s, j: F.struct(at(s).alias("code"), (F.coalesce(F.get("_starts", j + 1), F.size("_codes")) - s).cast("double").alias("n")))
+    t = t.select(key, runs.alias("_runs"))
+    zero = F.lit(0.0)
+
+    def state(place, a, b, aa, bb, ab):
+        return F.struct(place.alias("place"), a.alias("a"), b.alias("b"), aa.alias("aa"), bb.alias("bb"), ab.alias("ab"))
+
+    def step(acc, x):
+        place = F.shiftright(x["code"], 2)
+        same = place == acc["place"]
+        n = F.when(x["code"].bitwiseAND(2) == 0, x["n"]).otherwise(-x["n"])
+        other = x["code"].bitwiseAND(1) == 1
+        kept = lambda c: F.when(same, acc[c]).otherwise(zero)
+        ended = lambda c, d: F.when(same, zero).otherwise(acc[c] * acc[d])
+        return state(place, kept("a") + F.when(other, zero).otherwise(n), kept("b") + F.when(other, n).otherwise(zero),
+                     acc["aa"] + ended("a", "a"), acc["bb"] + ended("b", "b"), acc["ab"] + ended("a", "b"))
+
+    t = t.select(key, F.aggregate("_runs", state(F.lit(-1), zero, zero, zero, zero, zero), step).alias("_s"))
+    s = F.col("_s")
+    t = t.select(key, (s["aa"] + s["a"] * s["a"]).alias("_aa"), (s["bb"] + s["b"] * s["b"]).alias("_bb"), (s["ab"] + s["a"] * s["b"]).alias("_ab"))
+    return t.select(key, F.when((F.col("_aa") > 0) & (F.col("_bb") > 0), F.col("_ab") / (F.sqrt("_aa") * F.sqrt("_bb"))).alias("similarity"))
+
+
+def _by_key(df: DataFrame, key: str, stored_text: str, other_text: str) -> DataFrame:
+    """Components of a key meet on (key, i); the words of all its rows count together."""
     a, b = embed_text(df, key, stored_text), embed_text(df, key, other_text).withColumnRenamed("x", "y")
     dot = a.join(b, [key, "i"]).groupBy(key).agg(F.sum(F.col("x") * F.col("y")).alias("similarity"))
     both = a.select(key).distinct().join(b.select(key).distinct(), key)
