@@ -56,7 +56,7 @@ def _run(query) -> None:
 
 def index_refresh(spark: SparkSession, source_dir: str, schema: str, index_dir: str, checkpoint: str,
                   key: str = "doc_id", text: str = "text", attrs=("lang",), trigger=None,
-                  max_files: int | None = None, slices: int = 4) -> str:
+                  max_files: int | None = None) -> str:
     """ST1 (+V6): keep an inverted index in step with a document drop folder.
 
     Each micro-batch appends only its own documents' postings, tagged with the
@@ -77,11 +77,14 @@ def index_refresh(spark: SparkSession, source_dir: str, schema: str, index_dir:
         root, spark = index_dir.rstrip("/"), batch.sparkSession
         batch = _last_delivery(batch, key, "_place", f"{root}/repeated/epoch={epoch:010d}")
         with shuffle_files_dropped(spark):
-            # one slice of the documents after the other: no more than a slice's counts are on disk as shuffle files
-            for k in range(slices):
-                mine = batch.filter(F.pmod(F.xxhash64(key), F.lit(slices)) == k)
-                (SR.build_index(mine, key, text, attrs).select(*attrs, "term", key, "cnt")
-                 .write.mode("append" if k else "overwrite").option("compression", "zstd").parquet(f"{root}/postings/epoch={epoch:010d}"))
+            folder = f"{root}/postings/epoch={epoch:010d}"
+            # a key has one row by now, so a document's words are counted within its row; rows without a key are one document
+            lone = SR.row_postings(batch.filter(F.col(key).isNotNull()), key, text, attrs).select(*attrs, "term", key, "cnt")
+            lone.write.mode("overwrite").option("compression", "zstd").parquet(folder)
+            none = batch.filter(F.col(key).isNull())
+            if not none.isEmpty():
+                (SR.build_index(none, key, text, attrs).select(*attrs, "term", key, "cnt")
+                 .write.mode("append").option("compression", "zstd").parquet(folder))
             batch.select(key).distinct().write.mode("overwrite").parquet(f"{root}/deliveries/epoch={epoch:010d}")
 
     w = stream.writeStream.foreachBatch(append_postings).option("checkpointLocation", checkpoint)
