@@ -53,6 +53,7 @@ def _shuffled_rows(spark, run):
 # Each user's own rows: ratings or required and held skills, the parts by which users are alike, one row of the result's join.
 LIMITS = {
     "need_order": 40,
+    "missing_levels": 15,
 }
 
 
