@@ -54,6 +54,7 @@ def _shuffled_rows(spark, run):
 LIMITS = {
     "need_order": 40,
     "missing_levels": 15,
+    "fallback_courses": 40,
 }
 
 
