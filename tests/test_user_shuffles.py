@@ -55,6 +55,7 @@ LIMITS = {
     "need_order": 40,
     "missing_levels": 15,
     "fallback_courses": 40,
+    "text_search_users": 15,
 }
 
 
