@@ -56,6 +56,7 @@ LIMITS = {
     "missing_levels": 15,
     "fallback_courses": 40,
     "text_search_users": 15,
+    "level_counts_per_user": 15,
 }
 
 
