@@ -57,6 +57,7 @@ LIMITS = {
     "fallback_courses": 40,
     "text_search_users": 15,
     "level_counts_per_user": 15,
+    "missing_levels_gap": 15,
 }
 
 
