@@ -58,6 +58,7 @@ LIMITS = {
     "text_search_users": 15,
     "level_counts_per_user": 15,
     "missing_levels_gap": 15,
+    "advanced_backfill_gap": 20,
 }
 
 
