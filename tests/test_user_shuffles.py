@@ -59,6 +59,7 @@ LIMITS = {
     "level_counts_per_user": 15,
     "missing_levels_gap": 15,
     "advanced_backfill_gap": 20,
+    "plan_rebalance": 40,
 }
 
 
